@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import hosts, secrets, shards
+from siltstone.llm import hosts, jaccard, secrets, shards
 
 
 def _docs(spark, sf_dir):
@@ -21,5 +21,5 @@ def op9_quality_rules(spark, sf_dir):
     return hosts.quality(_docs(spark, sf_dir))
 
 
-QUERIES = {"op2_sharding": op2_sharding, "op6_secret_scans": op6_secret_scans, "op9_quality_rules": op9_quality_rules}
+QUERIES = {"op2_sharding": op2_sharding, "op6_secret_scans": op6_secret_scans, "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join, "op9_quality_rules": op9_quality_rules}
 ORACLES: dict[str, str] = {}
