@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import hosts, jaccard, secrets, shards
+from siltstone.llm import hosts, jaccard, langid, pieces, records, secrets, shards
 
 
 def _docs(spark, sf_dir):
@@ -21,5 +21,13 @@ def op9_quality_rules(spark, sf_dir):
     return hosts.quality(_docs(spark, sf_dir))
 
 
-QUERIES = {"op2_sharding": op2_sharding, "op6_secret_scans": op6_secret_scans, "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join, "op9_quality_rules": op9_quality_rules}
+QUERIES = {
+    "op2_sharding": op2_sharding,
+    "op4_language_id": langid.op4_language_id,
+    "op5_token_records": records.op5_token_records,
+    "op6_secret_scans": op6_secret_scans,
+    "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_sentencepiece": pieces.op10_sentencepiece,
+}
 ORACLES: dict[str, str] = {}
