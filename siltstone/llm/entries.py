@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import hosts, jaccard, langid, pieces, records, secrets, shards
+from siltstone.llm import hosts, jaccard, langid, lines, pieces, records, secrets, shards
 
 
 def _docs(spark, sf_dir):
@@ -26,6 +26,7 @@ QUERIES = {
     "op4_language_id": langid.op4_language_id,
     "op5_token_records": records.op5_token_records,
     "op6_secret_scans": op6_secret_scans,
+    "op7_line_dedup": lines.op7_line_dedup,
     "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_sentencepiece": pieces.op10_sentencepiece,
