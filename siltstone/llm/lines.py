@@ -115,7 +115,7 @@ def _unsigned(x: np.ndarray) -> np.ndarray:
 
 
 def _first_pass(rows: DataFrame) -> DataFrame:
-    """Per task: (sig, doc_id, line) of lines at their first sight, and the sketch."""
+    """Per block: (sig, doc_id, line) of each set's first line; per task: the sketch."""
 
     def run(batches):
         names = ["sig", "doc_id", "line", "bucket", "payload"]
@@ -125,8 +125,12 @@ def _first_pass(rows: DataFrame) -> DataFrame:
             pick[k] = True
             # without a level the 40 bits of a word are all of its key; the cell is taken from the same bits
             counts += np.bincount((K.mix(ls.words[np.repeat(pick, ls.n)]) & U(CELLS - 1)).astype(np.int64), minlength=CELLS)
-            m = len(k)
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(ls.sig[k])), pa.array(ids[ls.row[k]]), pa.array(ls.no[k], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+            # of each set the block's least (doc_id, place): rows come in any order
+            own = ids[ls.row]
+            o = np.lexsort((ls.no, own, ls.sig))
+            o = o[np.r_[True, ls.sig[o][1:] != ls.sig[o][:-1]]]
+            m = len(o)
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(ls.sig[o])), pa.array(own[o]), pa.array(ls.no[o], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         r = K.sketch_rows(counts)
         m = r.num_rows
         yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), r.column(0), r.column(1)], names)
@@ -176,18 +180,23 @@ def admits(p: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> n
     return ok
 
 
-def _all_pairs(p: np.ndarray, word: np.ndarray, num: int, den: int, most: int) -> list[np.ndarray]:
-    """Admitted pairs of postings (sorted by word) of the same word, ``most`` apart at most."""
-    found = []
+def _all_pairs(p: np.ndarray, word: np.ndarray, num: int, den: int, is_open: np.ndarray | None = None) -> list[np.ndarray]:
+    """Admitted pairs of postings of the same word (p sorted by word, then length); with
+    ``is_open`` those with an open side. A posting meets only those of fitting length."""
+    found, d, pending = [], 0, 0
+    n = p["n"].astype(np.int64)
     live = np.arange(len(p))
-    for d in range(1, most):
+    while len(live):
+        d += 1
         live = live[live + d < len(p)]
-        live = live[word[live] == word[live + d]]
-        if not len(live):
-            break
-        k = live[admits(p, live, live + d, num, den)]
+        live = live[(word[live] == word[live + d]) & (den * n[live] >= num * n[live + d])]
+        k = live if is_open is None else live[is_open[live] | is_open[live + d]]
+        k = k[admits(p, k, k + d, num, den)]
         if len(k):
             found.append(np.stack([p["sig"][k], p["sig"][k + d]], 1))
+            pending += len(k)
+            if pending > 1_000_000:
+                found, pending = [np.unique(np.sort(np.concatenate(found), axis=1), axis=0)], 0
     return found
 
 
@@ -213,7 +222,9 @@ def _meet(bucket: int, table: pa.Table, num: int, den: int):
     cut = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(p) else np.zeros(0, np.int64)
     size = np.diff(np.r_[cut, len(p)])
     small = np.repeat((size > 1) & (size <= SMALL), size)
-    found = _all_pairs(p[small], word[small], num, den, SMALL)
+    q, w = p[small], word[small]
+    o = np.lexsort((q["n"], w))
+    found = _all_pairs(q[o], w[o], num, den)
     big = np.repeat(size > SMALL, size)
     q, w = p[big], word[big]
     if len(q):
@@ -284,21 +295,8 @@ def _rest(bucket: int, table: pa.Table, num: int, den: int):
     p["n"], p["age"] = table.column("n").to_numpy(), table.column("age").to_numpy()
     is_open = table.column("open").to_numpy(zero_copy_only=False).astype(bool)
     word = p["tok"] >> U(16)
-    o = np.lexsort((p["sig"], ~is_open, word))
-    p, is_open, word = p[o], is_open[o], word[o]
-    cut = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-    found, pending = [], 0
-    for lo, hi in zip(cut, np.r_[cut[1:], len(p)]):
-        for q in range(lo, lo + int(is_open[lo:hi].sum())):
-            j = np.arange(q + 1, hi)  # open ones come first, so each pair is met once
-            ok = admits(p, np.full(len(j), q), j, num, den)
-            if ok.any():
-                found.append(np.stack([np.full(int(ok.sum()), p["sig"][q]), p["sig"][j[ok]]], 1))
-                pending += len(found[-1])
-        if pending > 1_000_000:
-            found = [np.unique(np.sort(np.concatenate(found), axis=1), axis=0)]
-            pending = 0
-    yield _pairs_batch(found).select(["a", "b"])
+    o = np.lexsort((p["sig"], p["n"], word))
+    yield _pairs_batch(_all_pairs(p[o], word[o], num, den, is_open[o])).select(["a", "b"])
 
 
 def keep_list(rows: DataFrame, percent: int = 75) -> DataFrame:
