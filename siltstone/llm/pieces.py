@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding with a shared-prefix forward pass.
 
-A text is cut into marked words (runs of the space mark with what follows, cut at line
-feeds): no piece of the model crosses such a cut, so words are encoded alone. The
+A text is cut into marked words: runs of the space mark with what follows, cut at line
+feeds or, if no piece of the model joins a letter to another character, wherever letters
+start or end. No piece crosses such a cut, so words are encoded alone. The
 distinct new words of a batch are sorted, which lays out their trie depth-first; the
 forward pass keeps one state per character of the current path and starts each word at
 the end of the prefix it shares with the one before.
@@ -15,6 +16,7 @@ Every distinct word is then held against the sentencepiece library.
 
 from __future__ import annotations
 
+import array
 import re
 import zlib
 
@@ -25,11 +27,13 @@ from pyspark.sql import DataFrame, functions as F
 from siltstone.llm import kernel as K
 
 MARK = "▁"  # fixed value: the space mark of the models
-CUT = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*")
+COARSE = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*")
+FINE = re.compile(rf"{MARK}*(?:[^\W\d_]+|(?:[^\w{MARK}]|[\d_])+)|{MARK}+")
+LETTER = re.compile(r"[^\W\d_]")
 
 
 class Pieces:
-    def __init__(self, path: str, kind: str = "bpe", most: int = 300_000):
+    def __init__(self, path: str, kind: str = "bpe", most: int = 800_000):
         import sentencepiece
 
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -49,7 +53,18 @@ class Pieces:
                 self.raw[i] = p.encode()
         if any("\n" in p or MARK in p.lstrip(MARK) for p in self.vocab):
             raise ValueError("pieces of this model cross the cuts between words")
-        self.longest = max(map(len, self.vocab))
+        joins = {x for p in self.vocab for x in zip(p, p[1:]) if MARK not in x}
+        mixed = any(bool(LETTER.match(a)) != bool(LETTER.match(b)) for a, b in joins)
+        self.findall = (COARSE if mixed else FINE).findall
+        ends2: dict[str, set[int]] = {}
+        ends3: dict[str, set[int]] = {}
+        for p in self.vocab:
+            if len(p) > 1:
+                ends2.setdefault(p[-2:], {1}).add(len(p))
+            if len(p) > 2:
+                ends3.setdefault(p[-3:], {1, 2}).add(len(p))
+        self.ends2 = {k: tuple(sorted((x for x in v if x < 3), reverse=True)) for k, v in ends2.items()}
+        self.ends3 = {k: tuple(sorted(v, reverse=True)) for k, v in ends3.items()}
         self.names = {i: p for p, i in self.vocab.items()}
         self.width = np.dtype("<u2" if n <= 1 << 16 else "<u4")
         self.apart: dict[tuple[int, int], bool] = {}
@@ -106,35 +121,48 @@ class Pieces:
 
     def walk(self, words: list[str]):
         """Ids of sorted distinct words, by one depth-first walk of their trie."""
-        vocab, score, longest, names = self.vocab, self.score, self.longest, self.names
-        state: list[tuple] = [(-1, 0, 0.0)]  # (piece, start, score) of each prefix; -2 is a character without piece
+        vocab, score, bpe = self.vocab, self.score, self.kind == "bpe"
+        find, known, by3, by2, apart = vocab.get, self.apart.get, self.ends3.get, self.ends2.get, self.keeps_apart
+        # of each prefix: its last piece (-1 none, -2 a character without piece), where that starts, its best score
+        piece, start, best = [-1], [0], [0.0]
         before = ""
         for w in words:
-            m = min(len(before), len(w))
-            k = 0
+            k, m = 0, min(len(before), len(w))
             while k < m and before[k] == w[k]:
                 k += 1
-            del state[k + 1 :]
+            del piece[k + 1 :], start[k + 1 :], best[k + 1 :]
             for i in range(k + 1, len(w) + 1):
-                new = None
-                if self.kind == "bpe":
-                    for j in range(max(0, i - longest), i):
-                        t = vocab.get(w[j:i])
-                        if t is not None:
-                            prev = state[j][0]
-                            if prev < 0 or self.keeps_apart(prev, t):
-                                new = (t, j, 0.0)
+                new, at = -2, i - 1
+                # lengths of pieces that end like this, longest first
+                sizes = (i > 2 and by3(w[i - 3 : i])) or (i > 1 and by2(w[i - 2 : i])) or (1,)
+                if bpe:
+                    for n in sizes:
+                        if n <= i:
+                            t = find(w[i - n : i])
+                            if t is not None:
+                                prev = piece[i - n]
+                                if prev >= 0:
+                                    ok = known((prev, t))
+                                    if ok is None:
+                                        ok = apart(prev, t)
+                                    if not ok:
+                                        continue
+                                new, at = t, i - n
                                 break
                 else:
-                    for j in range(max(0, i - longest), i):
-                        t = vocab.get(w[j:i])
-                        if t is not None and (new is None or state[j][2] + score[t] > new[2]):
-                            new = (t, j, state[j][2] + score[t])
-                state.append(new or (-2, i - 1, state[i - 1][2] - 1e6))
+                    top = best[i - 1] - 1e6
+                    for n in sizes:
+                        if n <= i:
+                            t = find(w[i - n : i])
+                            if t is not None and best[i - n] + score[t] > top:
+                                new, at, top = t, i - n, best[i - n] + score[t]
+                    best.append(top)
+                piece.append(new)
+                start.append(at)
             before = w
             ids, i = [], len(w)
             while i:
-                t, j, _ = state[i]
+                t, j = piece[i], start[i]
                 if t >= 0:
                     ids.append(t)
                 else:
@@ -147,26 +175,26 @@ class Pieces:
         if len(self.seen) > self.most:
             self.seen = {}
         new = sorted(words.difference(self.seen))
-        # the library puts one mark before a text: it is asked for the word without its first mark,
-        # and for words that start with a line feed its own first mark is taken off again
+        pack, code = array.array, self.width.char
+        # the library puts one mark before a text: it is asked for the word without its first mark;
+        # words without one are asked for behind a line feed, and its mark and line feed are taken off
         for lo in range(0, len(new), 4096):
             some = new[lo : lo + 4096]
-            theirs = self.sp.encode([w[1:] if w[0] == MARK else w for w in some], num_threads=1)
+            theirs = self.sp.encode([w[1:] if w[0] == MARK else "\n" + w for w in some], num_threads=1)
             own = self.vocab.get(MARK)
             for w, ids, lib in zip(some, self.walk(some), theirs):
                 if w == MARK:
                     lib = [own]
                 elif w[0] != MARK:
-                    lib = lib[1:]
+                    lib = lib[2:]
                 if ids != lib:
                     self.mended += 1
                     ids = lib
-                self.seen[w] = np.array(ids, self.width).tobytes()
+                self.seen[w] = pack(code, ids).tobytes()
 
-    @staticmethod
-    def cut(text: str) -> list[str]:
+    def cut(self, text: str) -> list[str]:
         """Marked words; joined they are the text with marks for spaces and one before it."""
-        return CUT.findall(MARK + text.replace(" ", MARK)) if text else []
+        return self.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         parts = [self.cut(x) for x in texts]
@@ -203,8 +231,8 @@ def encode(docs: DataFrame, path: str, kind: str = "bpe", doc_id: str = "doc_id"
     def run(batches):
         m = model(path, kind)
         for b in batches:
-            for lo in range(0, b.num_rows, 250):
-                part = b.slice(lo, 250)
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
                 texts = [x or "" for x in part.column(1).to_pylist()]
                 before = m.mended
                 got = m.encode(texts)
