@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import hosts, jaccard, langid, lines, pieces, records, secrets, shards
+from siltstone.llm import decontam, hosts, jaccard, langid, lines, pieces, records, secrets, shards
 
 
 def _docs(spark, sf_dir):
@@ -23,6 +23,7 @@ def op9_quality_rules(spark, sf_dir):
 
 QUERIES = {
     "op2_sharding": op2_sharding,
+    "op3_decontamination": decontam.op3_decontamination,
     "op4_language_id": langid.op4_language_id,
     "op5_token_records": records.op5_token_records,
     "op6_secret_scans": op6_secret_scans,

@@ -92,11 +92,11 @@ def spans_hash(c: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return mix((c[e] - c[s]) * inv[s])
 
 
-def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of the words of a block; texts' edges end words."""
+def words(buf: np.ndarray, offs: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the words of a block: runs of bytes without gaps; texts' edges end words."""
     if not len(buf):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    ink = ~SPACE[buf]
+    ink = ~gap[buf]
     first = np.zeros(len(buf) + 1, bool)
     first[offs] = True
     start = ink.copy()
@@ -155,7 +155,7 @@ PACKED = "bucket int, payload binary"
 class Packer:
     """Gathers records by bucket and hands them out as packed rows."""
 
-    def __init__(self, buckets: int, flush: int = 16 << 20):
+    def __init__(self, buckets: int, flush: int = 8 << 20):
         self.buckets, self.flush, self.parts, self.size = buckets, flush, [], 0
 
     def add(self, bucket: np.ndarray, records: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -278,11 +278,12 @@ def bits_total(rows: DataFrame, bits: int) -> Bits:
     return Bits(data)
 
 
-def twice(keys: DataFrame, bits: int) -> Bits:
-    """Bit table of the keys (packed 8-byte, by bucket) that occur at least twice."""
+def repeated(keys: DataFrame, bits: int, least: int, mask: int = (1 << 64) - 1) -> Bits:
+    """Bit table of the keys (packed 8-byte, by bucket) that occur ``least`` times or more."""
 
     def dup(bucket, table):
-        k = np.sort(unpack(table, np.uint64))
-        yield from bit_rows(np.unique(k[1:][k[1:] == k[:-1]]), bits)
+        k = np.sort(unpack(table, np.uint64) & U(mask))
+        d = least - 1
+        yield from bit_rows(np.unique(k[d:][k[d:] == k[:-d]]), bits)
 
     return bits_total(exchange(keys, dup, PACKED), bits)
