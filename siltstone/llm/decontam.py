@@ -289,9 +289,14 @@ class Search:
                     b += 1
                 s = max(0, (hits[a][2] - first[row]) * STEP - m)
                 e = min(at[row + 1] - at[row], (hits[b][2] - first[row] + SPAN) * STEP + m)
-                got = self.judge(h[at[row] + s : at[row] + e], j)
-                if got:
-                    yield lo + row, j, max(x[3] for x in hits[a : b + 1]), *got, int(s), int(e)
+                # a long region is read in overlapping stretches, so that far-off words don't add up
+                most, best = 2 * m + STEP * SPAN, None
+                for x in range(s, max(s + 1, e - m), m):
+                    got = self.judge(h[at[row] + x : at[row] + min(e, x + most)], j)
+                    if got and (best is None or got > best[0]):
+                        best = got, x, min(e, x + most)
+                if best:
+                    yield lo + row, j, max(x[3] for x in hits[a : b + 1]), *best[0], int(best[1]), int(best[2])
                 a = b + 1
 
 
