@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import decontam, hosts, jaccard, langid, lines, pieces, records, secrets, shards
+from siltstone.llm import decontam, hosts, jaccard, langid, lines, pieces, records, secrets, shards, suffix
 
 
 def _docs(spark, sf_dir):
@@ -22,6 +22,7 @@ def op9_quality_rules(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_suffix_dedup": suffix.op1_suffix_dedup,
     "op2_sharding": op2_sharding,
     "op3_decontamination": decontam.op3_decontamination,
     "op4_language_id": langid.op4_language_id,
