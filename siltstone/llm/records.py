@@ -11,10 +11,12 @@ order. A manifest names the files in order with their counts.
 
 from __future__ import annotations
 
+import array
 import json
 import os
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,36 +49,95 @@ def unframe(data: memoryview, offset: int) -> memoryview:
     return body
 
 
+def _byte_chars() -> str:
+    """Byte-level alphabet (fixed rule): printable Latin-1 bytes stand for themselves, the
+    other bytes, in order, for the characters from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out, extra = [], 256
+    for b in range(256):
+        if b in own:
+            out.append(chr(b))
+        else:
+            out.append(chr(extra))
+            extra += 1
+    return "".join(out)
+
+
 class WordIds:
-    """Ids of texts through the tokenizers library, one call per distinct chunk.
+    """Ids of texts through the tokenizers library, each distinct chunk once.
 
     Chunks end at spaces and line feeds, which the tokenizer's pattern drops and no
-    normalisation step joins across, so their ids in a row are the text's ids. The memory
-    of chunks is bounded: at ``most`` it starts anew.
+    normalisation step joins across, so their ids in a row are the text's ids. A chunk of
+    letters below U+0250 (composed already), with or without closing punctuation, is one
+    token of the pattern and one more: its lower-case bytes go straight to the library's
+    merge model. Every other chunk goes through the whole tokenizer. The memory of chunks
+    is bounded: at ``most`` it starts anew.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    CLOSING = ".,|;:!?"
+
+    def __init__(self, path: str, most: int = 1_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.merge = self.tok.model.tokenize
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.most, self.seen = most, {"": b""}
+        self.most, self.seen, self.low = most, {"": b""}, {"": b""}
+        chars = _byte_chars()
+        self.table = {i: chars[i] for i in range(256) if chars[i] != chr(i)}
+        # the short way is taken only with a tokenizer on which it gives the same ids
+        probe = ["The", "l'été".split("'")[1], "Straße", "Ñandú", "x", "über"]
+        self.short = all(self.short_ids(w) == self.full_ids(w) for w in probe)
+
+    def full_ids(self, w: str) -> bytes:
+        return np.array(self.tok.encode(w, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def short_ids(self, w: str) -> bytes:
+        low = w.lower()
+        got = self.low.get(low)
+        if got is None:
+            got = array.array(self.kind.char, [t.id for t in self.merge(low.encode().decode("latin-1").translate(self.table))]).tobytes()
+            self.low[low] = got
+        return got
+
+    def learn(self, new: list[str]) -> None:
+        rest, seen = [], self.seen
+        if self.short:
+            for w in new:
+                body = w if w.isalpha() else w.rstrip(self.CLOSING)
+                if body.isalpha() and (body.isascii() or max(body) < "\u0250" and body.lower().isalpha()):
+                    ids = self.short_ids(body)
+                    if len(body) < len(w):
+                        tail = w[len(body) :]
+                        if tail not in seen:
+                            seen[tail] = self.full_ids(tail)
+                        ids = ids + seen[tail]
+                    seen[w] = ids
+                else:
+                    rest.append(w)
+        else:
+            rest = new
+        for lo in range(0, len(rest), 4096):
+            some = rest[lo : lo + 4096]
+            for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
+                seen[w] = array.array(self.kind.char, e.ids).tobytes()
 
     def payloads(self, texts: list[str]) -> list[bytes]:
         parts = [x.replace("\n", " ").split(" ") for x in texts]
-        if len(self.seen) > self.most:
-            self.seen = {"": b""}
-        new = set()
+        if len(self.seen) + len(self.low) > self.most:
+            self.seen, self.low = {"": b""}, {"": b""}
+        flat = list(chain.from_iterable(parts))
+        ids = list(map(self.seen.get, flat))
+        new = [i for i, v in enumerate(ids) if v is None]
+        self.learn(list({flat[i] for i in new}))
+        for i in new:
+            ids[i] = self.seen[flat[i]]
+        out, at = [], 0
         for p in parts:
-            new.update(p)
-        new = list(new.difference(self.seen))
-        for lo in range(0, len(new), 4096):
-            some = new[lo : lo + 4096]
-            for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
-                self.seen[w] = np.array(e.ids, self.kind).tobytes()
-        get = self.seen.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+            out.append(b"".join(ids[at : at + len(p)]))
+            at += len(p)
+        return out
 
 
 _encoders: dict[str, WordIds] = {}
@@ -144,8 +205,9 @@ def write(docs: DataFrame, tokenizer: str, uri: str, doc_id: str = "doc_id", tex
     return found
 
 
-def read(spark, uri: str, manifest: list[dict]) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) of every record, read back and checked."""
+def read(spark, uri: str, manifest: list[dict], ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32 and, with ``ids``, ids) of every record, read back
+    and checked."""
     K.once(spark, 500)
     files_df = spark.createDataFrame([(r["part"], r["start"]) for r in manifest], "part string, start bigint").repartition(max(1, len(manifest)))
 
@@ -166,21 +228,24 @@ def read(spark, uri: str, manifest: list[dict]) -> DataFrame:
                         data = memoryview(f.read_at(stop - base, base))
                         crcs, payloads = [], []
                         for r, w in zip(some, width):
-                            ids = np.frombuffer(unframe(data, int(r["offset"]) - base), f"<u{w}").astype("<u4")
-                            if len(ids) != r["n"]:
+                            own = np.frombuffer(unframe(data, int(r["offset"]) - base), f"<u{w}").astype("<u4")
+                            if len(own) != r["n"]:
                                 raise ValueError("index and record differ")
-                            payloads.append(ids)
-                            crcs.append(zlib.crc32(ids.tobytes()))
+                            if ids:
+                                payloads.append(own)
+                            crcs.append(zlib.crc32(own))
                         n = some["n"].astype(np.int64)
                         first = start + np.cumsum(n) - n
                         start += int(n.sum())
-                        ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(np.concatenate(payloads).astype(np.int32)))
-                        yield pa.RecordBatch.from_arrays([pa.array(some["doc_id"], mask=(some["flags"] & 1).astype(bool)), pa.array(first), pa.array(n), pa.array(crcs, pa.int64()), ids], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                        cols = [pa.array(some["doc_id"], mask=(some["flags"] & 1).astype(bool)), pa.array(first), pa.array(n), pa.array(crcs, pa.int64())]
+                        if ids:
+                            cols.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(np.concatenate(payloads).astype(np.int32))))
+                        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])
 
-    return files_df.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids array<int>")
+    return files_df.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * ids)
 
 
-def token_records(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", uri: str | None = None) -> DataFrame:
+def token_records(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", uri: str | None = None, ids: bool = True) -> DataFrame:
     """Writes all documents as records (into the shared folder by default) and reads them.
 
     Null and empty texts have the end id alone. Repeated rows are records of their own;
@@ -189,11 +254,10 @@ def token_records(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     """
     spark = docs.sparkSession
     uri = uri or store.fresh(spark, "records")
-    return read(spark, uri, write(docs, tokenizer, uri, doc_id, text))
+    return read(spark, uri, write(docs, tokenizer, uri, doc_id, text), ids)
 
 
 def op5_token_records(spark, sf_dir):
     import public_tokenizers
 
-    out = token_records(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
-    return out.drop("ids")
+    return token_records(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), ids=False)
