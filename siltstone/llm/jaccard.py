@@ -3,18 +3,21 @@
 Links are all pairs of texts whose sets of five-word shingles have a Jaccard similarity
 of 0.75 or more, exactly. Documents with equal sets are one node.
 
-1. A sketch of shingle counts (fixed size) fixes one order of all shingles, rare ones
-   first. Two linked sets share a shingle among each one's first n - ceil(0.75 n) + 1.
+1. One order of all shingles: by hash, but those that lie in the hash-order prefixes of
+   more than SMALL nodes last (exact counts, kept as a fixed-size bit table). Two linked
+   sets share a shingle among each one's first n - ceil(0.75 n) + 1 of any one order.
 2. Shingles that lie in the prefix of two nodes or more meet by shingle. Each node comes
    with its point: how many of its shingles fall into each of GROUPS hash groups. The sum
    of coordinate minima bounds the overlap of two sets from above.
 3. Small meetings are compared pair by pair by size, place and point. In a large meeting
    all members are first compared with two pivots; after their links are verified, what
-   is left between different components is searched with an R-tree over the points.
-4. Every surviving pair is verified on the whole sets; links give components.
+   is left between different components is searched over finer points (FINE groups), by
+   an R-tree where a meeting is large: first the likeliest pairs of each two components,
+   then, of those still apart, more, then all that the points admit.
+4. Every such pair is verified on the whole sets; links give components.
 
-No meeting emits all its pairs unless the points admit them, and every admitted pair of
-nodes of different components is verified.
+Every admitted pair of nodes of different components is verified in the end; pairs inside
+a component need not be.
 """
 
 from __future__ import annotations
@@ -28,12 +31,18 @@ from pyspark.sql import DataFrame, functions as F
 from siltstone.llm import graph, kernel as K, store
 
 GROUPS = 64
-CELLS = 1 << 18
 BITS = 1 << 26
+FINE = 512
+TREE = 512
+ROUNDS = (4, None)
 SMALL = 12
 WIDE = 4096
 U = np.uint64
-POSTING = np.dtype([("tok", "<u8"), ("sig", "<u8"), ("n", "<u4"), ("pos", "<u4"), ("vec", "u1", GROUPS)])
+PACKED_POINT, PACKED_FINE = GROUPS // 2 + 1, FINE // 2 + 1
+POSTING = np.dtype([("tok", "<u8"), ("sig", "<u8"), ("n", "<u4"), ("pos", "<u4"), ("vec", "u1", PACKED_POINT)])
+OPENED = np.dtype([("tok", "<u8"), ("sig", "<u8"), ("n", "<u4"), ("pos", "<u4"), ("vec", "<u2", GROUPS)])
+OPENED_FINE = np.dtype([("tok", "<u8"), ("sig", "<u8"), ("n", "<u4"), ("pos", "<u4"), ("vec", "<u2", FINE), ("label", "<i8")])
+DOC = np.dtype([("doc_id", "<i8"), ("sig", "<u8"), ("n", "<u4"), ("null", "<u4")])
 PAIRS = "a bigint, b bigint"
 
 
@@ -48,22 +57,51 @@ def need(na, nb, num: int, den: int):
     return -((-num * (na + nb)) // (num + den))
 
 
-class Order:
-    """The one order of shingles: level of the sketch's count, then hash."""
+def ordered(s: np.ndarray, sunk: K.Bits | None) -> np.ndarray:
+    """A sorted set in the one order of shingles; sunk ones have the top bit set."""
+    s = s & U((1 << 63) - 1)
+    if sunk is None:
+        return np.sort(s)
+    low = sunk.has(s)
+    return np.sort(s | (low.astype(np.uint64) << U(63)))
 
-    def __init__(self, counts: np.ndarray):
-        mean = max(1.0, float(counts.mean()))
-        self.level = np.clip(np.floor(np.log2(np.maximum(counts / mean, 1.0))), 0, 31).astype(np.uint64)
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        """Sorted; equal for equal shingles of any text."""
-        return np.sort((self.level[(s & U(CELLS - 1)).astype(np.int64)] << U(58)) | (s >> U(6)))
+def packed_point(keys: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """Counts by group, rounded up to multiples of a step, in half bytes; the step is the
+    last byte, 0 for a set too large to be bounded."""
+    c = np.bincount((keys & U(groups - 1)).astype(np.int64), minlength=groups)
+    step = max(1, -(-int(c.max(initial=0)) // 15))
+    out = np.zeros(groups // 2 + 1, np.uint8)
+    if step < 256:
+        q = -(-c // step)
+        out[:-1] = q[0::2] | q[1::2] << 4
+        out[-1] = step
+    return out
 
 
-def point(keys: np.ndarray) -> np.ndarray:
-    """Counts by group; all 255 where one would not fit, which bounds nothing."""
-    c = np.bincount((keys & U(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-    return np.full(GROUPS, 255, np.uint8) if c.max(initial=0) > 254 else c.astype(np.uint8)
+def counts(vec: np.ndarray) -> np.ndarray:
+    """Packed points as counts; 65535 throughout for those not bounded."""
+    step = vec[:, -1:].astype(np.uint16)
+    out = np.empty((len(vec), 2 * (vec.shape[1] - 1)), np.uint16)
+    out[:, 0::2] = (vec[:, :-1] & 15) * step
+    out[:, 1::2] = (vec[:, :-1] >> 4) * step
+    out[step[:, 0] == 0] = 65535
+    return out
+
+
+def opened(p: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(p), OPENED)
+    for c in ("tok", "sig", "n", "pos"):
+        out[c] = p[c]
+    out["vec"] = counts(p["vec"])
+    return out
+
+
+def meets(va: np.ndarray, vb: np.ndarray, least) -> np.ndarray:
+    """Whether summed coordinate minima reach ``least``; two points that did not fit pass."""
+    top = np.iinfo(va.dtype).max
+    full = (va[..., 0] == top) & (vb[..., 0] == top)
+    return full | (np.minimum(va, vb).sum(axis=-1, dtype=np.int64) >= least)
 
 
 def admits(p: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -76,7 +114,7 @@ def admits(p: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> n
     k = np.flatnonzero(ok)
     for x in range(0, len(k), 1 << 14):
         part = k[x : x + (1 << 14)]
-        ok[part] = np.minimum(p["vec"][i[part]], p["vec"][j[part]]).sum(axis=1, dtype=np.int64) >= least[part]
+        ok[part] = meets(p["vec"][i[part]], p["vec"][j[part]], least[part])
     return ok
 
 
@@ -108,40 +146,12 @@ class RTree:
             nodes = nodes[nodes < len(vec)]
             fits = (den * n >= num * lo[nodes].astype(np.int64)) & (den * hi[nodes].astype(np.int64) >= num * n)
             nodes = nodes[fits]
-            bound = np.minimum(vec[nodes], q["vec"]).sum(axis=1, dtype=np.int64)
-            nodes = nodes[bound >= need(n, np.maximum(lo[nodes].astype(np.int64), -(-num * n // den)), num, den)]
+            nodes = nodes[meets(vec[nodes], q["vec"], need(n, np.maximum(lo[nodes].astype(np.int64), -(-num * n // den)), num, den))]
             step = self.FAN if depth else self.LEAF
             nodes = (nodes[:, None] * step + np.arange(step)).ravel()
         return nodes[nodes < len(self.p)]
 
 
-def _sketch_and_docs(docs: DataFrame) -> DataFrame:
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        counts, seen = np.zeros(CELLS, np.int64), set()
-        names = ["doc_id", "n_shingles", "sig", "bucket", "payload"]
-        for b in batches:
-            ns, sigs, hold = [0] * b.num_rows, [None] * b.num_rows, []
-            for row, s in K.shingle_sets(b.column(1)):
-                ns[row] = len(s)
-                if len(s):
-                    sigs[row] = signature(s) - (1 << 63)
-                    if sigs[row] not in seen:
-                        seen.add(sigs[row])
-                        hold.append(s)
-                if len(hold) >= 256:
-                    counts += np.bincount((np.concatenate(hold) & U(CELLS - 1)).astype(np.int64), minlength=CELLS)
-                    hold = []
-            if hold:
-                counts += np.bincount((np.concatenate(hold) & U(CELLS - 1)).astype(np.int64), minlength=CELLS)
-            k = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(sigs, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
-        r = K.sketch_rows(counts)
-        k = r.num_rows
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), r.column(0), r.column(1)], names)
-
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, sig bigint, bucket int, payload binary")
-
-
 def _sets(docs: DataFrame, schema: str, emit) -> DataFrame:
     """Runs emit(state) over every distinct set that a task meets, once each."""
 
@@ -167,10 +177,12 @@ def _sets(docs: DataFrame, schema: str, emit) -> DataFrame:
 def _meetings(bucket: int, table: pa.Table, num: int, den: int):
     """Postings of a bucket -> admitted pairs of small meetings and pivots' pairs of large
     ones; large meetings' postings go on, as payload."""
-    p = K.unpack(table, POSTING)
-    p = p[np.lexsort((p["sig"], p["tok"]))]
+    packed = K.unpack(table, POSTING)
+    packed = packed[np.lexsort((packed["sig"], packed["tok"]))]
+    p = opened(packed)
     if len(p):
-        p = p[np.r_[True, (p["tok"][1:] != p["tok"][:-1]) | (p["sig"][1:] != p["sig"][:-1])]]
+        one = np.r_[True, (p["tok"][1:] != p["tok"][:-1]) | (p["sig"][1:] != p["sig"][:-1])]
+        p, packed = p[one], packed[one]
     cut = np.flatnonzero(np.r_[True, p["tok"][1:] != p["tok"][:-1]]) if len(p) else np.zeros(0, np.int64)
     size = np.diff(np.r_[cut, len(p)])
     found = []
@@ -193,7 +205,7 @@ def _meetings(bucket: int, table: pa.Table, num: int, den: int):
             i = np.full(len(j), pivot)
             k = admits(m, i, j, num, den)
             found.append(np.stack([m["sig"][i[k]], m["sig"][j[k]]], 1))
-        big.append(m)
+        big.append(packed[cut[g] : cut[g] + size[g]])
     ab = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.uint64)
     yield _pair_batch(ab, bucket, None)
     if big:
@@ -202,6 +214,52 @@ def _meetings(bucket: int, table: pa.Table, num: int, den: int):
             yield _pair_batch(np.zeros((0, 2), np.uint64), bucket, m[x : x + (1 << 16)].tobytes())
 
 
+def _postings(rows: DataFrame, sunk_b, live_b, nb: int, prefix) -> DataFrame:
+    """Packed postings of live prefix shingles, by shingle, in buckets 0 to nb-1, and packed
+    documents (doc_id, name, size), dealt by doc_id over buckets nb to 2*nb-1."""
+
+    def run(batches):
+        seen, pack, docs = set(), K.Packer(nb), K.Packer(nb)
+        for b in batches:
+            own = np.zeros(b.num_rows, DOC)
+            own["doc_id"] = b.column(0).fill_null(0).to_numpy()
+            own["null"] = b.column(0).is_null().to_numpy(zero_copy_only=False)
+            for row, s in K.shingle_sets(b.column(1)):
+                if not len(s):
+                    continue
+                sig = signature(s)
+                own["sig"][row], own["n"][row] = sig, len(s)
+                if sig in seen:
+                    continue
+                seen.add(sig)
+                keys, p = prefix(s, sunk_b.value)
+                at = np.flatnonzero(live_b.value.has(keys[:p]))
+                if len(at):
+                    rec = np.zeros(len(at), POSTING)
+                    rec["tok"], rec["sig"], rec["n"], rec["pos"], rec["vec"] = keys[at], sig, len(keys), at, packed_point(keys)
+                    yield from pack.add(K.bucket_of(keys[at], nb), rec)
+            yield from docs.add(nb + K.bucket_of(own["doc_id"].view(np.uint64), nb), own)
+        yield from pack.close()
+        yield from docs.close()
+
+    return rows.mapInArrow(run, K.PACKED)
+
+
+def _met_or_docs(bucket: int, table: pa.Table, nb: int, num: int, den: int):
+    names = ["a", "b", "bucket", "payload", "doc_id", "n_shingles", "sig"]
+    if bucket < nb:
+        for r in _meetings(bucket, table, num, den):
+            k = r.num_rows
+            yield pa.RecordBatch.from_arrays([*r.columns, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names)
+        return
+    d = K.unpack(table, DOC)
+    k = len(d)
+    none = pa.nulls(k, pa.int64())
+    ids = pa.array(d["doc_id"].copy(), mask=d["null"].astype(bool))
+    sig = pa.array((d["sig"] ^ U(1 << 63)).view(np.int64), mask=d["n"] == 0)
+    yield pa.RecordBatch.from_arrays([none, none, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), ids, pa.array(d["n"].astype(np.int64)), sig], names)
+
+
 def _pair_batch(ab: np.ndarray, bucket: int, payload: bytes | None) -> pa.RecordBatch:
     a, b = ab.min(axis=1, initial=np.iinfo(np.uint64).max), ab.max(axis=1, initial=0)
     sa, sb = (a ^ U(1 << 63)).view(np.int64), (b ^ U(1 << 63)).view(np.int64)
@@ -212,6 +270,46 @@ def _pair_batch(ab: np.ndarray, bucket: int, payload: bytes | None) -> pa.Record
     return pa.RecordBatch.from_arrays(arrays, ["a", "b", "bucket", "payload"])
 
 
+def _named(sigs: DataFrame) -> K.Bits:
+    """Bit table of set names: a fixed size; what it lets through besides is only fetched
+    in vain."""
+
+    def run(batches):
+        for b in batches:
+            yield from K.bit_rows(np.unique(b.column(0).to_numpy().view(np.uint64) ^ U(1 << 63)), BITS)
+
+    return K.bits_total(sigs.mapInArrow(run, K.PACKED), BITS)
+
+
+def _fetch(rows: DataFrame, heads: DataFrame, sigs: DataFrame, whole: bool) -> DataFrame:
+    """(sig, data) per name in ``sigs``: the whole set or its finer point. Repeated rows of
+    one doc_id may give a name twice; pairs are made distinct again.
+
+    Only documents whose id is the least of a wanted name's are read word by word (by a
+    fixed-size bit table; what it lets through besides is computed in vain)."""
+    spark = rows.sparkSession
+    sigs = sigs.select("sig").distinct()
+    named_b = spark.sparkContext.broadcast(_named(sigs))
+    ids_b = spark.sparkContext.broadcast(_named(heads.join(sigs, "sig", "left_semi").where("d IS NOT NULL").select(F.col("d").alias("sig"))))
+
+    def run(batches):
+        seen = set()
+        for b in batches:
+            ids = b.column(0).fill_null(0).to_numpy().view(np.uint64) ^ U(1 << 63)
+            b = b.filter(pa.array(ids_b.value.has(ids) | b.column(0).is_null().to_numpy(zero_copy_only=False)))
+            sig, data = [], []
+            for _, s in K.shingle_sets(b.column(1)):
+                if len(s):
+                    name = signature(s)
+                    if name not in seen and named_b.value.has(np.array([name], np.uint64))[0]:
+                        seen.add(name)
+                        sig.append(name - (1 << 63))
+                        data.append(s.tobytes() if whole else packed_point(s, FINE).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(data, pa.binary())], ["sig", "data"])
+
+    return rows.mapInArrow(run, "sig bigint, data binary")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     def run(batches):
         for b in batches:
@@ -227,39 +325,52 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), b.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
 
-    one = pairs.join(sets.select(F.col("sig").alias("a"), F.col("keys").alias("ka")), "a")
-    two = one.join(sets.select(F.col("sig").alias("b"), F.col("keys").alias("kb")), "b").select("a", "b", "ka", "kb")
-    return two.mapInArrow(run, PAIRS)
+    one = pairs.join(sets.select(F.col("sig").alias("a"), F.col("data").alias("ka")), "a")
+    two = one.join(sets.select(F.col("sig").alias("b"), F.col("data").alias("kb")), "b").select("a", "b", "ka", "kb")
+    return two.mapInArrow(run, PAIRS).distinct()
 
 
-def _rest(bucket: int, table: pa.Table, num: int, den: int):
-    """What large meetings leave between different components, searched by R-tree."""
-    dtype = np.dtype(POSTING.descr + [("label", "<i8")])
-    p = np.zeros(table.num_rows, dtype)
+def _rest(bucket: int, table: pa.Table, num: int, den: int, top: int | None):
+    """What large meetings leave between different components: all admitted pairs, or the
+    ``top`` likeliest of each two components."""
+    p = np.zeros(table.num_rows, OPENED_FINE)
     p["tok"] = table.column("tok").to_numpy().view(np.uint64)
     p["sig"] = table.column("sig").to_numpy().view(np.uint64)
-    p["n"], p["pos"], p["label"] = table.column("n").to_numpy(), table.column("pos").to_numpy(), table.column("label").to_numpy()
-    p["vec"] = np.frombuffer(b"".join(table.column("vec").to_pylist()), np.uint8).reshape(-1, GROUPS)
+    p["n"], p["pos"] = table.column("n").to_numpy(), table.column("pos").to_numpy()
+    p["label"] = table.column("label").to_numpy()
+    p["vec"] = counts(np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint8).reshape(-1, PACKED_FINE))
     p = p[np.lexsort((p["label"], p["tok"]))]
     cut = np.flatnonzero(np.r_[True, p["tok"][1:] != p["tok"][:-1]])
-    seen: set[tuple[int, int]] = set()
+    found = []
     for lo, hi in zip(cut, np.r_[cut[1:], len(p)]):
         m = p[lo:hi]
         if m["label"][0] == m["label"][-1]:
             continue
-        # search from the smaller components into the tree of all; of the largest none needs to ask
-        lab, count = np.unique(m["label"], return_counts=True)
-        tree = RTree(m, m["label"])
-        largest = lab[count.argmax()] if count.max() > 1 else None
-        for q in m[m["label"] != largest] if largest is not None else m:
-            hit = tree.search(q, num, den)
-            hit = hit[tree.label[hit] != q["label"]]
-            if len(hit):
-                t = np.concatenate([tree.p[hit], np.array([q], dtype)])
-                ok = admits(t, np.arange(len(hit)), np.full(len(hit), len(hit)), num, den)
-                for s in t["sig"][:-1][ok]:
-                    seen.add((min(int(s), int(q["sig"])), max(int(s), int(q["sig"]))))
-    ab = np.array(sorted(seen), np.uint64).reshape(-1, 2)
+        if len(m) <= TREE:
+            i, j = np.triu_indices(len(m), 1)
+        else:
+            # the largest component's members need not ask
+            lab, count = np.unique(m["label"], return_counts=True)
+            tree = RTree(m, m["label"])
+            ask = np.flatnonzero(m["label"] != lab[count.argmax()])
+            hits = [tree.search(m[q], num, den) for q in ask]
+            j = tree.order[np.concatenate(hits)] if hits else np.zeros(0, np.int64)
+            i = np.repeat(ask, [len(x) for x in hits])
+        apart = m["label"][i] != m["label"][j]
+        i, j = i[apart], j[apart]
+        ok = admits(m, i, j, num, den)
+        i, j = i[ok], j[ok]
+        if top is not None and len(i):
+            a, b = np.minimum(m["label"][i], m["label"][j]), np.maximum(m["label"][i], m["label"][j])
+            likely = np.concatenate([np.minimum(m["vec"][i[x : x + 4096]], m["vec"][j[x : x + 4096]]).sum(axis=1, dtype=np.int64) for x in range(0, len(i), 4096)]) / need(m["n"][i].astype(np.int64), m["n"][j].astype(np.int64), num, den)
+            o = np.lexsort((m["sig"][i] ^ m["sig"][j], -likely, b, a))
+            i, j, a, b = i[o], j[o], a[o], b[o]
+            start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            rank = np.arange(len(i)) - np.repeat(start, np.diff(np.r_[start, len(i)]))
+            i, j = i[rank < top], j[rank < top]
+        found.append(np.stack([m["sig"][i], m["sig"][j]], 1))
+    ab = np.concatenate(found) if found else np.zeros((0, 2), np.uint64)
+    ab = np.unique(np.sort(ab, axis=1), axis=0)
     a, b = (ab[:, 0] ^ U(1 << 63)).view(np.int64), (ab[:, 1] ^ U(1 << 63)).view(np.int64)
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -277,98 +388,63 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
     K.once(spark)
     num, den = percent, 100
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    first = store.table(_sketch_and_docs(rows), "op8-docs")
-    named = first.where("bucket IS NULL").select("doc_id", "n_shingles", "sig")
-    order = Order(K.sketch_total(first.where("bucket IS NOT NULL").select("bucket", "payload"), CELLS))
-    order_b = spark.sparkContext.broadcast(order)
     nb = K.n_buckets(spark)
 
-    def prefix(s):
-        keys = order_b.value.keys(s)
+    def prefix(s, sunk):
+        keys = ordered(s, sunk)
         return keys, len(keys) - (-(-num * len(keys) // den)) + 1
 
-    def keys_only():
-        out, pack = None, K.Packer(nb)
-        while True:
-            got = yield out
-            if got is None:
-                yield list(pack.close())
-                return
-            keys, p = prefix(got[1])
-            out = list(pack.add(K.bucket_of(keys[:p], nb), keys[:p]))
-
-    live = K.twice(_sets(rows, K.PACKED, keys_only), BITS)
-    live_b = spark.sparkContext.broadcast(live)
-
-    def postings():
-        out, pack = None, K.Packer(nb)
-        while True:
-            got = yield out
-            if got is None:
-                yield list(pack.close())
-                return
-            sig, s = got
-            keys, p = prefix(s)
-            at = np.flatnonzero(live_b.value.has(keys[:p]))
-            rec = np.zeros(len(at), POSTING)
-            if len(at):
-                rec["tok"], rec["sig"], rec["n"], rec["pos"], rec["vec"] = keys[at], sig, len(keys), at, point(keys)
-            out = list(pack.add(K.bucket_of(keys[at], nb), rec))
-
-    met = store.table(K.exchange(_sets(rows, K.PACKED, postings), lambda b, t: _meetings(b, t, num, den), "a bigint, b bigint, bucket int, payload binary"), "op8-met")
-    pairs = met.where("bucket IS NULL").select("a", "b").distinct()
-    pairs = store.table(pairs, "op8-pairs")
+    def keys_only(sunk_b):
+        def emit():
+            out, pack = None, K.Packer(nb)
+            while True:
+                got = yield out
+                if got is None:
+                    yield list(pack.close())
+                    return
+                keys, p = prefix(got[1], sunk_b and sunk_b.value)
+                out = list(pack.add(K.bucket_of(keys[:p], nb), keys[:p]))
+
+        return _sets(rows, K.PACKED, emit)
+
+    sunk_b = spark.sparkContext.broadcast(K.repeated(keys_only(None), BITS, SMALL + 1, (1 << 63) - 1))
+    live_b = spark.sparkContext.broadcast(K.repeated(keys_only(sunk_b), BITS, 2))
+    met = store.table(K.exchange(_postings(rows, sunk_b, live_b, nb, prefix), lambda b, t: _met_or_docs(b, t, nb, num, den), "a bigint, b bigint, bucket int, payload binary, doc_id bigint, n_shingles bigint, sig bigint"), "op8-met")
+    named = met.where("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "sig")
+    met = met.where("n_shingles IS NULL").select("a", "b", "bucket", "payload")
+    pairs = store.table(met.where("bucket IS NULL").select("a", "b").distinct(), "op8-pairs")
     large = met.where("bucket IS NOT NULL").select("bucket", "payload")
 
-    # round 1: the pairs found so far
-    member = pairs.select(F.explode(F.array("a", "b")).alias("sig")).unionByName(_members(large).select("sig"))
+    heads = store.table(named.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("d")), "op8-heads")
 
-    def packed_sigs(batches):
-        for b in batches:
-            s = np.unique(b.column(0).to_numpy().view(np.uint64) ^ U(1 << 63))
-            yield from K.bit_rows(s, BITS)
-
-    wanted_b = spark.sparkContext.broadcast(K.bits_total(member.mapInArrow(packed_sigs, K.PACKED), BITS))
-
-    def whole():
-        out, hold, size = None, [], 0
-
-        def batch():
-            return [pa.RecordBatch.from_arrays([pa.array([x - (1 << 63) for x, _ in hold], pa.int64()), pa.array([y.tobytes() for _, y in hold], pa.binary())], ["sig", "keys"])]
-
-        while True:
-            got = yield out
-            out = None
-            if got is None:
-                yield batch()
-                return
-            sig, s = got
-            if wanted_b.value.has(np.array([sig], np.uint64))[0]:
-                hold.append((sig, s))
-                size += s.nbytes
-                if size > 4 << 20:
-                    out, hold, size = batch(), [], 0
-
-    sets = store.table(_sets(rows, "sig bigint, keys binary", whole).groupBy("sig").agg(F.first("keys").alias("keys")), "op8-sets")
-    links = store.table(_verified(pairs, sets, num, den), "op8-links")
+    def checked(pairs):
+        sets = store.table(_fetch(rows, heads, pairs.select(F.explode(F.array("a", "b")).alias("sig")), True), "op8-sets")
+        return _verified(pairs, sets, num, den)
+
+    # first: the pairs found so far
+    links = store.table(checked(pairs), "op8-links")
     labels = graph.components(links)
 
-    # round 2: large meetings, between components
-    m = _members(large)
-    tagged = m.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    mixed = tagged.groupBy("tok").agg((F.min("label") < F.max("label")).alias("mixed"), F.count("*").alias("members")).where("mixed").drop("mixed")
-    tagged = tagged.join(mixed, "tok")
-    # very large meetings split by size: linked sizes lie in one band or in neighbours
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num)))).cast("int")
-    tagged = tagged.withColumn("band", F.explode(F.when(F.col("members") > WIDE, F.array(band, band + 1)).otherwise(F.array(F.lit(-1)))))
-    tagged = tagged.withColumn("tok", F.when(F.col("band") >= 0, F.xxhash64("tok", "band")).otherwise(F.col("tok")))
-    tagged = tagged.select(F.pmod(F.xxhash64("tok"), F.lit(nb)).cast("int").alias("bucket"), "tok", (F.col("sig").bitwiseXOR(F.lit(-(1 << 63)))).alias("sig"), "n", "pos", "vec", "label")
-    more = store.table(K.exchange(tagged, lambda b, t: _rest(b, t, num, den), PAIRS).distinct(), "op8-more")
-    if more.limit(1).count():
-        links = store.table(links.unionByName(_verified(more, sets, num, den)), "op8-links")
-        labels = graph.components(links)
-
-    heads = named.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("d"))
+    # then large meetings, between components
+    members = store.table(_members(large), "op8-members")
+    fine = store.table(_fetch(rows, heads, members, False).dropDuplicates(["sig"]), "op8-fine")
+    for top in ROUNDS:
+        tagged = members.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+        mixed = tagged.groupBy("tok").agg((F.min("label") < F.max("label")).alias("mixed"), F.count("*").alias("members")).where("mixed").drop("mixed")
+        tagged = tagged.join(mixed, "tok")
+        # very large meetings split by size: linked sizes lie in one band or in neighbours
+        band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num)))).cast("int")
+        tagged = tagged.withColumn("band", F.explode(F.when(F.col("members") > WIDE, F.array(band, band + 1)).otherwise(F.array(F.lit(-1)))))
+        tagged = tagged.withColumn("tok", F.when(F.col("band") >= 0, F.xxhash64("tok", "band")).otherwise(F.col("tok")))
+        tagged = tagged.join(fine.withColumnRenamed("data", "fine"), "sig")
+        tagged = tagged.select(F.pmod(F.xxhash64("tok"), F.lit(nb)).cast("int").alias("bucket"), "tok", (F.col("sig").bitwiseXOR(F.lit(-(1 << 63)))).alias("sig"), "n", "pos", "fine", "label")
+        more = K.exchange(tagged, lambda b, t, top=top: _rest(b, t, num, den, top), PAIRS).distinct()
+        more = store.table(more.join(pairs, ["a", "b"], "left_anti"), "op8-more")
+        if more.limit(1).count():
+            pairs = pairs.unionByName(more)
+            links = store.table(links.unionByName(checked(more)), "op8-links")
+            labels = graph.components(links)
+
     heads = heads.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     least = heads.groupBy("label").agg(F.min("d").alias("component_id"))
     heads = heads.join(least, "label").select("sig", "component_id")
@@ -380,13 +456,12 @@ def _members(large: DataFrame) -> DataFrame:
         for b in batches:
             for x in b.column("payload"):
                 p = np.frombuffer(x.as_buffer(), POSTING)
-                vec = pa.array([v.tobytes() for v in p["vec"]], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(p["tok"].copy().view(np.int64)), pa.array((p["sig"] ^ U(1 << 63)).view(np.int64)), pa.array(p["n"].astype(np.int64)), pa.array(p["pos"].astype(np.int64)), vec],
-                    ["tok", "sig", "n", "pos", "vec"],
+                    [pa.array(p["tok"].copy().view(np.int64)), pa.array((p["sig"] ^ U(1 << 63)).view(np.int64)), pa.array(p["n"].astype(np.int64)), pa.array(p["pos"].astype(np.int64))],
+                    ["tok", "sig", "n", "pos"],
                 )
 
-    return large.mapInArrow(run, "tok bigint, sig bigint, n bigint, pos bigint, vec binary")
+    return large.mapInArrow(run, "tok bigint, sig bigint, n bigint, pos bigint")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:

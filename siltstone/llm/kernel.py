@@ -1,6 +1,6 @@
 """Vectorised kernels over the bytes of Arrow text columns, and packed exchanges.
 
-Texts are taken in blocks of about 1 MB of whole texts; words, lines and shingles of a
+Texts are taken in blocks of about 256 KB of whole texts; words, lines and shingles of a
 block are arrays of places and 64-bit hashes, so no Python object is made per word.
 Hashes are sums of byte * B**place modulo 2**64 from one running sum per block, moved to
 place 0 by the inverse power and mixed.
@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True  # fixed values: \x20 and \x09-\x0D
 LOWER = np.arange(256, dtype=np.uint8)
