@@ -5,7 +5,9 @@
 2. A randomised SVD of the TF-IDF matrix A of all passages, with the benchmark's own
    passages weighted to the same total: every task adds its part of A'(A W) for a fixed
    random W; the sum's orthonormal basis is the latent space.
-3. Windows of 32 words, eight apart, of every document are projected; each benchmark
+   Words of more than COMMON of all passages have no weight, but for those of items that
+   would keep fewer than LEFT words.
+3. Windows of 32 words, sixteen apart, of every document are projected; each benchmark
    item's cosine with each window is one matrix product. Windows at or above ``cosine``
    are candidates.
 4. A candidate region is read word by word: the longest common subsequence with the item,
@@ -27,7 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 from siltstone.llm import kernel as K
 
 U = np.uint64
-PASSAGE, STEP, SPAN, RANK = 64, 8, 4, 96
+PASSAGE, STEP, SPAN, RANK = 64, 16, 2, 96
+COMMON, LEFT = 0.003, 8
 CHUNKS = 32
 
 # words end at white space and at ASCII punctuation
@@ -44,7 +47,7 @@ class Rules:
     common subsequence has ``share`` of the item's words and it holds ``answers`` of the
     item's answer words. Items of fewer than ``least`` words are passed over."""
 
-    cosine: float = 0.45
+    cosine: float = 0.55
     share: float = 0.6
     answers: float = 0.5
     run: int = 13
@@ -85,6 +88,19 @@ class Items:
         ok = self.vocab[at] == h[k]
         return k[ok], at[ok]
 
+    def weigh(self, df: np.ndarray) -> np.ndarray:
+        """TF-IDF weights from passage frequencies (and their number, last); from here on
+        ``places`` passes words without weight over."""
+        v = [np.searchsorted(self.vocab, h) for h in self.hashes]
+        common = df[:-1] > COMMON * max(1.0, df[-1])
+        for x in v:
+            if len(x) and (~common[x]).sum() < LEFT:
+                common[x] = False
+        weight = np.where(common, 0.0, np.log((df[-1] + 1) / (df[:-1] + 1)) + 0.1)
+        self.bits[:] = False
+        self.bits[(self.vocab[~common] & U((1 << 20) - 1)).astype(np.int64)] = True
+        return weight
+
 
 def common_subsequence(region: np.ndarray, item: np.ndarray) -> int:
     """Length of the longest common subsequence, by bits of one integer."""
@@ -165,8 +181,11 @@ def frequencies(rows: DataFrame, items_b) -> np.ndarray:
             for _, _, h, at in _passages(b.column(0)):
                 of, n = _passage_of(at, PASSAGE)
                 k, v = items.places(h)
-                key = np.unique(of[k] * len(items.vocab) + v)
-                total[:-1, 0] += np.bincount(key % max(1, len(items.vocab)), minlength=len(items.vocab))
+                if len(v):
+                    # once for each passage
+                    o = np.argsort(v, kind="stable")
+                    new = np.r_[True, (v[o][1:] != v[o][:-1]) | (of[k][o][1:] != of[k][o][:-1])]
+                    total[:-1, 0] += np.bincount(v[o][new], minlength=len(items.vocab))
                 total[-1, 0] += n
         yield _chunks(total)
 
@@ -230,6 +249,15 @@ class Search:
         norm = np.linalg.norm(vec, axis=1)
         self.vec = (vec / np.maximum(norm, 1e-9)[:, None]).astype(np.float32)
         self.usable = np.array([len(h) >= rules.least for h in items.hashes], bool)
+        # weighted words a region must hold for the subsequence or the run that is asked for
+        self.least, self.member = [], np.zeros((len(v), len(items.vocab)), bool)
+        for j, x in enumerate(v):
+            heavy = (weight[x] > 0).astype(np.int64)
+            n = min(rules.run, len(x))
+            runs = np.convolve(heavy, np.ones(n, np.int64), "valid") if n else np.zeros(1, np.int64)
+            self.least.append(max(1, min(ceil(rules.share * len(x)) - int((1 - heavy).sum()), int(runs.min(initial=99)))))
+            self.member[j, x[heavy > 0]] = True
+        self.least_of = np.array(self.least, np.int64)
         # answer words: those given, else the quarter of the item's words with most weight
         self.answers = []
         for h, x, given in zip(items.hashes, v, items.explicit):
@@ -270,13 +298,23 @@ class Search:
             same = np.r_[text, np.full(SPAN, -1)]
             for d in range(1, SPAN):
                 win += part[d : n + d] * (same[d : n + d] == text)[:, None]
+            begin = np.searchsorted(of[k], np.arange(n))
+            last = np.searchsorted(text, text, side="right")  # end of the text's steps
+            stop = np.searchsorted(of[k], np.minimum(np.arange(n) + SPAN, last))
             norm = np.maximum(np.sqrt((win * win).sum(axis=1)), 1e-9)
             hits = []
             for x in range(0, n, 4096):
                 cos = (win[x : x + 4096] @ self.vec.T) / norm[x : x + 4096, None]
                 cos[:, ~self.usable] = 0
                 w, j = np.nonzero(cos >= self.rules.cosine)
-                hits += zip(text[w + x].tolist(), j.tolist(), (w + x).tolist(), cos[w, j].tolist())
+                cos = cos[w, j]
+                w += x
+                # weighted item words in each window
+                size = stop[w] - begin[w]
+                at_word = np.repeat(begin[w] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                held = np.bincount(np.repeat(np.arange(len(w)), size), weights=self.member[np.repeat(j, size), v[at_word]], minlength=len(w))
+                ok = held >= np.minimum(self.least_of[j], 3)
+                hits += zip(text[w[ok]].tolist(), j[ok].tolist(), w[ok].tolist(), cos[ok].tolist())
             first = np.searchsorted(text, np.arange(hi - lo))
             hits.sort()
             a = 0
@@ -292,6 +330,9 @@ class Search:
                 # a long region is read in overlapping stretches, so that far-off words don't add up
                 most, best = 2 * m + STEP * SPAN, None
                 for x in range(s, max(s + 1, e - m), m):
+                    p, q = np.searchsorted(k, (at[row] + x, at[row] + min(e, x + most)))
+                    if self.member[j, v[p:q]].sum() < self.least[j]:
+                        continue
                     got = self.judge(h[at[row] + x : at[row] + min(e, x + most)], j)
                     if got and (best is None or got > best[0]):
                         best = got, x, min(e, x + most)
@@ -312,7 +353,8 @@ def searches(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str
         items = Items(ids, texts)
         items_b = spark.sparkContext.broadcast(items)
         df = frequencies(rows, items_b)
-        weight = np.log((df[-1] + 1) / (df[:-1] + 1)) + 0.1
+        weight = items.weigh(df)
+        items_b = spark.sparkContext.broadcast(items)
         found.append(spark.sparkContext.broadcast(Search(items, weight, latent_basis(rows, items, items_b, weight, rank), rules)))
 
     for r in b.toLocalIterator():
