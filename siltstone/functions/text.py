@@ -7,6 +7,7 @@ with U+001C-001F, letters without combining marks, decimal digits of any script.
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 WS = r"(?U)[\s\x1c-\x1f]+"
 STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
@@ -75,7 +76,7 @@ def hash_share(text: Column, seed: int) -> Column:
     return h.cast("decimal(20,0)").cast("double") / F.lit(18446744073709551615.0)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(s):
     import unicodedata
 

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 PERMS, BANDS, ROWS, LEAST = 128, 16, 8, 0.8  # fixed values of the operator
 MULT = 1_000_003
@@ -35,7 +36,7 @@ def signature(text: str) -> list[int] | None:
     return (low >> np.uint64(32)).astype(np.int64).tolist()
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(ArrayType(LongType()))
 def _signatures(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else signature(x))
 

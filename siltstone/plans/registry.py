@@ -201,7 +201,7 @@ def _(t):
 
 @query("a7_repeated_lines", f"WITH {LINES}, c AS (SELECT line, count(*) AS n FROM s GROUP BY line), b AS (SELECT unnest([2, 10, 100]) AS least) SELECT CAST(least AS BIGINT) AS least, CAST(sum(n) AS BIGINT) AS lines, CAST(sum(n * length(line)) AS BIGINT) AS chars FROM c JOIN b ON n >= least GROUP BY least")
 def _(t):
-    c = S.line_counts(t.documents).where("n >= 2").withColumn("least", F.explode(F.expr("filter(array(2L, 10L, 100L), lambda x: n >= x)")))
+    c = S.line_counts(t.documents).where("n >= 2").withColumn("least", F.explode(F.expr("filter(array(2L, 10L, 100L), x -> n >= x)")))
     return c.groupBy("least").agg(F.sum("n").alias("lines"), F.sum(F.col("n") * F.length("line")).alias("chars"))
 
 
