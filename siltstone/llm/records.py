@@ -200,6 +200,7 @@ def write(docs: DataFrame, tokenizer: str, uri: str, doc_id: str = "doc_id", tex
     from pyarrow import fs
 
     files, root = fs.FileSystem.from_uri(uri)
+    files.create_dir(root, recursive=True)  # an empty table has no tasks
     with files.open_output_stream(f"{root}/manifest.json") as out:
         out.write(json.dumps(found).encode())
     return found
