@@ -27,11 +27,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).repartition("u").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).repartition("u").distinct()
-        cur = store.table(small, "edges")
+        nxt = store.table(small, "edges")
+        store.drop(cur)
+        cur = nxt
         now = state(cur)
         if now == was:
             break
         was = now
     else:
         raise RuntimeError("components did not settle")
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    out = cur.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    out._stored_at = cur._stored_at
+    return out

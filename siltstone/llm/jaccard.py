@@ -410,19 +410,23 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
     sunk_b = spark.sparkContext.broadcast(K.repeated(keys_only(None), BITS, SMALL + 1, (1 << 63) - 1))
     live_b = spark.sparkContext.broadcast(K.repeated(keys_only(sunk_b), BITS, 2))
     met = store.table(K.exchange(_postings(rows, sunk_b, live_b, nb, prefix), lambda b, t: _met_or_docs(b, t, nb, num, den), "a bigint, b bigint, bucket int, payload binary, doc_id bigint, n_shingles bigint, sig bigint"), "op8-met")
+    met_all = met
     named = met.where("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "sig")
     met = met.where("n_shingles IS NULL").select("a", "b", "bucket", "payload")
     pairs = store.table(met.where("bucket IS NULL").select("a", "b").distinct(), "op8-pairs")
     large = met.where("bucket IS NOT NULL").select("bucket", "payload")
+    first_pairs = pairs
 
-    heads = store.table(named.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("d")), "op8-heads")
+    all_heads = heads = store.table(named.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("d")), "op8-heads")
 
     def checked(pairs):
         sets = store.table(_fetch(rows, heads, pairs.select(F.explode(F.array("a", "b")).alias("sig")), True), "op8-sets")
-        return _verified(pairs, sets, num, den)
+        out = store.table(_verified(pairs, sets, num, den), "op8-links")
+        store.drop(sets)
+        return out
 
     # first: the pairs found so far
-    links = store.table(checked(pairs), "op8-links")
+    links = checked(pairs)
     labels = graph.components(links)
 
     # then large meetings, between components
@@ -442,13 +446,17 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
         more = store.table(more.join(pairs, ["a", "b"], "left_anti"), "op8-more")
         if more.limit(1).count():
             pairs = pairs.unionByName(more)
-            links = store.table(links.unionByName(checked(more)), "op8-links")
+            links = links.unionByName(checked(more))
+            store.drop(labels)
             labels = graph.components(links)
 
     heads = heads.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     least = heads.groupBy("label").agg(F.min("d").alias("component_id"))
     heads = heads.join(least, "label").select("sig", "component_id")
-    return named.join(heads, "sig", "left").select("doc_id", "n_shingles", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "sig")
+    out = named.join(heads, "sig", "left").select("doc_id", "n_shingles", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "sig")
+    out = store.table(out, "op8-out")
+    store.drop(met_all, first_pairs, all_heads, members, fine, labels)
+    return out
 
 
 def _members(large: DataFrame) -> DataFrame:

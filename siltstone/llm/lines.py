@@ -241,43 +241,60 @@ def _meet(bucket: int, table: pa.Table, num: int, den: int):
         yield _pairs_batch([], q[x : x + (1 << 16)].tobytes(), bucket)
 
 
-def _fetch(rows: DataFrame, wanted_b) -> DataFrame:
-    """(sig, words) of the lines named by the bit table, a name once."""
+def _place(doc_id: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return K.mix(K.mix(doc_id.view(np.uint64)) + line.astype(np.uint64))
 
-    def run(batches):
-        for _, ls, k in _batches(batches):
-            k = k[wanted_b.value.has(ls.sig[k])]
-            words = [ls.words[ls.at[i] : ls.at[i + 1]].tobytes() for i in k]
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(ls.sig[k])), pa.array(words, pa.binary())], ["sig", "words"])
-
-    return rows.mapInArrow(run, "sig bigint, words binary").groupBy("sig").agg(F.first("words").alias("words"))
 
+def _fetch(rows: DataFrame, places_b) -> DataFrame:
+    """(sig, words) of the lines whose place the bit table holds: places of first lines, so
+    a name comes once (what the table lets through besides is dropped by the join). A word
+    is the five bytes of its hash."""
 
-def _named(sigs: DataFrame) -> K.Bits:
     def run(batches):
         for b in batches:
-            yield from K.bit_rows(np.unique(_unsigned(b.column(0).to_numpy())), BITS)
+            ids = np.asarray(b.column(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            for ls in line_sets(b.column(1)):
+                k = np.flatnonzero(places_b.value.has(_place(ids[ls.row], ls.no)))
+                five = ls.words.view(np.uint8).reshape(-1, 8)[:, :5]
+                words = [five[ls.at[i] : ls.at[i + 1]].tobytes() for i in k]
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(ls.sig[k])), pa.array(words, pa.binary())], ["sig", "words"])
+
+    return rows.mapInArrow(run, "sig bigint, words binary")
+
 
-    return K.bits_total(sigs.mapInArrow(run, K.PACKED), BITS)
+def _words(x) -> np.ndarray:
+    five = np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, 5)
+    out = np.zeros((len(five), 8), np.uint8)
+    out[:, :5] = five
+    return out.view(np.uint64).ravel()
 
 
-def _verified(rows: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+def _verified(rows: DataFrame, firsts: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     spark = rows.sparkSession
-    wanted_b = spark.sparkContext.broadcast(_named(pairs.select(F.explode(F.array("a", "b")).alias("sig"))))
-    sets = store.table(_fetch(rows, wanted_b), "op7-sets")
+    sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+
+    def place(batches):
+        for b in batches:
+            yield from K.bit_rows(np.unique(_place(b.column(0).to_numpy(), b.column(1).to_numpy())), BITS)
+
+    wanted = firsts.join(sigs, "sig", "left_semi").select("f.doc_id", "f.line")
+    places_b = spark.sparkContext.broadcast(K.bits_total(wanted.mapInArrow(place, K.PACKED), BITS))
+    sets = store.table(_fetch(rows, places_b).join(sigs, "sig", "left_semi"), "op7-sets")
 
     def run(batches):
         for b in batches:
             keep = []
             for i in range(b.num_rows):
-                x, y = (np.frombuffer(b.column(k)[i].as_buffer(), np.uint64) for k in (2, 3))
+                x, y = _words(b.column(2)[i]), _words(b.column(3)[i])
                 inter = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(den * inter >= num * (len(x) + len(y) - inter))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one = pairs.join(sets.select(F.col("sig").alias("a"), F.col("words").alias("wa")), "a")
     two = one.join(sets.select(F.col("sig").alias("b"), F.col("words").alias("wb")), "b").select("a", "b", "wa", "wb")
-    return two.mapInArrow(run, PAIRS)
+    out = store.table(two.mapInArrow(run, PAIRS).distinct(), "op7-links")
+    store.drop(sets)
+    return out
 
 
 def _settled(links: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -304,14 +321,15 @@ def keep_list(rows: DataFrame, percent: int = 75) -> DataFrame:
     spark = rows.sparkSession
     num, den = percent, 100
     first = store.table(_first_pass(rows), "op7-lines")
-    firsts = first.where("bucket IS NULL").groupBy("sig").agg(F.min(F.struct("doc_id", "line")).alias("f"))
+    firsts = store.table(first.where("bucket IS NULL").groupBy("sig").agg(F.min(F.struct("doc_id", "line")).alias("f")), "op7-firsts")
     counts = K.sketch_total(first.where("bucket IS NOT NULL").select("bucket", "payload"), CELLS)
+    store.drop(first)
     level_b = spark.sparkContext.broadcast(_levels(counts))
     low, high = rows.agg(F.min(F.when(F.col("doc_id") != FIRST, F.col("doc_id"))), F.max("doc_id")).first()
     nb = K.n_buckets(spark)
     met = K.exchange(_postings(rows, level_b, low or 0, high or 0, nb, num, den), lambda b, t: _meet(b, t, num, den), "a bigint, b bigint, bucket int, payload binary")
     met = store.table(met, "op7-met")
-    links = store.table(_verified(rows, met.where("bucket IS NULL").select("a", "b").distinct(), num, den), "op7-links")
+    links = _verified(rows, firsts, met.where("bucket IS NULL").select("a", "b").distinct(), num, den)
     gone = store.table(_settled(links, firsts), "op7-gone")
 
     def spread(batches):
@@ -328,10 +346,12 @@ def keep_list(rows: DataFrame, percent: int = 75) -> DataFrame:
     more = K.exchange(marked, lambda b, t: _rest(b, t, num, den), PAIRS).distinct()
     more = store.table(more.join(links, ["a", "b"], "left_anti"), "op7-more")
     if more.limit(1).count():
-        new = _verified(rows, more, num, den)
+        new = _verified(rows, firsts, more, num, den)
         gone = store.table(gone.unionByName(_settled(new, firsts)).distinct(), "op7-gone")
     kept = firsts.join(gone, "sig", "left_anti").select("f.doc_id", "f.line")
-    return kept.groupBy("doc_id").agg(F.collect_list("line").alias("lines"))
+    out = store.table(kept.groupBy("doc_id").agg(F.collect_list("line").alias("lines")), "op7-kept")
+    store.drop(firsts, met, links, more)
+    return out
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
