@@ -262,6 +262,45 @@ def _fetch(rows: DataFrame, places_b) -> DataFrame:
     return rows.mapInArrow(run, "sig bigint, words binary")
 
 
+WIDE_MAP = np.dtype([("n", "<u4"), ("map", "<u8", 4)])
+
+
+def _fetch_maps(rows: DataFrame, places_b) -> DataFrame:
+    """(sig, data): like ``_fetch``, the size and a 256-bit bitmap of each set."""
+
+    def run(batches):
+        for b in batches:
+            ids = np.asarray(b.column(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            for ls in line_sets(b.column(1)):
+                h = K.mix(ls.words)
+                out = np.zeros(len(ls.n), WIDE_MAP)
+                out["n"] = ls.n
+                bit, part = U(1) << (h & U(63)), (h >> U(6)) & U(3)
+                for q in range(4):
+                    out["map"][:, q] = np.bitwise_or.reduceat(np.where(part == U(q), bit, U(0)), ls.at[:-1])
+                k = np.flatnonzero(places_b.value.has(_place(ids[ls.row], ls.no)))
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(ls.sig[k])), pa.array([x.tobytes() for x in out[k]], pa.binary())], ["sig", "data"])
+
+    return rows.mapInArrow(run, "sig bigint, data binary")
+
+
+def _fitting(pairs: DataFrame, maps: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs whose overlap the wide bitmaps do not rule out."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), WIDE_MAP) for k in (2, 3))
+                both = x["n"].astype(np.int64) + y["n"]
+                differ = np.bitwise_count(x["map"] ^ y["map"]).sum(axis=1, dtype=np.int64)
+                b = b.filter(pa.array((both - differ) // 2 >= need(x["n"].astype(np.int64), y["n"].astype(np.int64), num, den)))
+            yield b.select(["a", "b"])
+
+    one = pairs.join(maps.select(F.col("sig").alias("a"), F.col("data").alias("ma")), "a")
+    two = one.join(maps.select(F.col("sig").alias("b"), F.col("data").alias("mb")), "b").select("a", "b", "ma", "mb")
+    return two.mapInArrow(run, PAIRS).distinct()
+
+
 def _words(x) -> np.ndarray:
     five = np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, 5)
     out = np.zeros((len(five), 8), np.uint8)
@@ -271,15 +310,21 @@ def _words(x) -> np.ndarray:
 
 def _verified(rows: DataFrame, firsts: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     spark = rows.sparkSession
-    sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
 
     def place(batches):
         for b in batches:
             yield from K.bit_rows(np.unique(_place(b.column(0).to_numpy(), b.column(1).to_numpy())), BITS)
 
-    wanted = firsts.join(sigs, "sig", "left_semi").select("f.doc_id", "f.line")
-    places_b = spark.sparkContext.broadcast(K.bits_total(wanted.mapInArrow(place, K.PACKED), BITS))
-    sets = store.table(_fetch(rows, places_b).join(sigs, "sig", "left_semi"), "op7-sets")
+    def places(pairs):
+        sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+        wanted = firsts.join(sigs, "sig", "left_semi").select("f.doc_id", "f.line")
+        return spark.sparkContext.broadcast(K.bits_total(wanted.mapInArrow(place, K.PACKED), BITS))
+
+    # wide bitmaps rule most pairs out before whole sets travel
+    maps = store.table(_fetch_maps(rows, places(pairs)), "op7-maps")
+    pairs = store.table(_fitting(pairs, maps, num, den), "op7-pairs")
+    store.drop(maps)
+    sets = store.table(_fetch(rows, places(pairs)), "op7-sets")
 
     def run(batches):
         for b in batches:
@@ -293,7 +338,7 @@ def _verified(rows: DataFrame, firsts: DataFrame, pairs: DataFrame, num: int, de
     one = pairs.join(sets.select(F.col("sig").alias("a"), F.col("words").alias("wa")), "a")
     two = one.join(sets.select(F.col("sig").alias("b"), F.col("words").alias("wb")), "b").select("a", "b", "wa", "wb")
     out = store.table(two.mapInArrow(run, PAIRS).distinct(), "op7-links")
-    store.drop(sets)
+    store.drop(sets, pairs)
     return out
 
 
