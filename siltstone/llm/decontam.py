@@ -5,11 +5,10 @@
 2. A randomised SVD of the TF-IDF matrix A of all passages, with the benchmark's own
    passages weighted to the same total: every task adds its part of A'(A W) for a fixed
    random W; the sum's orthonormal basis is the latent space.
-   Words of more than COMMON of all passages have no weight, but for those of items that
-   would keep fewer than LEFT words.
-3. Windows of 32 words, sixteen apart, of every document are projected; each benchmark
+3. Windows of 32 words, eight apart, of every document are projected; each benchmark
    item's cosine with each window is one matrix product. Windows at or above ``cosine``
-   are candidates.
+   are candidates, and so are those, whatever their cosine, in which a run of ``run``
+   words of an item (or a whole shorter item) begins: runs are looked up exactly.
 4. A candidate region is read word by word: the longest common subsequence with the item,
    the longest run in common, and how many of the item's answer words it holds decide.
 
@@ -29,8 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from siltstone.llm import kernel as K
 
 U = np.uint64
-PASSAGE, STEP, SPAN, RANK = 64, 16, 2, 96
-COMMON, LEFT = 0.003, 8
+PASSAGE, STEP, SPAN, RANK = 64, 8, 4, 96
 CHUNKS = 32
 
 # words end at white space and at ASCII punctuation
@@ -42,12 +40,12 @@ for _c in b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz":
 
 @dataclass(frozen=True)
 class Rules:
-    """cosine: least latent cosine of a candidate window. A region is contaminated when it
+    """cosine: least latent cosine of a window that is a candidate without a run. A region is contaminated when it
     holds a common run of ``run`` words (or a whole shorter item), or when its longest
     common subsequence has ``share`` of the item's words and it holds ``answers`` of the
     item's answer words. Items of fewer than ``least`` words are passed over."""
 
-    cosine: float = 0.55
+    cosine: float = 0.45
     share: float = 0.6
     answers: float = 0.5
     run: int = 13
@@ -88,19 +86,6 @@ class Items:
         ok = self.vocab[at] == h[k]
         return k[ok], at[ok]
 
-    def weigh(self, df: np.ndarray) -> np.ndarray:
-        """TF-IDF weights from passage frequencies (and their number, last); from here on
-        ``places`` passes words without weight over."""
-        v = [np.searchsorted(self.vocab, h) for h in self.hashes]
-        common = df[:-1] > COMMON * max(1.0, df[-1])
-        for x in v:
-            if len(x) and (~common[x]).sum() < LEFT:
-                common[x] = False
-        weight = np.where(common, 0.0, np.log((df[-1] + 1) / (df[:-1] + 1)) + 0.1)
-        self.bits[:] = False
-        self.bits[(self.vocab[~common] & U((1 << 20) - 1)).astype(np.int64)] = True
-        return weight
-
 
 def common_subsequence(region: np.ndarray, item: np.ndarray) -> int:
     """Length of the longest common subsequence, by bits of one integer."""
@@ -238,6 +223,14 @@ def latent_basis(rows: DataFrame, items: Items, items_b, weight: np.ndarray, ran
     return q
 
 
+def _named(v: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+    """Names of the runs of n words of v at the given places."""
+    g = np.zeros(len(start), np.uint64)
+    for d in range(n):
+        g = K.mix(g * U(K.BASE) + v[start + d].astype(np.uint64) + U(1))
+    return g
+
+
 class Search:
     """What a task needs to find a block's items in texts."""
 
@@ -248,16 +241,22 @@ class Search:
         vec = np.stack([self.rows[x].sum(axis=0) if len(x) else np.zeros(basis.shape[1], np.float32) for x in v]) if v else np.zeros((0, basis.shape[1]), np.float32)
         norm = np.linalg.norm(vec, axis=1)
         self.vec = (vec / np.maximum(norm, 1e-9)[:, None]).astype(np.float32)
+        self.size = np.array([len(h) for h in items.hashes], np.int64)
         self.usable = np.array([len(h) >= rules.least for h in items.hashes], bool)
-        # weighted words a region must hold for the subsequence or the run that is asked for
-        self.least, self.member = [], np.zeros((len(v), len(items.vocab)), bool)
+        # item words a region must hold for the subsequence that is asked for, and for that or the run
+        share = [ceil(rules.share * len(x)) for x in v]
+        self.least = np.array([[max(1, n), max(1, min(n, rules.run, len(x)))] for n, x in zip(share, v)], np.int64).reshape(-1, 2)
+        self.member = np.zeros((len(v), len(items.vocab)), np.uint16)  # how often each item has each word
         for j, x in enumerate(v):
-            heavy = (weight[x] > 0).astype(np.int64)
-            n = min(rules.run, len(x))
-            runs = np.convolve(heavy, np.ones(n, np.int64), "valid") if n else np.zeros(1, np.int64)
-            self.least.append(max(1, min(ceil(rules.share * len(x)) - int((1 - heavy).sum()), int(runs.min(initial=99)))))
-            self.member[j, x[heavy > 0]] = True
-        self.least_of = np.array(self.least, np.int64)
+            np.add.at(self.member[j], x, 1)
+        # by length: sorted names of the items' runs, and whose they are
+        self.runs = {}
+        for n in sorted({min(rules.run, len(x)) for x, u in zip(v, self.usable) if u and len(x)}):
+            own = [(j, x) for j, x in enumerate(v) if self.usable[j] and min(rules.run, len(x)) == n]
+            name = np.concatenate([_named(x, np.arange(len(x) - n + 1), n) for _, x in own])
+            whose = np.repeat([j for j, _ in own], [len(x) - n + 1 for _, x in own])
+            o = np.argsort(name, kind="stable")
+            self.runs[n] = name[o], whose[o]
         # answer words: those given, else the quarter of the item's words with most weight
         self.answers = []
         for h, x, given in zip(items.hashes, v, items.explicit):
@@ -298,47 +297,77 @@ class Search:
             same = np.r_[text, np.full(SPAN, -1)]
             for d in range(1, SPAN):
                 win += part[d : n + d] * (same[d : n + d] == text)[:, None]
-            begin = np.searchsorted(of[k], np.arange(n))
-            last = np.searchsorted(text, text, side="right")  # end of the text's steps
-            stop = np.searchsorted(of[k], np.minimum(np.arange(n) + SPAN, last))
             norm = np.maximum(np.sqrt((win * win).sum(axis=1)), 1e-9)
-            hits = []
+            first = np.searchsorted(text, np.arange(hi - lo))
+            found = [self._run_windows(k, v, at, first)]
             for x in range(0, n, 4096):
                 cos = (win[x : x + 4096] @ self.vec.T) / norm[x : x + 4096, None]
                 cos[:, ~self.usable] = 0
                 w, j = np.nonzero(cos >= self.rules.cosine)
-                cos = cos[w, j]
-                w += x
-                # weighted item words in each window
-                size = stop[w] - begin[w]
-                at_word = np.repeat(begin[w] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                held = np.bincount(np.repeat(np.arange(len(w)), size), weights=self.member[np.repeat(j, size), v[at_word]], minlength=len(w))
-                ok = held >= np.minimum(self.least_of[j], 3)
-                hits += zip(text[w[ok]].tolist(), j[ok].tolist(), w[ok].tolist(), cos[ok].tolist())
-            first = np.searchsorted(text, np.arange(hi - lo))
-            hits.sort()
-            a = 0
-            while a < len(hits):
-                b = a
-                row, j = hits[a][:2]
-                m = len(it.hashes[j])
-                # windows whose regions touch are one region
-                while b + 1 < len(hits) and hits[b + 1][:2] == (row, j) and (hits[b + 1][2] - hits[b][2]) * STEP <= m + STEP * SPAN:
-                    b += 1
-                s = max(0, (hits[a][2] - first[row]) * STEP - m)
-                e = min(at[row + 1] - at[row], (hits[b][2] - first[row] + SPAN) * STEP + m)
-                # a long region is read in overlapping stretches, so that far-off words don't add up
-                most, best = 2 * m + STEP * SPAN, None
-                for x in range(s, max(s + 1, e - m), m):
-                    p, q = np.searchsorted(k, (at[row] + x, at[row] + min(e, x + most)))
-                    if self.member[j, v[p:q]].sum() < self.least[j]:
-                        continue
-                    got = self.judge(h[at[row] + x : at[row] + min(e, x + most)], j)
-                    if got and (best is None or got > best[0]):
-                        best = got, x, min(e, x + most)
-                if best:
-                    yield lo + row, j, max(x[3] for x in hits[a : b + 1]), *best[0], int(best[1]), int(best[2])
-                a = b + 1
+                found.append((w + x, j))
+            w, j = (np.concatenate(x) for x in zip(*found))
+            if not len(w):
+                continue
+            key = np.unique((text[w] * len(it.ids) + j) * n + w)
+            w, j = key % n, key // n % len(it.ids)
+            by_run = np.isin(key, (text[found[0][0]] * len(it.ids) + found[0][1]) * n + found[0][0])
+            cos = np.concatenate([(win[w[x : x + 4096]] * self.vec[j[x : x + 4096]]).sum(axis=1) for x in range(0, len(w), 4096)]) / norm[w]
+            row, m = text[w], self.size[j]
+            # windows whose regions touch are one region
+            cut = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (j[1:] != j[:-1]) | (np.diff(w) * STEP > m[1:] + STEP * SPAN)])
+            end = np.r_[cut[1:], len(w)] - 1
+            top = np.maximum.reduceat(cos, cut)
+            with_run = np.logical_or.reduceat(by_run, cut).astype(np.int64)  # all others have none
+            row, j, m = row[cut], j[cut], m[cut]
+            s = np.maximum(0, (w[cut] - first[row]) * STEP - m)
+            e = np.minimum(at[row + 1] - at[row], (w[end] - first[row] + SPAN) * STEP + m)
+            # a long region is read in overlapping stretches, so that far-off words don't add up
+            per = np.maximum(1, -(-(e - m - s) // m))
+            of_region = np.repeat(np.arange(len(s)), per)
+            x = s[of_region] + (np.arange(len(of_region)) - (np.cumsum(per) - per)[of_region]) * m[of_region]
+            y = np.minimum(e[of_region], x + 2 * m[of_region] + STEP * SPAN)
+            p = np.searchsorted(k, at[row[of_region]] + x)
+            q = np.searchsorted(k, at[row[of_region]] + y)
+            best: dict = {}
+            for z in np.flatnonzero(self._held(v, p, q, j[of_region]) >= self.least[j[of_region], with_run[of_region]]).tolist():
+                r = int(of_region[z])
+                got = self.judge(h[at[row[r]] + x[z] : at[row[r]] + y[z]], int(j[r]))
+                if got and (r not in best or got > best[r][0]):
+                    best[r] = got, int(x[z]), int(y[z])
+            for r, (got, x0, y0) in best.items():
+                yield lo + int(row[r]), int(j[r]), float(top[r]), *got, x0, y0
+
+    def _run_windows(self, k: np.ndarray, v: np.ndarray, at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item place) of every run of an item's words: ``k`` and ``v`` are the
+        places of a block's vocabulary words in the block and in the vocabulary."""
+        ws, js = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n, (name, whose) in self.runs.items():
+            if len(k) < n:
+                continue
+            i = np.flatnonzero(k[n - 1 :] - k[: len(k) - n + 1] == n - 1)
+            row = np.searchsorted(at, k[i], side="right") - 1
+            inside = k[i] + n <= at[row + 1]
+            i, row = i[inside], row[inside]
+            g = _named(v, i, n)
+            a, b = np.searchsorted(name, g), np.searchsorted(name, g, side="right")
+            size = b - a
+            js.append(whose[np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())])
+            ws.append(np.repeat(first[row] + (k[i] - at[row]) // STEP, size))
+        return np.concatenate(ws), np.concatenate(js)
+
+    def _held(self, v: np.ndarray, p: np.ndarray, q: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many words v[p:q] and item j have in common, each as often as both have it,
+        for arrays p, q and j: no common subsequence or run is longer."""
+        out = np.zeros(len(p), np.int64)
+        for x in range(0, len(p), 4096):
+            lo, size, of = p[x : x + 4096], (q - p)[x : x + 4096], j[x : x + 4096]
+            word = v[np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())]
+            own = np.repeat(np.arange(len(lo)), size)
+            mine = self.member[of[own], word] > 0
+            pair, often = np.unique(own[mine] * self.member.shape[1] + word[mine], return_counts=True)
+            own, word = pair // self.member.shape[1], pair % self.member.shape[1]
+            out[x : x + 4096] = np.bincount(own, weights=np.minimum(often, self.member[of[own], word]), minlength=len(lo))
+        return out
 
 
 def searches(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, text: str, rules: Rules, rank: int, block: int) -> list:
@@ -353,8 +382,7 @@ def searches(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str
         items = Items(ids, texts)
         items_b = spark.sparkContext.broadcast(items)
         df = frequencies(rows, items_b)
-        weight = items.weigh(df)
-        items_b = spark.sparkContext.broadcast(items)
+        weight = np.log((df[-1] + 1) / (df[:-1] + 1)) + 0.1
         found.append(spark.sparkContext.broadcast(Search(items, weight, latent_basis(rows, items, items_b, weight, rank), rules)))
 
     for r in b.toLocalIterator():

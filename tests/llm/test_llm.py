@@ -199,3 +199,20 @@ def test_decontamination(spark, empty):
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(d, b).collect()} == {(100, 1), (101, 2)}
     assert decontam.decontaminate(d, b).count() == 21
     assert decontam.contaminated(empty, b).count() == 0
+
+
+def test_decontamination_of_shared_parts(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(3, 8)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, text(34)) for i in range(4)] + [(7, text(6))]
+    part = " ".join(items[3][1].split()[:14])
+    few = " ".join(items[2][1].split()[:12])
+    # a notice that many documents hold has part of an item; another has too little of one
+    rows = [(i, f"{text(40)} {part} {text(60)}") for i in range(40)] + [(100 + i, f"{text(40)} {few} {text(60)}") for i in range(40)]
+    rows += [(200 + i, f"{text(9)} {items[4][1]} {text(50)}") for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = {(i, 3) for i in range(40)} | {(200 + i, 7) for i in range(40)}
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(d, b).collect()} == want
+    assert decontam.decontaminate(d, b).count() == 40
