@@ -1,8 +1,9 @@
 """Secret scans with corpus-wide ownership (native DataFrame expressions only).
 
-Three fixed patterns give the base spans. A wider pattern gives candidate strings; their
-hashes are counted by distinct owners and repositories over the whole corpus, and those
-of one owner only, that look live, are added as spans. Widely copied ones are examples.
+Three fixed patterns give the base spans. A wider pattern gives candidate strings. The
+hashes of all candidates, those inside base spans too, and of the base spans' own secrets
+are counted by distinct owners and repositories over the whole corpus. Candidates of one
+owner only, that look live, are added as spans. Widely copied strings are examples.
 """
 
 from __future__ import annotations
@@ -56,9 +57,10 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repository
 
     Candidates are runs of 20 or more of [A-Za-z0-9_-] that hold a digit, a lower-case and
     an upper-case letter and at least ten different characters. One is live when no more
-    than ``max_owners`` owners and ``max_repositories`` repositories hold it; it becomes a
-    span of kind "owned" unless a base span overlaps it. A candidate that more owners hold
-    is an example (n_example). Null text: no spans. Null owner or repository: a value of
+    than     ``max_owners`` owners and ``max_repositories`` repositories hold it, in whatever place,
+    inside base spans too; it becomes a span of kind "owned" unless a base span overlaps it.
+    A base span's secret, or a candidate that no base span overlaps, that more owners or
+    repositories hold is an example (n_example counts its places). Null text: no spans. Null owner or repository: a value of
     its own (''). Repeated rows: each gets the same result. Empty table: no rows. Other
     columns are ignored.
     """
@@ -79,23 +81,26 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repository
     rows = rows.withColumn("base", base)
     looks = F.filter(
         "wide",
-        lambda x: x["s"].rlike("[0-9]") & x["s"].rlike("[a-z]") & x["s"].rlike("[A-Z]") & (F.size(F.array_distinct(F.split(x["s"], ""))) >= 10) & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])),
+        lambda x: x["s"].rlike("[0-9]") & x["s"].rlike("[a-z]") & x["s"].rlike("[A-Z]") & (F.size(F.array_distinct(F.split(x["s"], ""))) >= 10),
     )
+    # own: 0 for a base span's secret, which ends its match, 1 for a free candidate, 2 for one that a base span overlaps
+    secret = F.transform(F.concat("assign", "access", "hex"), lambda x: F.struct((x["end"] - x["n"]).alias("start"), x["end"].alias("end"), F.lit(0).alias("own"), F.sha2(x["s"], 256).alias("h")))
+    wide = F.transform(looks, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(F.exists("base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])), 2).otherwise(1).alias("own"), F.sha2(x["s"], 256).alias("h")))
     rows = rows.select(
         "doc_id", "__key", "owner", "repository",
         F.size("assign").cast("long").alias("n_assign"), F.size("access").cast("long").alias("n_access"), F.size("hex").cast("long").alias("n_hex"),
         "base",
-        F.transform(looks, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.sha2(x["s"], 256).alias("h"))).alias("cands"),
+        F.concat(secret, wide).alias("cands"),
     )
     rows = store.table(rows, "op6")  # texts are scanned once; from here on rows hold spans only
     cands = rows.where(F.size("cands") > 0).select("doc_id", "__key", "owner", "repository", F.explode("cands").alias("c"))
     held = cands.groupBy(F.col("c.h").alias("h"), "owner", "repository").agg(F.lit(1).alias("one"))  # map-side first: a copied string is no hot key
     freq = held.groupBy("h").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repository").alias("repositories"))
-    judged = cands.select("doc_id", "__key", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.h").alias("h")).join(freq, "h")
+    judged = cands.where("c.own < 2").select("doc_id", "__key", "c.*").join(freq, "h")
     live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
     per = judged.groupBy("doc_id", "__key").agg(
-        F.collect_set(F.when(live, F.struct("start", F.lit(4).alias("k"), "end"))).alias("owned"),
-        F.collect_set(F.when(~live, F.struct("start", F.lit(4).alias("k"), "end"))).alias("copied"),
+        F.collect_set(F.when(live & (F.col("own") == 1), F.struct("start", F.lit(4).alias("k"), "end"))).alias("owned"),
+        F.collect_set(F.when(~live, F.struct("start", "end"))).alias("copied"),
     ).withColumnRenamed("doc_id", "__id").withColumnRenamed("__key", "__k2")
     out = rows.join(per, (F.col("doc_id").eqNullSafe(F.col("__id"))) & (F.col("__key") == F.col("__k2")), "left")
     text_base = _joined(F.col("base"))
