@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from siltstone.llm import graph, kernel as K, store
 
@@ -384,6 +385,11 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
     like any other (a component of null ids only has a null id). Empty table: no rows.
     Other columns are ignored.
     """
+    return _linked(docs, doc_id, text, percent).drop("label")
+
+
+def _linked(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
+    """``link`` with one more column: label, which names the row's component (null without shingles)."""
     spark = docs.sparkSession
     K.once(spark)
     num, den = percent, 100
@@ -452,8 +458,8 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
 
     heads = heads.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     least = heads.groupBy("label").agg(F.min("d").alias("component_id"))
-    heads = heads.join(least, "label").select("sig", "component_id")
-    out = named.join(heads, "sig", "left").select("doc_id", "n_shingles", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "sig")
+    heads = heads.join(least, "label").select("sig", "component_id", "label")
+    out = named.join(heads, "sig", "left").select("doc_id", "n_shingles", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "sig", "label")
     out = store.table(out, "op8-out")
     store.drop(met_all, first_pairs, all_heads, members, fine, labels)
     return out
@@ -473,11 +479,44 @@ def _members(large: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """Rows of ``docs``, all columns, but for one document of each component only: that
-    with the least doc_id (of repeated rows with that id, one)."""
-    heads = link(docs, doc_id, text, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__head")).distinct()
-    kept = docs.join(heads, F.col(doc_id).eqNullSafe(F.col("__head")), "left_semi")
-    return kept.dropDuplicates([doc_id])
+    """Rows of ``docs``, all columns: one of each component, and all without shingles. The
+    one of a component has its least doc_id (none only where no row has one), of rows with
+    that id the least set name and then the least text hash."""
+    rows = _linked(docs, doc_id, text, percent)
+    key = F.col(doc_id).cast("long")
+    heads = rows.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig")).alias("h"))
+    heads = heads.select(F.col("h.doc_id").alias("__id"), F.col("h.sig").alias("__set"))
+    kept = heads.unionByName(rows.where("label IS NULL").select(F.col("doc_id").alias("__id"), F.col("sig").alias("__set")))
+    twice = store.table(rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id")), "op8-twice")
+    again, none = twice.limit(1).count() > 0, rows.where("doc_id IS NULL").limit(1).count() > 0
+    single = docs.join(kept.select("__id").distinct(), key == F.col("__id"), "left_semi")
+    if not again and not none:
+        return single
+    # an id of several rows names no row: theirs are told apart by set and text
+    many = docs.where(key.isNull())
+    if again:
+        single = single.join(twice, key == F.col("__id"), "left_anti")
+        many = many.unionByName(docs.join(twice, key == F.col("__id"), "left_semi"))
+    many = _with_set(many, text)
+    bare = many.where("__name IS NULL").select(docs.columns)
+    held = many.where("__name IS NOT NULL").join(heads, (F.col("__name") == F.col("__set")) & key.eqNullSafe(F.col("__id")), "left_semi")
+    one = held.groupBy("__name").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(text)).alias("r")).select("r.*")
+    return single.unionByName(bare).unionByName(one)
+
+
+def _with_set(docs: DataFrame, text: str) -> DataFrame:
+    """Adds __name, the name of the text's set; null without shingles."""
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for b in batches:
+            names: list = [None] * b.num_rows
+            for row, s in K.shingle_sets(b.column(at)):
+                if len(s):
+                    names[row] = signature(s) - (1 << 63)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.int64())], [*b.schema.names, "__name"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__name", LongType())]))
 
 
 def op8_ngram_jaccard_join(spark, sf_dir):

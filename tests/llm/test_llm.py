@@ -228,3 +228,18 @@ def test_secret_owners_are_counted_everywhere(spark):
     assert got[10] == ("", 0, 1) and got[11] == ("owned:5:25", 1, 0) and got[12][1:] == (0, 0)
     assert all(got[i] == ("assign:0:31", 0, 1) for i in range(5))
     assert got[20][1:] == got[21][1:] == (0, 1) and got[22][1:] == got[23][1:] == (0, 0)
+
+
+def test_jaccard_dedup_by_row(spark):
+    rng = random.Random(4)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40))
+    t = [text() for _ in range(9)]
+    rows = [(1, t[0]), (1, t[1]), (1, t[1] + " more"), (None, t[2]), (None, t[3]), (None, t[3]), (2, t[4]), (3, t[4]), (None, t[4])]
+    rows += [(5, t[5]), (5, t[5]), (6, None), (6, ""), (7, t[6]), (8, t[7]), (8, t[8]), (9, t[7] + " more")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.text) for r in jaccard.dedup(d).collect())
+    (either,) = {(1, t[1]), (1, t[1] + " more")} & set(got)
+    want = [(1, t[0]), either, (None, t[2]), (None, t[3]), (2, t[4]), (5, t[5]), (6, None), (6, ""), (7, t[6]), (8, t[7]), (8, t[8])]
+    assert got == collections.Counter(want)
+    clean = spark.createDataFrame([(1, t[0]), (2, t[1]), (3, t[1]), (4, None)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in jaccard.dedup(clean).collect()) == [1, 2, 4]
