@@ -16,16 +16,76 @@ def char_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(F.split("text", "")).alias("c")).where("c <> ''").groupBy("c").agg(F.count("*").alias("n"))
 
 
-def chunk_counts(docs: DataFrame, most: int = 200_000) -> dict[str, int]:
-    """The most frequent pre-tokens with their counts over all documents."""
-    c = docs.select(F.explode(F.regexp_extract_all("text", F.lit(T.PRETOKEN), F.lit(0))).alias("chunk")).groupBy("chunk").agg(F.count("*").alias("n"))
-    return {r.chunk: r.n for r in c.orderBy(F.desc("n"), "chunk").limit(most).collect()}
+def chunk_counts(docs: DataFrame) -> DataFrame:
+    """(chunk, n): all pre-tokens with their counts over all documents."""
+    return docs.select(F.explode(F.regexp_extract_all("text", F.lit(T.PRETOKEN), F.lit(0))).alias("chunk")).groupBy("chunk").agg(F.count("*").alias("n"))
+
+
+class Tail:
+    """Pair counts of the chunks beyond those that the driver holds, as bounds.
+
+    A chunk is a string of one character per token, so that a merge is a replacement.
+    ``most`` bounds each pair's count from above: a merge only takes occurrences away from
+    the pairs there are, and a new token's pair occurs no more often than the pair of its
+    end, nor than the token. Pairs without a token of a merge since ``count`` are exact."""
+
+    def __init__(self, chunks: DataFrame):
+        self.forms = chunks.select(F.decode(F.encode("chunk", "UTF-8"), "ISO-8859-1").alias("form"), "n")
+        self.token = [bytes([i]) for i in range(256)]
+        self.id = {t: i for i, t in enumerate(self.token)}
+        self.merges: list[tuple[int, int, int]] = []
+        self.count()
+
+    def count(self) -> None:
+        form = F.col("form")
+        for a, b, z in self.merges:
+            form = F.replace(form, F.lit(chr(a) + chr(b)), F.lit(chr(z)))
+        c = self.forms.select(F.filter(F.split(form, ""), lambda x: x != "").alias("c"), "n").where("size(c) > 1")
+        got = c.select(F.explode(F.expr("transform(sequence(0, size(c) - 2), i -> concat(c[i], c[i + 1]))")).alias("p"), "n").groupBy("p").agg(F.sum("n").alias("n")).collect()
+        self.most = {(self.token[ord(r.p[0])], self.token[ord(r.p[1])]): r.n for r in got}
+        self.touched: set = set()
+
+    def range(self, p: tuple[bytes, bytes]) -> tuple[int, int]:
+        high = self.most.get(p, 0)
+        return (0 if self.touched.intersection(p) else high), high
+
+    def merge(self, p: tuple[bytes, bytes]) -> None:
+        (a, b), z = p, p[0] + p[1]
+        own = self.most.get(p, 0)
+        new = Counter({(z, z): self.most.get((b, a), 0)})
+        for (x, y), n in self.most.items():
+            if x == b:
+                new[z, y] += n
+            if y == a:
+                new[x, z] += n
+        # a token that two merges make has the sum of both
+        for q, n in new.items():
+            self.most[q] = self.most.get(q, 0) + min(n, own)
+        self.most.pop(p, None)
+        if z not in self.id:
+            self.id[z] = len(self.token)
+            self.token.append(z)
+        self.merges.append((self.id[a], self.id[b], self.id[z]))
+        self.touched |= {a, b, z}
 
 
 def train_bpe(docs: DataFrame, n_merges: int, most: int = 200_000) -> Merges:
     """Byte-level merges: the most frequent pair each time, of equal ones the least. Pair
-    counts follow the words that a merge changes."""
-    words = {tuple(bytes([b]) for b in w.encode()): n for w, n in chunk_counts(docs, most).items()}
+    counts follow the words that a merge changes. The driver holds the ``most`` frequent
+    chunks; the others' pairs are counted by Spark, again whenever their bounds leave the
+    next merge open, so all chunks count in full."""
+    chunks = chunk_counts(docs)
+    spark = docs.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file:///tmp/siltstone-shared"
+    spark.sparkContext.setCheckpointDir(folder)
+    chunks = chunks.checkpoint()
+    head = chunks.orderBy(F.desc("n"), "chunk").limit(most).collect()
+    words = {tuple(bytes([b]) for b in r.chunk.encode()): r.n for r in head}
+    tail = None
+    if len(head) == most:
+        last = head[-1] if head else None
+        rest = chunks if last is None else chunks.where((F.col("n") < last.n) | ((F.col("n") == last.n) & (F.col("chunk") > last.chunk)))
+        tail = Tail(rest)
     forms = list(words)
     counts = [words[f] for f in forms]
     pairs: Counter = Counter()
@@ -35,11 +95,13 @@ def train_bpe(docs: DataFrame, n_merges: int, most: int = 200_000) -> Merges:
             pairs[p] += counts[i]
             where.setdefault(p, set()).add(i)
     merges: Merges = []
-    for _ in range(n_merges):
-        if not pairs:
+    while len(merges) < n_merges:
+        best = _next(pairs, tail)
+        if best is None:
             break
-        best = min(pairs, key=lambda p: (-pairs[p], p))
         merges.append(best)
+        if tail:
+            tail.merge(best)
         for i in where.pop(best, ()):
             f = forms[i]
             for p in zip(f, f[1:]):
@@ -54,6 +116,26 @@ def train_bpe(docs: DataFrame, n_merges: int, most: int = 200_000) -> Merges:
     return merges
 
 
+def _next(pairs: Counter, tail: Tail | None) -> tuple[bytes, bytes] | None:
+    """The most frequent pair of head and tail, of equal ones the least."""
+    if not tail:
+        return min(pairs, key=lambda p: (-pairs[p], p), default=None)
+    while True:
+        ranges = {}
+        for p in pairs.keys() | tail.most.keys():
+            low, high = tail.range(p)
+            ranges[p] = pairs.get(p, 0) + low, pairs.get(p, 0) + high
+        best = min(ranges, key=lambda p: (-ranges[p][0], p), default=None)
+        if best is None:
+            return None
+        low = ranges[best][0]
+        if low > 0 and all(p == best or (-high, p) > (-low, best) for p, (_, high) in ranges.items()):
+            return best
+        if not tail.touched:
+            return None  # all counts are exact, so no pair is left
+        tail.count()
+
+
 def apply(form: tuple[bytes, ...], pair: tuple[bytes, bytes]) -> tuple[bytes, ...]:
     out, i = [], 0
     while i < len(form):

@@ -1,5 +1,6 @@
 """Text expressions on rows that the tables do not hold."""
 
+import random
 import re
 import unicodedata
 
@@ -63,3 +64,11 @@ def test_bpe_round_trip(spark):
     m = tokens.train_bpe(d, 10)
     assert m[0] == (b"l", b"o") or m[0] == (b"o", b"w")
     assert all(r.lossless for r in tokens.encode_bpe(d, m).collect())
+
+
+def test_bpe_counts_rare_chunks(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join("".join(rng.choice("abcdé") for _ in range(rng.randint(1, 9))) for _ in range(60)) + " aaaaa aaaa ababab") for i in range(30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = tokens.train_bpe(d, 60)
+    assert all(tokens.train_bpe(d, 60, most) == whole for most in (0, 5, 200))
