@@ -43,8 +43,8 @@ def _signatures(s: pd.Series) -> pd.Series:
 
 def clusters(docs: DataFrame, by: str = "lang", row: str = "doc_id") -> DataFrame:
     """(by, row, root): each member is compared with the least row of each of its buckets;
-    agreement of LEAST links them, transitively over bands. Roots settle by pointer
-    jumping: a link always points to a smaller row, so rounds are logarithmic."""
+    agreement of LEAST links them, transitively over bands. Roots settle by alternating
+    star steps, whose rounds grow with the logarithm of a chain's length."""
     sig = docs.select(by, row, _signatures("text").alias("sig")).where("sig IS NOT NULL")
     bands = F.array(*[F.xxhash64(F.lit(b), F.slice("sig", b * ROWS + 1, ROWS)) for b in range(BANDS)])
     keyed = sig.select(by, row, "sig", F.explode(bands).alias("band"))
@@ -59,17 +59,30 @@ def clusters(docs: DataFrame, by: str = "lang", row: str = "doc_id") -> DataFram
     return _settle(flat, docs, by, row)
 
 
-def _settle(edges: DataFrame, docs: DataFrame, by: str, row: str) -> DataFrame:
+def _settle(edges: DataFrame, docs: DataFrame, by: str, row: str, most: int = 60) -> DataFrame:
+    """Roots by large-star and small-star steps: every link is moved towards the least row
+    seen, until none moves."""
     spark = edges.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file:///tmp/siltstone-shared"
     spark.sparkContext.setCheckpointDir(folder)
-    both = edges.unionByName(edges.select(by, F.col("v").alias("u"), F.col("u").alias("v"))).checkpoint()
-    label = both.select(by, "u").distinct().withColumn("root", F.col("u"))
-    for _ in range(50):
-        near = both.join(label.select(by, F.col("u").alias("v"), "root"), [by, "v"]).groupBy(by, "u").agg(F.min("root").alias("near"))
-        nxt = label.join(near, [by, "u"]).select(by, "u", "root", F.least("root", "near").alias("low")).checkpoint()
-        moved = nxt.where("low < root").limit(1).count()
-        label = nxt.select(by, "u", F.col("low").alias("root"))
-        if not moved:
+
+    def state(df):
+        return df.agg(F.count("*"), F.sum(F.xxhash64(by, "u", "v").cast("decimal(38,0)"))).first()
+
+    cur = edges.where("u <> v").select(by, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+    was = state(cur)
+    for _ in range(most):
+        both = cur.unionByName(cur.select(by, F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy(by, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        large = both.join(least, [by, "u"]).where("v > u AND v <> m").select(by, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = large.groupBy(by, "u").agg(F.min("v").alias("m"))
+        small = large.join(down, [by, "u"]).where("v <> m").select(by, F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select(by, "u", F.col("m").alias("v")))
+        cur = small.distinct().checkpoint()
+        now = state(cur)
+        if now == was:
             break
-    return docs.select(by, row).join(label.withColumnRenamed("u", row), [by, row], "left").select(by, row, F.coalesce("root", row).alias("root"))
+        was = now
+    else:
+        raise RuntimeError("clusters did not settle")
+    label = cur.select(by, F.col("u").alias(row), F.col("v").alias("root"))
+    return docs.select(by, row).join(label, [by, row], "left").select(by, row, F.coalesce("root", row).alias("root"))

@@ -4,10 +4,11 @@ import random
 import re
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
-from siltstone.operators import packing, stages as S, tokens
+from siltstone.operators import neardup, packing, stages as S, tokens
 
 
 def one(spark, value, column):
@@ -72,3 +73,14 @@ def test_bpe_counts_rare_chunks(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     whole = tokens.train_bpe(d, 60)
     assert all(tokens.train_bpe(d, 60, most) == whole for most in (0, 5, 200))
+
+
+def test_long_chains_settle(spark):
+    ids = list(range(140))
+    random.Random(6).shuffle(ids)
+    chain = [("en", max(a, b), min(a, b)) for a, b in zip(ids, ids[1:])] + [("de", i + 1, i) for i in range(130)] + [("en", 901, 900)]
+    docs = spark.createDataFrame([("en", i) for i in [*ids, 900, 901, 950]] + [("de", i) for i in range(131)], "lang string, doc_id long")
+    got = {(r.lang, r.doc_id): r.root for r in neardup._settle(spark.createDataFrame(chain, "lang string, u long, v long"), docs, "lang", "doc_id").collect()}
+    assert len(got) == 274 and got == {(g, i): 900 if i in (900, 901) else i if i == 950 else 0 for g, i in got}
+    with pytest.raises(RuntimeError):
+        neardup._settle(spark.createDataFrame(chain, "lang string, u long, v long"), docs, "lang", "doc_id", most=1)
