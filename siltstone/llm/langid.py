@@ -70,36 +70,44 @@ class Automaton:
 @dataclass
 class Model:
     langs: list[str]
-    classes: np.ndarray  # BMP code point -> class; 0 pads, 1 is any character not in the alphabet
+    classes: np.ndarray  # BMP code point -> class; 0 pads, 1 is any character of no sample
+    width: int  # classes from here on have their transitions in keys and after, not in the table
     table: np.ndarray  # (row of the state + class) -> 2 * next row + whether a phrase ended
+    keys: np.ndarray  # row of the state << 16 | class, ascending
+    after: np.ndarray  # next row
     roots: np.ndarray
     bits: np.ndarray  # bits a phrase costs, by language
     letter: np.ndarray
 
 
 def build(samples: dict[str, str], alphabet: int = 62) -> Model:
-    """samples: folded text by language. Size: at most 2 * len(sample) states of
-    alphabet + 2 entries each."""
+    """samples: folded text by language. All their characters count: the ``alphabet`` most
+    frequent by table, the others by sorted transitions. Size: at most 2 * len(sample)
+    states of alphabet + 2 entries each, and 3 * len(sample) transitions."""
     _, letter = folds()
     langs = sorted(samples)
     count: Counter = Counter()
     for x in samples.values():
         count.update(x)
-    known = [c for c, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:alphabet] if ord(c) < 65536]
-    classes = np.full(65536, 1, np.uint8)
+    known = [c for c, _ in sorted(count.items(), key=lambda x: (-x[1], x[0])) if ord(c) < 65536][: 65536 - 2]
+    classes = np.full(65536, 1, np.uint16)
     code = {}
     for i, c in enumerate(known):
         classes[ord(c)] = code[c] = i + 2
-    width = len(known) + 2
+    width = min(len(known), alphabet) + 2
     parts, roots, base = [], [], 0
+    rare: dict[int, int] = {}
     for lang in langs:
         a = Automaton([code.get(c, 1) for c in samples[lang]])
         n = len(a.next)
         nxt = np.full((n, width), -1, np.int64)
         for s, row in enumerate(a.next):
             for c, to in row.items():
-                nxt[s, c] = to
-        nxt[:, 1] = -1  # characters outside the alphabet match nothing
+                if c < width:
+                    nxt[s, c] = to
+                else:
+                    rare[(base + s) * width << 16 | c] = (base + to) * width
+        nxt[:, 1] = -1  # characters of no sample match nothing
         start = np.where(nxt[0] < 0, 0, nxt[0])
         t = np.where(nxt < 0, start[None, :], nxt)
         t = (t + base) * width * 2 + (nxt < 0)
@@ -111,7 +119,22 @@ def build(samples: dict[str, str], alphabet: int = 62) -> Model:
         raise ValueError("the samples are too large for one table")
     bits = np.array([np.log2(max(2, len(samples[x]))) for x in langs])
     table = np.concatenate(parts).ravel() if parts else np.zeros(0, np.int32)
-    return Model(langs, classes, table, np.array(roots, np.int32), bits, letter)
+    keys = np.array(sorted(rare), np.int64)
+    after = np.array([rare[k] for k in keys.tolist()], np.int32)
+    return Model(langs, classes, width, table, keys, after, np.array(roots, np.int32), bits, letter)
+
+
+def _rare(model: Model, state: np.ndarray, c: np.ndarray, root: int) -> np.ndarray:
+    """What the table would hold for the rarer classes ``c``."""
+
+    def step(rows):
+        key = rows.astype(np.int64) << 16 | c
+        at = np.minimum(np.searchsorted(model.keys, key), len(model.keys) - 1)
+        return model.keys[at] == key, model.after[at]
+
+    on, to = step(state)
+    begins, start = step(np.full(len(c), root))
+    return np.where(on, to * 2, np.where(begins, start, root) * 2 + 1)
 
 
 def phrases(model: Model, codes: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -130,12 +153,17 @@ def phrases(model: Model, codes: np.ndarray, offs: np.ndarray) -> np.ndarray:
         k = len(s)
         where = s[None, :] + np.arange(PIECE)[:, None]
         grid = np.where(where < stop[None, :], codes[np.minimum(where, len(codes) - 1)], 0).astype(np.int32)
+        few = [np.flatnonzero(x) if any_ else None for x, any_ in zip(grid >= model.width, (grid >= model.width).any(axis=1))]
+        table_grid = np.where(grid < model.width, grid, 1).astype(np.int32)
         for j in range(len(model.langs)):
             state = np.full(k, model.roots[j], np.int32)
             ends = np.ones(k, np.int32)
             for t in range(PIECE):
-                state += grid[t]
+                row = state[few[t]] if few[t] is not None else None
+                state += table_grid[t]
                 v = model.table.take(state)
+                if row is not None:
+                    v[few[t]] = _rare(model, row, grid[t][few[t]], model.roots[j])
                 ends += v & 1
                 state = v >> 1
             out[:, j] += np.bincount(o, weights=ends, minlength=n).astype(np.int64)

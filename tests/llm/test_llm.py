@@ -243,3 +243,20 @@ def test_jaccard_dedup_by_row(spark):
     assert got == collections.Counter(want)
     clean = spark.createDataFrame([(1, t[0]), (2, t[1]), (3, t[1]), (4, None)], "doc_id long, text string")
     assert sorted(r.doc_id for r in jaccard.dedup(clean).collect()) == [1, 2, 4]
+
+
+def test_langid_of_large_alphabets():
+    rng = random.Random(12)
+    # one script of 240 characters, in words of two languages
+    voc = {x: ["".join(chr(0x4E00 + rng.randrange(240)) for _ in range(rng.randint(2, 3))) for _ in range(300)] for x in ("aa", "bb")}
+    text = lambda x, n: " ".join(rng.choice(voc[x]) for _ in range(n))
+    samples = {x: text(x, 1500) for x in voc}
+    want = [("aa", "bb")[i % 2] for i in range(40)]
+    texts = [text(x, 40) for x in want]
+    model = langid.build(samples)
+    assert langid.predict(model, texts)[0] == want
+    # the same phrases whichever characters the table holds
+    cp = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    offs = np.r_[0, np.cumsum([len(x) for x in texts])]
+    whole = langid.build(samples, 250)
+    assert (langid.phrases(model, model.classes[cp], offs) == langid.phrases(whole, whole.classes[cp], offs)).all()
