@@ -7,10 +7,11 @@ with U+001C-001F, letters without combining marks, decimal digits of any script.
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 WS = r"(?U)[\s\x1c-\x1f]+"
 STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# fixed values: the contact patterns that are masked
 EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+"
 PHONE = (
     r"(?<![\p{L}\p{N}_+])\+\p{Nd}{1,3}(?:[ -]?\p{Nd}){8,13}(?!\p{Nd})"
@@ -26,8 +27,8 @@ WORD_TOKEN = r"[A-Za-z]+|[0-9]+|\s+|."
 
 # fixed values: code point ranges of the scripts the gate knows
 SCRIPTS = {
-    "latin": r"\x{41}-\x{5A}\x{61}-\x{7A}\x{AA}\x{BA}\x{C0}-\x{24F}\x{1E00}-\x{1EFF}",
-    "devanagari": r"\x{900}-\x{97F}\x{A8E0}-\x{A8FF}",
+    "latin": r"\x{41}-\x{5A}\x{61}-\x{7A}\x{C0}-\x{24F}\x{250}-\x{2A8}\x{1E00}-\x{1EFF}\x{2C60}-\x{2C7F}\x{A720}-\x{A7FF}",
+    "devanagari": r"\x{900}-\x{97F}",
     "bengali": r"\x{980}-\x{9FF}",
     "gurmukhi": r"\x{A00}-\x{A7F}",
     "gujarati": r"\x{A80}-\x{AFF}",
@@ -38,6 +39,7 @@ SCRIPTS = {
     "malayalam": r"\x{D00}-\x{D7F}",
     "arabic": r"\x{600}-\x{6FF}\x{750}-\x{77F}\x{8A0}-\x{8FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}",
 }
+KNOWN = "".join(SCRIPTS.values())
 
 
 def count(text: Column, pattern: str) -> Column:
@@ -104,6 +106,24 @@ def letters(text: Column, script: str) -> Column:
     return count(text, rf"[\p{{L}}&&[{SCRIPTS[script]}]]")
 
 
+def known_letters(text: Column) -> Column:
+    """Letters of any script the gate knows, in one pass."""
+    return count(text, rf"[\p{{L}}&&[{KNOWN}]]")
+
+
+def top_script(text: Column) -> Column:
+    """The script with most letters, of equal ones the one that comes first in the text;
+    "common" without letters."""
+    ranked = [F.struct(letters(text, s).alias("n"), (-F.regexp_instr(text, F.lit(rf"[\p{{L}}&&[{SCRIPTS[s]}]]"))).alias("first"), F.lit(s).alias("script")) for s in SCRIPTS]
+    return let(F.greatest(*ranked), lambda x: F.when(x["n"] > 0, x["script"]).otherwise("common"))
+
+
+def once(df, **columns: Column):
+    """df with more columns that are computed once a row, whatever filters and joins read
+    them: the optimiser moves nothing across the generator."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def profile(text: Column) -> dict[str, Column]:
     """Letters by script, letters outside every block (unknown), other visible (common)."""
     out = {s: letters(text, s) for s in SCRIPTS}
@@ -121,17 +141,86 @@ def repetition(text: Column) -> Column:
     return let(words(text), lambda w: F.when(F.size(w) >= 2, F.size(F.array_distinct(_grams(w, 2))) / (F.size(w) - 1)))
 
 
+# fixed values: what is taken out of wikitext, in this order; templates three levels deep
+WIKITEXT = (
+    (r"\r\n?", "\n"), (r"(?s)<!--.*?-->", ""), (r"(?si)<ref[^>/]*?>.*?</ref>", ""), (r"(?i)<ref[^>]*?/>", ""),
+    (r"\{\{[^{}]*\}\}", ""), (r"\{\{[^{}]*\}\}", ""), (r"\{\{[^{}]*\}\}", ""),
+    (r"(?m)^\s*=+\s*(.*?)\s*=+\s*$", "$1"), (r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", "$1"), (r"\'{2,3}", ""),
+    (r"<[^>]+>", ""), (r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n"),
+)
+#: markers of the work inside a Gutenberg file (fixed values)
+GUTENBERG = ("*** START OF THE PROJECT GUTENBERG EBOOK", "*** END OF THE PROJECT GUTENBERG EBOOK")
+
+
 def clean_wikitext(text: Column) -> Column:
-    """Comments, references, templates (three levels), headings, links, bold, tags."""
-    for pattern, by in (
-        (r"(?s)<!--.*?-->", ""), (r"(?si)<ref[^>/]*/>", ""), (r"(?si)<ref[^>]*>.*?</ref>", ""),
-        (r"(?s)\{\{[^{}]*\}\}", ""), (r"(?s)\{\{[^{}]*\}\}", ""), (r"(?s)\{\{[^{}]*\}\}", ""),
-        (r"(?m)^=+\s*(.*?)\s*=+[ \t]*$", "$1"), (r"\[\[(?:[^\]|]*\|)?([^\]|]*)\]\]", "$1"),
-        (r"\[https?://\S+ ([^\]]*)\]", "$1"), (r"'{2,}", ""), (r"(?s)<[^>]+>", ""),
-        (r"[ \t]+", " "), (r"\n{3,}", "\n\n"),
-    ):
+    """Plain text of wikitext: every line stripped, outer white space off."""
+    for pattern, by in WIKITEXT:
         text = F.regexp_replace(text, pattern, by)
-    return strip(text)
+    return strip(F.array_join(F.transform(F.split(text, "\n"), strip), "\n"))
+
+
+def clean_plain(text: Column) -> Column:
+    return strip(F.regexp_replace(text, r"\r\n?", "\n"))
+
+
+def clean_gutenberg(text: Column) -> Column:
+    """What lies between the line of the start marker and the end marker; the whole text
+    where one is missing or the end comes first."""
+
+    def body(t):
+        start, end = F.locate(GUTENBERG[0], t), F.locate(GUTENBERG[1], t)
+        line = F.call_function("locate", F.lit("\n"), t, F.greatest(start, F.lit(1)))
+        inside = F.substring(t, line + 1, end - line - 1)
+        return F.when((start > 0) & (end > start) & (line > 0), strip(F.when(end - line - 1 > 0, inside).otherwise(""))).otherwise(strip(t))
+
+    return F.element_at(F.transform(F.array(F.regexp_replace(text, r"\r\n?", "\n")), lambda x: body(x)), 1)
+
+
+def clean(text: Column, kind: Column) -> Column:
+    """By kind: gutenberg, wikitext or plain; others are an error."""
+    return (
+        F.when(kind == "gutenberg", clean_gutenberg(text)).when(kind == "wikitext", clean_wikitext(text)).when(kind == "plain", clean_plain(text))
+        .otherwise(F.raise_error(F.concat(F.lit("unknown kind "), F.coalesce(kind, F.lit("null")))))
+    )
+
+
+# fixed values: what samples hide of a text
+SAMPLE_EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.]+"
+SAMPLE_URL = r"(?U)https?://[^\s\x1c-\x1f]+|www\.[^\s\x1c-\x1f]+"
+SAMPLE_NUMBER = r"\p{Nd}(?:[\p{Nd} \-]*\p{Nd}){6,}"
+
+
+def mask_samples(text: Column) -> Column:
+    """E-mails, URLs and numbers of seven digits or more as [email], [url], [n digits]."""
+    t = F.regexp_replace(F.regexp_replace(text, SAMPLE_EMAIL, "[email]"), SAMPLE_URL, "[url]")
+    # numbers go between marks; each is then replaced by the count of its digits
+    parts = F.split(F.regexp_replace(F.translate(t, "\x01", "\x02"), f"({SAMPLE_NUMBER})", "\x01$1\x01"), "\x01")
+    masked = F.transform(parts, lambda x, i: F.when(i % 2 == 1, F.concat(F.lit("["), F.regexp_count(x, F.lit(r"\p{Nd}")).cast("string"), F.lit(" digits]"))).otherwise(x))
+    return F.array_join(masked, "")
+
+
+def excerpt(text: Column, limit: int = 400) -> Column:
+    """A masked window as one line, cut at ``limit`` characters with three dots."""
+    parts = F.filter(F.transform(F.split(F.substring(text, 1, 4 * limit + 64), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"), strip), lambda x: x != "")
+    return let(mask_samples(F.array_join(parts, " / ")), lambda x: F.concat(F.substring(x, 1, limit), F.when(F.length(x) > limit, "...").otherwise("")))
+
+
+@F.pandas_udf(StructType([StructField("digest16", StringType()), StructField("line8", StringType())]))
+def _blake(s):
+    import hashlib
+
+    import pandas as pd
+
+    raw = [None if x is None else x.encode() for x in s]
+    return pd.DataFrame({
+        "digest16": [None if x is None else hashlib.blake2b(x, digest_size=16).hexdigest() for x in raw],
+        "line8": [None if x is None else hashlib.blake2b(x, digest_size=8).hexdigest() for x in raw],
+    })
+
+
+def blake(text: Column) -> Column:
+    """blake2b digests of 16 bytes (documents) and 8 bytes (lines), as hex."""
+    return _blake(text)
 
 
 def trim_text(text: Column, most: int) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from siltstone.functions import text as T
-from siltstone.operators import neardup, packing, stages as S, statistics as A, tokens as K
+from siltstone.operators import neardup, packing, slices, stages as S, statistics as A, tokens as K
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -36,6 +36,7 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+NORMAL = r"regexp_replace(regexp_replace(replace(nfc_normalize(text), chr(13), ''), '[ \t]{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g')"
 W = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
 GRAM = "list_transform(range(1, greatest(len(w) - {m}, 0) + 1), lambda k: array_to_string(w[k:k+{m}], ' '))"
 LET = r"len(regexp_extract_all({t}, '[A-Za-zªºÀ-ÖØ-öø-ɏ]'))"
@@ -58,9 +59,9 @@ def _(t):
     return t.documents.agg(F.count("*").alias("n"))
 
 
-@query("s3_documents_of_file", "SELECT concat(source, '-', coalesce(CAST(doc_id AS VARCHAR), 'row')) AS id, lang AS language, length(text) AS chars FROM documents")
+@query("s3_documents_of_file", "SELECT concat(source, '-', coalesce(CAST(doc_id AS VARCHAR), 'row000000000')) AS id, lang AS language, length(text) AS chars FROM documents")
 def _(t):
-    return t.documents.select(F.concat_ws("-", "source", F.coalesce(F.col("doc_id").cast("string"), F.lit("row"))).alias("id"), F.col("lang").alias("language"), F.length("text").cast("long").alias("chars"))
+    return t.documents.select(F.concat_ws("-", "source", F.coalesce(F.col("doc_id").cast("string"), F.format_string("row%09d", F.monotonically_increasing_id()))).alias("id"), F.col("lang").alias("language"), F.length("text").cast("long").alias("chars"))
 
 
 @query("s4_pruned_sample", "SELECT doc_id, length(text) AS chars FROM documents WHERE doc_id BETWEEN 100 AND 199 AND lang = 'en'")
@@ -76,12 +77,9 @@ def _(t):
     return lines.select("source", F.row_number().over(Window.partitionBy("source").orderBy("doc_id", "k")).cast("long").alias("seq"), T.sha(F.col("line")).alias("line_sha"))
 
 
-@query("s9_wikitext_clean", r"""SELECT page_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<[^>]+>', '', 'g'), '[ \t]+', ' ', 'g'), '^[\s]+|[\s]+$', '', 'g')) AS clean_sha FROM pages""")
+@query("s9_wikitext_clean", r"""SELECT page_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<[^>]+>', '', 'g'), '[ \t]{2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' *\n *', chr(10), 'g'), '^[\s]+|[\s]+$', '', 'g')) AS clean_sha FROM pages""")
 def _(t):
-    x = F.col("html")
-    for p, b in ((r"(?s)<!--.*?-->", ""), (r"(?s)<[^>]+>", ""), (r"[ \t]+", " ")):
-        x = F.regexp_replace(x, p, b)
-    return t.pages.select("page_id", T.sha(T.strip(x)).alias("clean_sha"))
+    return t.pages.select("page_id", T.sha(T.clean_wikitext(F.col("html"))).alias("clean_sha"))
 
 
 @query("s12_trim_at_line", "SELECT doc_id, length(CASE WHEN length(text) <= 500 THEN text WHEN contains(substr(text, 1, 500), chr(10)) THEN substr(text, 1, 500 - instr(reverse(substr(text, 1, 500)), chr(10))) ELSE substr(text, 1, 500) END) AS chars FROM documents")
@@ -136,10 +134,10 @@ def _(t):
     return t.documents.select("doc_id", F.size(F.filter(T.words(F.col("text")), lambda x: x.rlike(r"[\p{L}\p{N}]"))).cast("long").alias("words"))
 
 
-@query("m8_windows", "SELECT doc_id, sha256(substr(text, 1, 1000)) AS a, sha256(substr(text, CAST(floor(length(text) / 2) AS BIGINT) - 499, 1000)) AS b, sha256(substr(text, length(text) - 999, 1000)) AS c FROM documents WHERE length(text) > 3000")
+@query("m8_windows", "SELECT doc_id, sha256(substr(text, 1, 5000)) AS a, sha256(substr(text, CAST(floor(length(text) / 2) AS BIGINT) - 2499, 5000)) AS b, sha256(substr(text, length(text) - 4999, 5000)) AS c FROM documents WHERE length(text) > 5000")
 def _(t):
-    x, n = F.col("text"), F.length("text")
-    return t.documents.where("length(text) > 3000").select("doc_id", T.sha(F.substring(x, 1, 1000)).alias("a"), T.sha(F.substring(x, F.floor(n / 2).cast("int") - 499, F.lit(1000))).alias("b"), T.sha(F.substring(x, n - 999, F.lit(1000))).alias("c"))
+    w = t.documents.where("length(text) > 5000").select("doc_id", slices.windows(F.col("text")).alias("w"))
+    return w.select("doc_id", *[T.sha(F.col("w")[k]).alias(x) for k, x in enumerate("abc")])
 
 
 @query("m9_length_buckets", "SELECT CASE WHEN n_chars < 500 THEN '0-499' WHEN n_chars < 2000 THEN '500-1999' WHEN n_chars < 10000 THEN '2000-9999' ELSE '10000+' END AS bucket, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1")
@@ -260,12 +258,7 @@ def _(t):
 
 @query("j3_short_passages", f"WITH dw AS (SELECT doc_id, {W} AS w FROM documents), bw AS (SELECT item_id, {W} AS w FROM benchmark), s AS (SELECT item_id, array_to_string(w, ' ') AS passage FROM bw WHERE len(w) BETWEEN 5 AND 20) SELECT doc_id, item_id FROM dw JOIN s ON contains(' ' || array_to_string(w, ' ') || ' ', ' ' || passage || ' ')")
 def _(t):
-    # anchor: the passage's first five words; the rest is checked at the anchor's place
-    s = t.benchmark.select("item_id", T.words(F.col("text")).alias("p")).where(F.size("p").between(5, 20)).withColumn("anchor", F.array_join(F.slice("p", 1, 5), " "))
-    d = t.documents.select("doc_id", T.words(F.col("text")).alias("w"))
-    # twenty words from each place on: no passage is longer
-    a = d.select("doc_id", F.explode(F.transform(T.grams(F.col("w"), 5), lambda x, k: F.struct(x.alias("anchor"), F.slice("w", k + 1, 20).alias("here")))).alias("a"))
-    return a.select("doc_id", "a.anchor", "a.here").join(s, "anchor").where(F.slice("here", F.lit(1), F.size("p")) == F.col("p")).select("doc_id", "item_id").distinct()
+    return S.found_passages(t.documents, t.benchmark, 5, 20).select("doc_id", F.col("item").alias("item_id")).distinct()
 
 
 @query("j4_decontaminate_stage", f"WITH {SUITE}, hit AS (SELECT DISTINCT doc_id FROM dg JOIN bg ON dg.gram = bg.gram) SELECT lang, count(*) AS documents_in, count(*) FILTER (WHERE doc_id NOT IN (SELECT doc_id FROM hit)) AS kept FROM documents GROUP BY lang")
@@ -277,8 +270,8 @@ def _(t):
 @query("j5_contamination_report", f"WITH {SUITE}, t AS (SELECT DISTINCT gram FROM dg) SELECT count(*) AS items, count(*) FILTER (WHERE len(w) >= 13) AS eligible, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM bg JOIN t ON bg.gram = t.gram WHERE bg.item_id = bw.item_id)) AS contaminated FROM bw")
 def _(t):
     items = t.benchmark.select("item_id", F.size(T.words(F.col("text"))).alias("n"))
-    corpus = t.documents.select(F.explode(T.grams(T.words(F.col("text")), 13)).alias("gram"))
-    hit = S.suite_grams(t.benchmark, "item_id", "text").join(corpus, "gram", "left_semi").select(F.col("item").alias("item_id"), F.lit(True).alias("hit")).distinct()
+    grams = S.found_grams(t.documents, t.benchmark).select("gram").distinct()
+    hit = S.suite_grams(t.benchmark, "item_id", "text").join(grams, "gram", "left_semi").select(F.col("item").alias("item_id"), F.lit(True).alias("hit")).distinct()
     return items.join(hit, "item_id", "left").agg(F.count("*").alias("items"), F.count_if(F.col("n") >= 13).alias("eligible"), F.count_if("hit").alias("contaminated"))
 
 
@@ -340,17 +333,23 @@ def _(t):
 
 
 def pilot_stage_table(spark, sf_dir):
-    """Normalise, gate, quality, exact dedup: counts by language."""
-    docs = S.normalize(Tables(spark, sf_dir).documents)
-    gate = S.langid(docs, LATIN).kept.drop("reason", "declared", "letters")
-    q = S.quality(gate)
-    d = S.exact_dedup(q.kept.drop("reason")).scored
-    kept = d.groupBy("lang").agg(F.count_if(F.col("reason").isNull()).alias("kept"), F.sum(F.when(F.col("reason").isNull(), F.col("chars"))).alias("chars"))
-    first = docs.groupBy("lang").agg(F.count("*").alias("documents_in"))
-    return first.join(kept, "lang", "left")
-
-
-ORACLES["a1_pilot_stages"] = f"WITH {RULES}, k AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY source, doc_id) AS rn FROM q WHERE reason IS NULL AND {LET.format(t='text')} > 0) SELECT d.lang, count(*) AS documents_in, (SELECT count(*) FROM k WHERE k.lang = d.lang AND rn = 1) AS kept, (SELECT CAST(sum(chars) AS BIGINT) FROM k WHERE k.lang = d.lang AND rn = 1) AS chars FROM documents d GROUP BY d.lang"
+    """Normalise, gate, quality, exact dedup: documents and characters in and kept, changed
+    documents and bytes kept, by language. Texts are read once; duplicates meet by hash,
+    as one row for each text and language."""
+    docs = S.normalize(Tables(spark, sf_dir).documents.select("doc_id", "lang", "source", "text"))
+    gate = S.langid(docs, LATIN).scored.withColumnRenamed("reason", "gate").drop("declared", "letters")
+    q = S.quality(gate).scored.withColumn("ok", F.col("gate").isNull() & F.col("reason").isNull())
+    d = q.select("lang", "ok", "chars", "changed", T.sha(F.col("text")).alias("h"), F.octet_length("text").cast("long").alias("bytes"), F.struct("source", "doc_id").alias("at"))
+    per = d.groupBy("h", "lang").agg(F.count("*").alias("n"), F.count_if("changed").alias("changed"), F.min(F.when(F.col("ok"), F.struct("at", "chars", "bytes"))).alias("own"))
+    first = F.min("own").over(Window.partitionBy("h"))
+    kept = F.col("own").isNotNull() & (F.col("own") == F.col("first"))
+    return per.withColumn("first", first).groupBy("lang").agg(
+        F.sum("n").alias("documents_in"), F.sum("changed").alias("changed"), F.count_if(kept).alias("kept"),
+        F.sum(F.when(kept, F.col("own.chars"))).alias("chars"), F.sum(F.when(kept, F.col("own.bytes"))).alias("bytes"),
+    )
+
+
+ORACLES["a1_pilot_stages"] = f"WITH raw AS (SELECT * FROM main.documents), documents AS (SELECT * EXCLUDE (text), text AS original, {NORMAL} AS text FROM raw), {RULES}, k AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY source, doc_id) AS rn FROM q WHERE reason IS NULL AND {LET.format(t='text')} > 0) SELECT d.lang, count(*) AS documents_in, (SELECT count(*) FROM k WHERE k.lang = d.lang AND rn = 1) AS kept, (SELECT CAST(sum(chars) AS BIGINT) FROM k WHERE k.lang = d.lang AND rn = 1) AS chars, (SELECT CAST(sum(strlen(text)) AS BIGINT) FROM k WHERE k.lang = d.lang AND rn = 1) AS bytes, count(*) FILTER (WHERE text <> original) AS changed FROM documents d GROUP BY d.lang"
 QUERIES["a1_pilot_stages"] = pilot_stage_table
 
 
@@ -404,7 +403,7 @@ def _(t):
 
 @query("a20_ngram_coverage", f"WITH {SUITE}, t AS (SELECT DISTINCT gram FROM dg) SELECT bg.item_id, count(*) AS grams, count(t.gram) AS found, count(t.gram) / count(*) >= 0.7 AS substantially FROM bg LEFT JOIN t ON bg.gram = t.gram GROUP BY bg.item_id")
 def _(t):
-    corpus = t.documents.select(F.explode(T.grams(T.words(F.col("text")), 13)).alias("gram")).distinct().withColumn("hit", F.lit(True))
+    corpus = S.found_grams(t.documents, t.benchmark).select("gram").distinct().withColumn("hit", F.lit(True))
     s = S.suite_grams(t.benchmark, "item_id", "text").join(corpus, "gram", "left").groupBy(F.col("item").alias("item_id")).agg(F.count("*").alias("grams"), F.count_if("hit").alias("found"))
     return s.withColumn("substantially", F.col("found") / F.col("grams") >= 0.7)
 
@@ -447,10 +446,10 @@ def _(t):
     return d.where("side IS NOT NULL").select("side", F.coalesce("lang", F.lit("all")).alias("lang"), "docs", "chars")
 
 
-@query("p2_id_validation", "SELECT doc_id, ('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 16))::UBIGINT % 1000000 < 50000 AS validation FROM documents")
+@query("p2_id_validation", "SELECT doc_id, ('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 16))::UBIGINT % 1000000 < 5000 AS validation FROM documents")
 def _(t):
     h = F.conv(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 16), 16, 10).cast("decimal(20,0)")
-    return t.documents.select("doc_id", (F.pmod(h, F.lit(1000000).cast("decimal(20,0)")) < 50000).alias("validation"))
+    return t.documents.select("doc_id", (F.pmod(h, F.lit(1000000).cast("decimal(20,0)")) < 5000).alias("validation"))
 
 
 @query("p3_char_budget_shards")
@@ -497,10 +496,10 @@ def _(t):
     return K.char_counts(t.documents)
 
 
-@query("t2_word_vocabulary", r"WITH w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+|[0-9]+')) AS token FROM documents) SELECT token, count(*) AS n FROM w GROUP BY token ORDER BY n DESC, token LIMIT 500")
+@query("t2_word_vocabulary", r"WITH w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+|[0-9]+')) AS token FROM documents) SELECT token, count(*) AS n FROM w GROUP BY token ORDER BY n DESC, token LIMIT 32000")
 def _(t):
     w = t.documents.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+|[0-9]+"), F.lit(0))).alias("token"))
-    return w.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(500)
+    return w.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(32_000)
 
 
 @query("t3_mark_aware_pretokens", r"SELECT doc_id, len(regexp_extract_all(text, '\s+|[\p{L}\p{N}\p{M}]+|[^\s\p{L}\p{N}\p{M}]+')) AS pretokens FROM documents")
