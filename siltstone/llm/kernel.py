@@ -51,6 +51,30 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (by sorting, which beats the hash table of np.unique by far)."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
+def counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each occurs."""
+    x = np.sort(x)
+    cut = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+    return x[cut], np.diff(np.r_[cut, len(x)])
+
+
+def distinct_pairs(ab: np.ndarray) -> np.ndarray:
+    """Distinct rows of two columns, the smaller value of each row first, sorted."""
+    if not len(ab):
+        return ab
+    a, b = ab.min(axis=1), ab.max(axis=1)
+    o = np.lexsort((b, a))
+    a, b = a[o], b[o]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+    return np.stack([a[new], b[new]], 1)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(all bytes, offsets of each text) of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -128,7 +152,7 @@ def shingle_sets(column: pa.Array, k: int = 5, lower: bool = True) -> Iterator[t
             a, b = at[row - lo], at[row - lo + 1]
             m = b - a
             if m >= k:
-                yield row, np.unique(grams[a : b - k + 1])
+                yield row, distinct(grams[a : b - k + 1])
             elif m:
                 g = U(m)
                 with np.errstate(over="ignore"):
@@ -249,6 +273,12 @@ class Bits:
         return ((self.data[x >> 3] >> (x & 7).astype(np.uint8)) & (self.data[y >> 3] >> (y & 7).astype(np.uint8)) & 1).astype(bool)
 
 
+def bits_for(keys: int) -> int:
+    """Size of a bit table: 16 places a key, 2**20 to 2**30 (128 MB). Beyond 2**26 keys a
+    table lets more through, which the exact step behind each use drops."""
+    return 1 << min(30, max(20, (16 * max(1, keys) - 1).bit_length()))
+
+
 def bit_rows(keys: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
     """Rows for ``bits_total``: the places that keys set, by segment."""
     if len(keys):
@@ -284,6 +314,6 @@ def repeated(keys: DataFrame, bits: int, least: int, mask: int = (1 << 64) - 1)
     def dup(bucket, table):
         k = np.sort(unpack(table, np.uint64) & U(mask))
         d = least - 1
-        yield from bit_rows(np.unique(k[d:][k[d:] == k[:-d]]), bits)
+        yield from bit_rows(distinct(k[d:][k[d:] == k[:-d]]), bits)
 
     return bits_total(exchange(keys, dup, PACKED), bits)

@@ -1,11 +1,16 @@
 """Near-duplicate line removal by an exact set-similarity join.
 
-A line's set is its distinct words. One order of all words, rare ones first (by a
-fixed-size sketch of their counts over lines), gives each line a prefix; linked lines
-share a word of their prefixes. Postings of a shared word pass the length filter, the
-positional filter and a 64-bit bitmap bound; what is left is verified on the whole sets.
-A line goes if an earlier line (by doc_id, then place) has a Jaccard similarity of the
-threshold or more.
+A line's set is its distinct words, each the 40-bit hash of its bytes. One order of all
+words, rare ones first (by a fixed-size sketch of their counts over lines), gives each
+line a prefix; linked lines share a word of their prefixes, where they meet. A word of
+the prefix that very many lines hold is refined: linked lines whose first common word it
+is have a second one among their prefixes of one word more, and meet at the two.
+
+In a meeting, pairs pass the length filter, the positional filter and a bound on the
+symmetric difference (the bits in which two 128-bit parity maps differ). Of what passes
+each line first offers its few likeliest earlier partners; those are verified on the
+whole sets; lines that are still open then offer more, and in the end all. A line goes if
+an earlier line (by doc_id, then place) has a Jaccard similarity of the threshold or more.
 """
 
 from __future__ import annotations
@@ -15,23 +20,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from siltstone.llm import kernel as K, store
 
 U = np.uint64
-CELLS = 1 << 20
-BITS = 1 << 26
-SMALL = 16
+CELLS = 1 << 22
+SMALL = 48  # meetings up to here offer all their pairs at once
+ROUNDS = (3, 48, None)  # partners that a line of a larger meeting offers, round by round
+HOT = 14 * 8  # level from which a word is refined: it stands in about 2**14 lines or more
 FIRST = -(1 << 63)  # stands for a null doc_id: before all others
-POSTING = np.dtype([("tok", "<u8"), ("sig", "<u8"), ("map", "<u8"), ("n", "<u2"), ("age", "<u2")])  # tok: 48 bits of the word, 16 of its place
+POSTING = np.dtype([("tok", "<u8"), ("sig", "<u8"), ("m0", "<u8"), ("m1", "<u8"), ("age", "<u2")])  # tok: 40 bits of the word, 16 of the size, 8 of the place
 PAIRS = "a bigint, b bigint"
-CAP = 65535
+CAP, PLACES = 65535, 255
+WORD = U((1 << 40) - 1)
 
 
 class Lines:
     """Sets of the lines of a block: for line i, words[at[i]:at[i+1]] in their order."""
 
-    __slots__ = ("row", "no", "sig", "n", "at", "words", "map")
+    __slots__ = ("row", "no", "tag", "sig", "n", "at", "words", "level")
 
 
 def line_sets(column: pa.Array, level: np.ndarray | None = None) -> Iterator[Lines]:
@@ -43,67 +51,68 @@ def line_sets(column: pa.Array, level: np.ndarray | None = None) -> Iterator[Lin
         s, e = K.words(buf, offs)
         if not len(s):
             continue
-        h = K.spans_hash(K.running(buf), s, e)
+        run = K.running(buf)
+        h = K.spans_hash(run, s, e) >> U(24)
+        tag = K.spans_hash(run, offs[:-1], offs[1:]) >> U(32)
         feeds = np.flatnonzero(buf == 10) + 1
-        begin = np.union1d(offs[:-1][np.diff(offs) > 0], feeds[feeds < len(buf)])
+        begin = K.distinct(np.r_[offs[:-1][np.diff(offs) > 0], feeds[feeds < len(buf)]])
         row_of = np.searchsorted(offs, begin, side="right") - 1
         # place of a line in its text: line feeds of the text before it
         count = np.r_[0, np.cumsum(buf == 10)]
         no_of = count[begin] - count[offs[row_of]]
-        line = np.searchsorted(begin, s, side="right") - 1
-        used, first = np.unique(line, return_index=True)
-        cuts = np.r_[first, len(h)]
+        words_in = np.diff(np.r_[np.searchsorted(s, begin), len(s)])
+        used = np.flatnonzero(words_in)
+        cuts = np.r_[0, np.cumsum(words_in[used])]
         for x in range(0, len(used), 1 << 16):
             y = min(x + (1 << 16), len(used))
             w = h[cuts[x] : cuts[y]]
-            which = np.repeat(np.arange(y - x, dtype=np.uint64), np.diff(cuts[x : y + 1]))
-            lv = U(0) if level is None else level[(K.mix(w >> U(24)) & U(CELLS - 1)).astype(np.int64)]
-            key = np.unique((which << U(48)) | (lv << U(40)) | (w >> U(24)))
+            which = np.repeat(np.arange(y - x, dtype=np.uint64), words_in[used[x:y]])
+            key = (which << U(48)) | w
+            if level is not None:
+                key |= level[cell(w)].astype(np.uint64) << U(40)
+            key = K.distinct(key)
             owner = (key >> U(48)).astype(np.int64)
             out = Lines()
-            out.words = key & U((1 << 48) - 1)
-            out.at = np.searchsorted(owner, np.arange(y - x + 1))
-            out.n = np.diff(out.at)
-            plain = K.mix(out.words & U((1 << 40) - 1))
-            out.sig = K.mix(np.add.reduceat(plain, out.at[:-1]) + out.n.astype(np.uint64))
-            out.map = np.bitwise_or.reduceat(U(1) << (plain & U(63)), out.at[:-1])
-            out.row, out.no = row_of[used[x:y]] + lo, no_of[used[x:y]]
+            out.words = key & WORD
+            out.level = ((key >> U(40)) & U(255)).astype(np.uint8)
+            out.n = np.bincount(owner, minlength=y - x)
+            out.at = np.r_[0, np.cumsum(out.n)]
+            out.sig = K.mix(np.add.reduceat(K.mix(out.words), out.at[:-1]) + out.n.astype(np.uint64))
+            row = row_of[used[x:y]]
+            out.row, out.no, out.tag = row + lo, no_of[used[x:y]], tag[row]
             yield out
 
 
+def cell(word: np.ndarray) -> np.ndarray:
+    return ((word * U(0x9E3779B97F4A7C15)) >> U(42)).astype(np.int64)
+
+
 def need(na, nb, num: int, den: int):
     return -((-num * (na + nb)) // (num + den))
 
 
-class Fresh:
-    """Which names a task has not met yet."""
+class Met:
+    """Names a task has met lately, with the least age of each: a table of fixed size, so
+    some names come again. Only repeats work."""
 
-    def __init__(self):
-        self.seen = np.zeros(0, np.uint64)
+    def __init__(self, cells: int = 1 << 20):
+        self.sig, self.age = np.zeros(cells, np.uint64), np.zeros(cells, np.int64)
 
-    def of(self, sig: np.ndarray) -> np.ndarray:
-        """Places of the first occurrence of each new name."""
-        u, first = np.unique(sig, return_index=True)
-        if len(self.seen):
-            at = np.minimum(np.searchsorted(self.seen, u), len(self.seen) - 1)
-            new = self.seen[at] != u
-            u, first = u[new], first[new]
-        self.seen = np.union1d(self.seen, u)
-        return np.sort(first)
+    def fresh(self, sig: np.ndarray, age: np.ndarray) -> np.ndarray:
+        """Places of names that are new or older than before, the oldest of each once."""
+        o = np.lexsort((age, sig))
+        o = o[np.r_[True, sig[o][1:] != sig[o][:-1]]] if len(o) else o
+        at = (sig[o] & U(len(self.sig) - 1)).astype(np.int64)
+        o, at = (x[(self.sig[at] != sig[o]) | (self.age[at] > age[o])] for x in (o, at))
+        self.sig[at], self.age[at] = sig[o], age[o]
+        return o
 
 
-def _batches(batches, level=None):
-    """(doc_ids, lines, places of new ones), new ones counted anew every 2 M names, which
-    bounds a task's memory and only repeats some work."""
-    new = Fresh()
+def _blocks(batches, level=None):
     for b in batches:
         ids = np.asarray(b.column(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-        pend = []
         for ls in line_sets(b.column(1), level):
-            if len(new.seen) > 2_000_000:
-                new = Fresh()
-            pend.append((ids, ls, new.of(ls.sig)))
-        yield from pend
+            yield ids, ls
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -114,327 +123,492 @@ def _unsigned(x: np.ndarray) -> np.ndarray:
     return x.view(np.uint64) ^ U(1 << 63)
 
 
-def _first_pass(rows: DataFrame) -> DataFrame:
-    """Per block: (sig, doc_id, line) of each set's first line; per task: the sketch."""
+LINE = np.dtype([("sig", "<u8"), ("doc_id", "<i8"), ("tag", "<u4"), ("line", "<u4")])
+COUNT = np.dtype([("cell", "<u4"), ("n", "<u4")])
+GONE = np.dtype([("doc_id", "<i8"), ("tag", "<u4"), ("line", "<u4")])
+
+
+def _first_pass(rows: DataFrame, nb: int) -> DataFrame:
+    """Packed lines (sig, doc_id, tag, line), by sig; per task, in buckets from ``nb`` on,
+    the counts of the sketch's cells."""
 
     def run(batches):
-        names = ["sig", "doc_id", "line", "bucket", "payload"]
-        counts = np.zeros(CELLS, np.int64)
-        for ids, ls, k in _batches(batches):
+        pack, counts, met = K.Packer(nb), np.zeros(CELLS, np.uint32), Met()
+        for ids, ls in _blocks(batches):
+            rec = np.zeros(len(ls.n), LINE)
+            rec["sig"], rec["doc_id"], rec["tag"], rec["line"] = ls.sig, ids[ls.row], ls.tag, ls.no
+            yield from pack.add(K.bucket_of(ls.sig, nb), rec)
             pick = np.zeros(len(ls.n), bool)
-            pick[k] = True
-            # without a level the 40 bits of a word are all of its key; the cell is taken from the same bits
-            counts += np.bincount((K.mix(ls.words[np.repeat(pick, ls.n)]) & U(CELLS - 1)).astype(np.int64), minlength=CELLS)
-            # of each set the block's least (doc_id, place): rows come in any order
-            own = ids[ls.row]
-            o = np.lexsort((ls.no, own, ls.sig))
-            o = o[np.r_[True, ls.sig[o][1:] != ls.sig[o][:-1]]]
-            m = len(o)
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(ls.sig[o])), pa.array(own[o]), pa.array(ls.no[o], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
-        r = K.sketch_rows(counts)
-        m = r.num_rows
-        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), r.column(0), r.column(1)], names)
+            pick[met.fresh(ls.sig, np.zeros(len(ls.n), np.int64))] = True
+            at, n = K.counted(cell(ls.words[np.repeat(pick, ls.n)]))
+            counts[at] += n.astype(np.uint32)
+        yield from pack.close()
+        at = np.flatnonzero(counts)
+        part = CELLS // K.SKETCH_CHUNKS
+        rec = np.zeros(len(at), COUNT)
+        rec["cell"], rec["n"] = at % part, counts[at]
+        yield from pack.add((nb + at // part).astype(np.int32), rec)
+        yield from pack.close()
 
-    return rows.mapInArrow(run, "sig bigint, doc_id bigint, line bigint, bucket int, payload binary")
+    return rows.mapInArrow(run, K.PACKED)
 
 
-def _levels(counts: np.ndarray) -> np.ndarray:
-    """Rank of a cell: eighths of a power of two of its count."""
-    return np.clip(np.log2(np.maximum(counts, 1.0)) * 8, 0, 255).astype(np.uint64)
+FOUND = "sig bigint, doc_id bigint, tag bigint, line bigint, bucket int, payload binary"
+
+
+def _levels_or_firsts(bucket: int, table: pa.Table, nb: int):
+    """First lines as rows and later copies packed (bucket -1), or the levels of a part of
+    the cells (bucket 0 on)."""
+    names = ["sig", "doc_id", "tag", "line", "bucket", "payload"]
+
+    def packed(bucket, data):
+        none = pa.nulls(1, pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], names)
+
+    if bucket >= nb:
+        total = np.zeros(CELLS // K.SKETCH_CHUNKS, np.int64)
+        for x in table.column("payload"):
+            r = np.frombuffer(x.as_buffer(), COUNT)
+            total[r["cell"]] += r["n"]
+        # eighths of a power of two of the count: 0 for a word of one line
+        yield packed(bucket - nb, np.clip(np.log2(np.maximum(total, 1.0)) * 8, 0, 255).astype(np.uint8).tobytes())
+        return
+    r = K.unpack(table, LINE)
+    r = r[np.lexsort((r["line"], r["tag"], r["doc_id"], r["sig"]))]
+    new = np.r_[True, r["sig"][1:] != r["sig"][:-1]] if len(r) else np.zeros(0, bool)
+    f = r[new]
+    m = len(f)
+    yield pa.RecordBatch.from_arrays([pa.array(_signed(f["sig"])), pa.array(f["doc_id"].copy()), pa.array(f["tag"].astype(np.int64)), pa.array(f["line"].astype(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+    # rows that are equal in id and text share their first line
+    own = f[np.cumsum(new) - 1]
+    same = (r["doc_id"] == own["doc_id"]) & (r["tag"] == own["tag"]) & (r["line"] == own["line"])
+    late = np.zeros(int((~same).sum()), GONE)
+    for c in GONE.names:
+        late[c] = r[c][~same]
+    if len(late):
+        yield packed(-1, late.tobytes())
+
+
+def _maps(ls: Lines, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity of the lines' words over 128 cells."""
+    at = np.repeat(ls.at[k] - np.r_[0, np.cumsum(ls.n[k])[:-1]], ls.n[k]) + np.arange(ls.n[k].sum())
+    g = K.mix(ls.words[at])
+    bit, high = U(1) << (g & U(63)), (g >> U(6)) & U(1) == 1
+    cut = np.r_[0, np.cumsum(ls.n[k])[:-1]]
+    return np.bitwise_xor.reduceat(np.where(high, U(0), bit), cut), np.bitwise_xor.reduceat(np.where(high, bit, U(0)), cut)
 
 
 def _postings(rows: DataFrame, level_b, low: int, high: int, nb: int, num: int, den: int) -> DataFrame:
     scale = CAP / max(1, high - low)
 
     def run(batches):
-        pack = K.Packer(nb)
-        for ids, ls, k in _batches(batches, level_b.value):
+        pack, met = K.Packer(nb), Met()
+        for ids, ls in _blocks(batches, level_b.value):
+            age = np.clip((ids[ls.row].astype(np.float64) - low) * scale, 0, CAP).astype(np.int64)
+            k = met.fresh(ls.sig, age)
+            if not len(k):
+                continue
             n = ls.n[k]
             p = n - (-(-num * n // den)) + 1
             owner = np.repeat(np.arange(len(k)), p)
             pos = np.arange(len(owner)) - np.repeat(np.cumsum(p) - p, p)
-            rec = np.zeros(len(owner), POSTING)
-            tok = ls.words[ls.at[k][owner] + pos]
-            rec["tok"] = (tok << U(16)) | np.minimum(pos, CAP).astype(np.uint64)
-            rec["sig"], rec["map"], rec["n"] = ls.sig[k][owner], ls.map[k][owner], np.minimum(n, CAP)[owner]
-            age = np.clip((ids[ls.row[k]].astype(np.float64) - low) * scale, 0, CAP)
-            rec["age"] = age.astype(np.uint16)[owner]
-            yield from pack.add(K.bucket_of(tok, nb), rec)
+            at = ls.at[k][owner] + pos
+            word, level = ls.words[at], ls.level[at]
+            hot = np.flatnonzero(level >= HOT)
+            # a word of one line meets none
+            cold = np.flatnonzero((level > 0) & (level < HOT))
+            which, place, key = [cold], [pos[cold]], [word[cold]]
+            if len(hot):
+                # the second common word stands behind the first, in the prefix of one word more
+                reach = np.minimum(p, n - 1)[owner[hot]] - pos[hot]
+                first = np.repeat(hot, reach)
+                step = np.arange(len(first)) - np.repeat(np.cumsum(reach) - reach, reach) + 1
+                key.append((K.mix(word[first] ^ K.mix(ls.words[at[first] + step])) & WORD))
+                which.append(first)
+                place.append(pos[first])
+                # sets of one word have no second
+                alone = hot[n[owner[hot]] == 1]
+                key.append(word[alone])
+                which.append(alone)
+                place.append(pos[alone])
+            which, place, key = np.concatenate(which), np.concatenate(place), np.concatenate(key)
+            rec = np.zeros(len(which), POSTING)
+            m0, m1 = _maps(ls, k)
+            o = owner[which]
+            rec["tok"] = (key << U(24)) | (np.minimum(n, CAP)[o].astype(np.uint64) << U(8)) | np.minimum(place, PLACES).astype(np.uint64)
+            rec["sig"], rec["m0"], rec["m1"], rec["age"] = ls.sig[k][o], m0[o], m1[o], age[k][o]
+            yield from pack.add(K.bucket_of(key, nb), rec)
         yield from pack.close()
 
     return rows.mapInArrow(run, K.PACKED)
 
 
-def admits(p: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which pairs may be linked: by length, place and bitmap; lengths beyond the cap pass."""
-    na, nb = p["n"][i].astype(np.int64), p["n"][j].astype(np.int64)
-    capped = (na == CAP) | (nb == CAP)
-    ok = (capped | (den * np.minimum(na, nb) >= num * np.maximum(na, nb))) & (p["sig"][i] != p["sig"][j])
-    k = np.flatnonzero(ok)
-    na, nb, i, j, capped = na[k], nb[k], i[k], j[k], capped[k]
+def _parts(p: np.ndarray):
+    return (p["tok"] >> U(24)), ((p["tok"] >> U(8)) & U(CAP)).astype(np.int64), (p["tok"] & U(PLACES)).astype(np.int64)
+
+
+def slack(na, nb, pa_, pb, differ, num: int, den: int):
+    """How many bits the maps may still differ in: negative where the pair can't be linked."""
     least = need(na, nb, num, den)
-    pa_, pb = (p["tok"][i] & U(CAP)).astype(np.int64), (p["tok"][j] & U(CAP)).astype(np.int64)
-    rest = 1 + np.minimum(na - pa_ - 1, nb - pb - 1)
-    differ = np.bitwise_count(p["map"][i] ^ p["map"][j]).astype(np.int64)
-    ok[k] = capped | ((rest >= least) & ((na + nb - differ) // 2 >= least))
-    return ok
-
-
-def _all_pairs(p: np.ndarray, word: np.ndarray, num: int, den: int, is_open: np.ndarray | None = None) -> list[np.ndarray]:
-    """Admitted pairs of postings of the same word (p sorted by word, then length); with
-    ``is_open`` those with an open side. A posting meets only those of fitting length."""
-    found, d, pending = [], 0, 0
-    n = p["n"].astype(np.int64)
+    ok = (den * np.minimum(na, nb) >= num * np.maximum(na, nb)) & (1 + np.minimum(na - pa_ - 1, nb - pb - 1) >= least)
+    spare = np.where(ok, na + nb - 2 * least - differ, -1)
+    return np.where((na == CAP) | (nb == CAP), 0, spare)
+
+
+def _few(p, word, n, pos, num, den):
+    """(later, earlier) of all pairs of small meetings that pass; p by word, then size."""
+    out = []
     live = np.arange(len(p))
+    d = 0
     while len(live):
         d += 1
         live = live[live + d < len(p)]
         live = live[(word[live] == word[live + d]) & (den * n[live] >= num * n[live + d])]
-        k = live if is_open is None else live[is_open[live] | is_open[live + d]]
-        k = k[admits(p, k, k + d, num, den)]
-        if len(k):
-            found.append(np.stack([p["sig"][k], p["sig"][k + d]], 1))
-            pending += len(k)
-            if pending > 1_000_000:
-                found, pending = [np.unique(np.sort(np.concatenate(found), axis=1), axis=0)], 0
-    return found
-
-
-def _pairs_batch(found: list[np.ndarray], payload: bytes | None = None, bucket: int = 0) -> pa.RecordBatch:
-    ab = np.concatenate(found) if found else np.zeros((0, 2), np.uint64)
-    ab = np.unique(np.sort(ab, axis=1), axis=0)
-    if payload is not None:
-        return pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([bucket], pa.int32()), pa.array([payload], pa.binary())], ["a", "b", "bucket", "payload"])
-    k = len(ab)
-    return pa.RecordBatch.from_arrays([pa.array(_signed(ab[:, 0].copy())), pa.array(_signed(ab[:, 1].copy())), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], ["a", "b", "bucket", "payload"])
-
-
-def _meet(bucket: int, table: pa.Table, num: int, den: int):
-    """Admitted pairs: all of a small meeting, those with the two oldest lines of a large
-    one; large meetings' postings go on."""
-    p = K.unpack(table, POSTING)
-    word = p["tok"] >> U(16)
-    o = np.lexsort((p["age"], p["sig"], word))
-    p, word = p[o], word[o]
-    if len(p):
-        one = np.r_[True, (word[1:] != word[:-1]) | (p["sig"][1:] != p["sig"][:-1])]
-        p, word = p[one], word[one]
-    cut = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(p) else np.zeros(0, np.int64)
-    size = np.diff(np.r_[cut, len(p)])
-    small = np.repeat((size > 1) & (size <= SMALL), size)
-    q, w = p[small], word[small]
-    o = np.lexsort((q["n"], w))
-    found = _all_pairs(q[o], w[o], num, den)
-    big = np.repeat(size > SMALL, size)
-    q, w = p[big], word[big]
-    if len(q):
-        o = np.lexsort((q["sig"], q["age"], w))
-        q, w = q[o], w[o]
-        head = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-        of = np.repeat(head, np.diff(np.r_[head, len(q)]))
-        for pivot in (0, 1):
-            j = np.arange(len(q))
-            ok = admits(q, of + pivot, j, num, den)
-            found.append(np.stack([q["sig"][of[ok] + pivot], q["sig"][ok]], 1))
-    yield _pairs_batch(found)
-    for x in range(0, len(q), 1 << 16):
-        yield _pairs_batch([], q[x : x + (1 << 16)].tobytes(), bucket)
+        if not len(live):
+            break
+        i, j = live, live + d
+        differ = np.bitwise_count(p["m0"][i] ^ p["m0"][j]).astype(np.int64) + np.bitwise_count(p["m1"][i] ^ p["m1"][j])
+        ok = (slack(n[i], n[j], pos[i], pos[j], differ, num, den) >= 0) & (p["sig"][i] != p["sig"][j])
+        out.append(np.stack([p["sig"][i[ok]], p["sig"][j[ok]]], 1))
+    return out
 
 
-def _place(doc_id: np.ndarray, line: np.ndarray) -> np.ndarray:
-    return K.mix(K.mix(doc_id.view(np.uint64)) + line.astype(np.uint64))
+def _near(p, n, pos, rows, lo, hi, num, den):
+    """(i, j, spare) of the pairs of ``rows`` with the places lo to hi (by row) that pass."""
+    m0, m1 = np.ascontiguousarray(p["m0"]), np.ascontiguousarray(p["m1"])
+    top = n[hi - 1] + n[rows]
+    bound = np.minimum(top - 2 * need(top, 0, num, den), 255)  # no pair of the row may differ in more bits
+    bound[(n[rows] == CAP) | (n[hi - 1] == CAP)] = 255
+    bound = bound.astype(np.uint8)
+    out = []
+    step = max(1, (1 << 17) // max(1, int((hi - lo).max(initial=1))))
+    for x in range(0, len(rows), step):
+        y = min(x + step, len(rows))
+        low, high = int(lo[x:y].min()), int(hi[x:y].max())
+        i = rows[x:y]
+        differ = np.bitwise_count(m0[i][:, None] ^ m0[low:high])
+        differ += np.bitwise_count(m1[i][:, None] ^ m1[low:high])
+        r, c = np.nonzero(differ <= bound[x:y, None])
+        d = differ[r, c].astype(np.int64)
+        r, c = i[r], c + low
+        inside = (c >= lo[x:y][np.searchsorted(i, r)]) & (p["sig"][r] != p["sig"][c])
+        r, c, d = r[inside], c[inside], d[inside]
+        spare = slack(n[r], n[c], pos[r], pos[c], d, num, den)
+        ok = spare >= 0
+        out.append((r[ok], c[ok], spare[ok]))
+    return out
 
 
-def _fetch(rows: DataFrame, places_b) -> DataFrame:
-    """(sig, words) of the lines whose place the bit table holds: places of first lines, so
-    a name comes once (what the table lets through besides is dropped by the join). A word
-    is the five bytes of its hash."""
+def _many(p, n, pos, asks, top, num, den):
+    """Of one large meeting (by size): for each of ``asks`` its ``top`` likeliest earlier
+    partners (None: all); whose there are more."""
+    out, left = [], np.zeros(len(p), bool)
+    age = p["age"]
+
+    def offer(i, j, spare):
+        """i are later than j."""
+        if top is not None and len(i):
+            o = np.lexsort((-spare, i))
+            i, j = i[o], j[o]
+            head = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+            size = np.diff(np.r_[head, len(i)])
+            left[i[head[size > top]]] = True
+            few = np.arange(len(i)) - np.repeat(head, size) < top
+            i, j = i[few], j[few]
+        out.append(np.stack([p["sig"][i], p["sig"][j]], 1))
+
+    hi_of = np.searchsorted(n, den * n // num, side="right")
+    if len(asks) == len(p) <= 2048:
+        # each pair once, from its smaller side
+        rows = np.arange(len(p) - 1)
+        rows = rows[hi_of[:-1] > rows + 1]
+        got = _near(p, n, pos, rows, rows + 1, hi_of[rows], num, den) if len(rows) else []
+        if got:
+            i, j, spare = (np.concatenate(x) for x in zip(*got))
+            a, b = age[i] >= age[j], age[j] >= age[i]
+            offer(np.r_[i[a], j[b]], np.r_[j[a], i[b]], np.r_[spare[a], spare[b]])
+        return out, left
+    lo_of = np.searchsorted(n, -(-num * n // den))
+    for x in range(0, len(asks), 256):
+        i = asks[x : x + 256]
+        got = _near(p, n, pos, i, lo_of[i], hi_of[i], num, den)
+        i, j, spare = (np.concatenate(x) for x in zip(*got))
+        late = age[i] >= age[j]
+        offer(i[late], j[late], spare[late])
+    return out, left
+
+
+NAMES = ["a", "b", "bucket", "payload"]
+MET = "a bigint, b bigint, bucket int, payload binary"
+
+
+def _pairs_batch(found: list[np.ndarray]) -> pa.RecordBatch:
+    ab = K.distinct_pairs(np.concatenate(found)) if found else np.zeros((0, 2), np.uint64)
+    k = len(ab)
+    return pa.RecordBatch.from_arrays([pa.array(_signed(ab[:, 0].copy())), pa.array(_signed(ab[:, 1].copy())), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], NAMES)
+
+
+def _meet(bucket: int, p: np.ndarray, is_open: np.ndarray | None, top: int | None, num: int, den: int):
+    """Pairs of a bucket's meetings, and the postings of those that have more to offer."""
+    if not len(p):
+        return
+    # one posting of each name in a meeting, with its least age
+    o = np.argsort((p["tok"] & ~U((1 << 24) - 1)) | (p["sig"] & U((1 << 24) - 1)))
+    p = p[o]
+    is_open = np.ones(len(p), bool) if is_open is None else is_open[o]
+    word = p["tok"] >> U(24)
+    first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (p["sig"][1:] != p["sig"][:-1])])
+    age = np.minimum.reduceat(p["age"], first)
+    p, is_open = p[first], is_open[first]
+    p["age"] = age
+    o = np.argsort(p["tok"])
+    p, is_open = p[o], is_open[o]
+    word, n, pos = _parts(p)
+    cut = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    size = np.diff(np.r_[cut, len(p)])
+    small = np.repeat(size <= SMALL, size)
+    q = np.flatnonzero(small & np.repeat(size > 1, size))
+    found = _few(p[q], word[q], n[q], pos[q], num, den)
+    yield _pairs_batch(found)
+    found, more, held = [], [], 0
+    for lo, m in zip(cut[size > SMALL].tolist(), size[size > SMALL].tolist()):
+        x = slice(lo, lo + m)
+        pairs, left = _many(p[x], n[x], pos[x], np.flatnonzero(is_open[x]), top, num, den)
+        found += pairs
+        held += sum(len(y) for y in pairs)
+        if left.any():
+            rec = np.zeros(m, OPENED)
+            rec["p"], rec["open"] = p[x], left
+            more.append(rec)
+        if held > 500_000:
+            yield _pairs_batch(found)
+            found, held = [], 0
+    yield _pairs_batch(found)
+    if more:
+        rec = np.concatenate(more)
+        for x in range(0, len(rec), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([bucket], pa.int32()), pa.array([rec[x : x + (1 << 16)].tobytes()], pa.binary())], NAMES)
 
-    def run(batches):
-        for b in batches:
-            ids = np.asarray(b.column(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-            for ls in line_sets(b.column(1)):
-                k = np.flatnonzero(places_b.value.has(_place(ids[ls.row], ls.no)))
-                five = ls.words.view(np.uint8).reshape(-1, 8)[:, :5]
-                words = [five[ls.at[i] : ls.at[i + 1]].tobytes() for i in k]
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(ls.sig[k])), pa.array(words, pa.binary())], ["sig", "words"])
 
-    return rows.mapInArrow(run, "sig bigint, words binary")
+OPENED = np.dtype([("p", POSTING), ("open", "?")])
 
 
-WIDE_MAP = np.dtype([("n", "<u4"), ("map", "<u8", 4)])
+def _place(doc_id: np.ndarray, tag: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return K.mix(K.mix(doc_id.view(np.uint64) + K.mix(tag.astype(np.uint64))) + line.astype(np.uint64))
 
 
-def _fetch_maps(rows: DataFrame, places_b) -> DataFrame:
-    """(sig, data): like ``_fetch``, the size and a 256-bit bitmap of each set."""
+def _fetch(rows: DataFrame, places_b) -> DataFrame:
+    """(sig, words) of the lines whose place the bit table holds: places of first lines, so
+    a name comes about once (what the table lets through besides has the same words, or is
+    dropped by the join). A word is the five bytes of its hash."""
 
     def run(batches):
-        for b in batches:
-            ids = np.asarray(b.column(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-            for ls in line_sets(b.column(1)):
-                h = K.mix(ls.words)
-                out = np.zeros(len(ls.n), WIDE_MAP)
-                out["n"] = ls.n
-                bit, part = U(1) << (h & U(63)), (h >> U(6)) & U(3)
-                for q in range(4):
-                    out["map"][:, q] = np.bitwise_or.reduceat(np.where(part == U(q), bit, U(0)), ls.at[:-1])
-                k = np.flatnonzero(places_b.value.has(_place(ids[ls.row], ls.no)))
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(ls.sig[k])), pa.array([x.tobytes() for x in out[k]], pa.binary())], ["sig", "data"])
+        for ids, ls in _blocks(batches):
+            k = np.flatnonzero(places_b.value.has(_place(ids[ls.row], ls.tag, ls.no)))
+            five = np.ascontiguousarray(ls.words.view(np.uint8).reshape(-1, 8)[:, :5])
+            words = [five[a:b].tobytes() for a, b in zip(ls.at[k].tolist(), ls.at[k + 1].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(ls.sig[k])), pa.array(words, pa.binary())], ["sig", "words"])
 
-    return rows.mapInArrow(run, "sig bigint, data binary")
-
-
-def _fitting(pairs: DataFrame, maps: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose overlap the wide bitmaps do not rule out."""
+    return rows.mapInArrow(run, "sig bigint, words binary")
 
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), WIDE_MAP) for k in (2, 3))
-                both = x["n"].astype(np.int64) + y["n"]
-                differ = np.bitwise_count(x["map"] ^ y["map"]).sum(axis=1, dtype=np.int64)
-                b = b.filter(pa.array((both - differ) // 2 >= need(x["n"].astype(np.int64), y["n"].astype(np.int64), num, den)))
-            yield b.select(["a", "b"])
 
-    one = pairs.join(maps.select(F.col("sig").alias("a"), F.col("data").alias("ma")), "a")
-    two = one.join(maps.select(F.col("sig").alias("b"), F.col("data").alias("mb")), "b").select("a", "b", "ma", "mb")
-    return two.mapInArrow(run, PAIRS).distinct()
+def _words(column) -> tuple[np.ndarray, np.ndarray]:
+    """(words of all rows, words in each row) of a column of five-byte words."""
+    parts = [x.as_buffer() for x in column]
+    n = np.array([x.size // 5 for x in parts], np.int64)
+    flat = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 5)
+    out = np.zeros((len(flat), 8), np.uint8)
+    out[:, :5] = flat
+    return out.view(np.uint64).ravel(), n
 
 
-def _words(x) -> np.ndarray:
-    five = np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, 5)
-    out = np.zeros((len(five), 8), np.uint8)
-    out[:, :5] = five
-    return out.view(np.uint64).ravel()
+def linked(x, y, num: int, den: int) -> np.ndarray:
+    """Whether the sets of two columns, row by row, have the similarity asked for."""
+    (wx, nx), (wy, ny) = _words(x), _words(y)
+    row = lambda n: np.repeat(np.arange(len(n), dtype=np.uint64), n) << U(40)
+    both = np.sort(np.r_[wx | row(nx), wy | row(ny)])
+    inter = np.bincount((both[1:][both[1:] == both[:-1]] >> U(40)).astype(np.int64), minlength=len(nx))
+    return den * inter >= num * (nx + ny - inter)
 
 
 def _verified(rows: DataFrame, firsts: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """(sig) of the lines that one of the pairs links with an earlier one."""
     spark = rows.sparkSession
+    f = F.struct("doc_id", "tag", "line")
+    one = pairs.join(firsts.select(F.col("sig").alias("a"), f.alias("fa")), "a").join(firsts.select(F.col("sig").alias("b"), f.alias("fb")), "b")
+    later = F.col("fa") < F.col("fb")
+    dated = store.table(one.select("a", "b", F.when(later, F.col("b")).otherwise(F.col("a")).alias("late"), "fa", "fb"), "op7-pairs")
+    wanted = dated.select(F.explode(F.array("fa", "fb")).alias("f")).distinct().select("f.*")
 
-    def place(batches):
-        for b in batches:
-            yield from K.bit_rows(np.unique(_place(b.column(0).to_numpy(), b.column(1).to_numpy())), BITS)
+    def place(bits):
+        def run(batches):
+            for b in batches:
+                yield from K.bit_rows(K.distinct(_place(*(b.column(c).to_numpy() for c in ("doc_id", "tag", "line")))), bits)
 
-    def places(pairs):
-        sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-        wanted = firsts.join(sigs, "sig", "left_semi").select("f.doc_id", "f.line")
-        return spark.sparkContext.broadcast(K.bits_total(wanted.mapInArrow(place, K.PACKED), BITS))
+        return run
 
-    # wide bitmaps rule most pairs out before whole sets travel
-    maps = store.table(_fetch_maps(rows, places(pairs)), "op7-maps")
-    pairs = store.table(_fitting(pairs, maps, num, den), "op7-pairs")
-    store.drop(maps)
-    sets = store.table(_fetch(rows, places(pairs)), "op7-sets")
+    bits = K.bits_for(2 * dated.count())
+    places_b = spark.sparkContext.broadcast(K.bits_total(wanted.mapInArrow(place(bits), K.PACKED), bits))
+    sets = store.table(_fetch(rows, places_b), "op7-sets")
 
     def run(batches):
         for b in batches:
-            keep = []
-            for i in range(b.num_rows):
-                x, y = _words(b.column(2)[i]), _words(b.column(3)[i])
-                inter = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * inter >= num * (len(x) + len(y) - inter))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    one = pairs.join(sets.select(F.col("sig").alias("a"), F.col("words").alias("wa")), "a")
-    two = one.join(sets.select(F.col("sig").alias("b"), F.col("words").alias("wb")), "b").select("a", "b", "wa", "wb")
-    out = store.table(two.mapInArrow(run, PAIRS).distinct(), "op7-links")
-    store.drop(sets, pairs)
+            for lo in range(0, b.num_rows, 10_000):
+                x = b.slice(lo, 10_000)
+                yield x.select(["late"]).rename_columns(["sig"]).filter(pa.array(linked(x.column("wa"), x.column("wb"), num, den)))
+
+    side = lambda x: sets.select(F.col("sig").alias(x), F.col("words").alias(f"w{x}"))
+    two = dated.select("a", "b", "late").join(side("a"), "a").join(side("b"), "b").select("late", "wa", "wb")
+    out = store.table(two.mapInArrow(run, "sig bigint").distinct(), "op7-gone")
+    store.drop(sets, dated)
     return out
 
 
-def _settled(links: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Names of lines that are linked with an earlier one."""
-    a = links.join(firsts.select(F.col("sig").alias("a"), F.col("f").alias("fa")), "a")
-    ab = a.join(firsts.select(F.col("sig").alias("b"), F.col("f").alias("fb")), "b")
-    return ab.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("sig")).distinct()
+def _spread(batches):
+    """Postings that wait for another round, as rows."""
+    for b in batches:
+        for bucket, x in zip(b.column("bucket").to_pylist(), b.column("payload")):
+            r = np.frombuffer(x.as_buffer(), OPENED)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(r), bucket, np.int32)), pa.array(_signed(r["p"]["sig"])), pa.array([r[i : i + 1].tobytes() for i in range(len(r))], pa.binary()), pa.array(r["open"])],
+                ["bucket", "sig", "rec", "asks"],
+            )
+
+
+def _again(met: DataFrame, gone: DataFrame, top: int | None, num: int, den: int) -> DataFrame:
+    """The next round: open lines of the waiting meetings offer more partners."""
+    waiting = met.where("bucket IS NOT NULL").select("bucket", "payload").mapInArrow(_spread, "bucket int, sig bigint, rec binary, asks boolean")
+    marked = waiting.join(gone.select("sig", F.lit(True).alias("g")), "sig", "left").select("bucket", "rec", (F.col("asks") & F.col("g").isNull()).alias("asks"))
 
+    def run(bucket, table):
+        r = np.frombuffer(b"".join(table.column("rec").to_pylist()), OPENED)
+        yield from _meet(bucket, r["p"].copy(), table.column("asks").to_numpy(zero_copy_only=False).astype(bool), top, num, den)
 
-def _rest(bucket: int, table: pa.Table, num: int, den: int):
-    """Of large meetings: pairs of an open line with every other one."""
-    p = np.zeros(table.num_rows, POSTING)
-    for c, t in (("tok", np.uint64), ("sig", np.uint64), ("map", np.uint64)):
-        p[c] = table.column(c).to_numpy().view(t)
-    p["n"], p["age"] = table.column("n").to_numpy(), table.column("age").to_numpy()
-    is_open = table.column("open").to_numpy(zero_copy_only=False).astype(bool)
-    word = p["tok"] >> U(16)
-    o = np.lexsort((p["sig"], p["n"], word))
-    yield _pairs_batch(_all_pairs(p[o], word[o], num, den, is_open[o])).select(["a", "b"])
+    return K.exchange(marked, run, MET)
 
 
-def keep_list(rows: DataFrame, percent: int = 75) -> DataFrame:
-    """(doc_id, lines): places (from 0) of the lines with a word that stay."""
+def removed_lines(rows: DataFrame, percent: int = 75) -> DataFrame:
+    """(doc_id, tag, lines): places (from 0) of the lines that go, for each text that loses
+    one. ``tag`` names the text among those of one doc_id."""
     spark = rows.sparkSession
     num, den = percent, 100
-    first = store.table(_first_pass(rows), "op7-lines")
-    firsts = store.table(first.where("bucket IS NULL").groupBy("sig").agg(F.min(F.struct("doc_id", "line")).alias("f")), "op7-firsts")
-    counts = K.sketch_total(first.where("bucket IS NOT NULL").select("bucket", "payload"), CELLS)
-    store.drop(first)
-    level_b = spark.sparkContext.broadcast(_levels(counts))
-    low, high = rows.agg(F.min(F.when(F.col("doc_id") != FIRST, F.col("doc_id"))), F.max("doc_id")).first()
     nb = K.n_buckets(spark)
-    met = K.exchange(_postings(rows, level_b, low or 0, high or 0, nb, num, den), lambda b, t: _meet(b, t, num, den), "a bigint, b bigint, bucket int, payload binary")
-    met = store.table(met, "op7-met")
-    links = _verified(rows, firsts, met.where("bucket IS NULL").select("a", "b").distinct(), num, den)
-    gone = store.table(_settled(links, firsts), "op7-gone")
-
-    def spread(batches):
+    first = store.table(K.exchange(_first_pass(rows, nb), lambda b, t: _levels_or_firsts(b, t, nb), FOUND), "op7-lines")
+    firsts = first.where("bucket IS NULL").select("sig", "doc_id", "tag", "line")
+    level = np.zeros(CELLS, np.uint8)
+    part = CELLS // K.SKETCH_CHUNKS
+    for r in first.where("bucket >= 0").select("bucket", "payload").collect():  # CELLS bytes, whatever the input
+        level[r.bucket * part : (r.bucket + 1) * part] = np.frombuffer(r.payload, np.uint8)
+    level_b = spark.sparkContext.broadcast(level)
+    low, high = rows.agg(F.min(F.when(F.col("doc_id") != FIRST, F.col("doc_id"))), F.max("doc_id")).first()
+    met = store.table(K.exchange(_postings(rows, level_b, low or 0, high or 0, nb, num, den), lambda b, t: _meet(b, K.unpack(t, POSTING), None, ROUNDS[0], num, den), MET), "op7-met")
+    pairs = store.table(met.where("bucket IS NULL").select("a", "b").distinct(), "op7-met")
+    gone = _verified(rows, firsts, pairs, num, den)
+    for top in ROUNDS[1:]:
+        if not met.where("bucket IS NOT NULL").limit(1).count():
+            break
+        nxt = store.table(_again(met, gone, top, num, den), "op7-met")
+        store.drop(met)
+        met = nxt
+        more = store.table(met.where("bucket IS NULL").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "op7-met")
+        if more.limit(1).count():
+            new = store.table(gone.unionByName(_verified(rows, firsts, more, num, den)).distinct(), "op7-gone")
+            store.drop(gone)
+            gone = new
+        pairs, old = store.table(pairs.unionByName(more), "op7-met"), pairs
+        store.drop(old, more)
+    store.drop(met, pairs)
+
+    def copies(batches):
         for b in batches:
-            for bucket, x in zip(b.column("bucket").to_pylist(), b.column("payload")):
-                p = np.frombuffer(x.as_buffer(), POSTING)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(p), bucket, np.int32)), pa.array(p["tok"].copy().view(np.int64)), pa.array(_signed(p["sig"])), pa.array(p["map"].copy().view(np.int64)), pa.array(p["n"].astype(np.int32)), pa.array(p["age"].astype(np.int32))],
-                    ["bucket", "tok", "name", "map", "n", "age"],
-                )
-
-    large = met.where("bucket IS NOT NULL").select("bucket", "payload").mapInArrow(spread, "bucket int, tok bigint, name bigint, map bigint, n int, age int")
-    marked = large.join(gone.select(F.col("sig").alias("name"), F.lit(True).alias("g")), "name", "left").select("bucket", "tok", F.col("name").bitwiseXOR(F.lit(-(1 << 63))).alias("sig"), "map", "n", "age", F.col("g").isNull().alias("open"))
-    more = K.exchange(marked, lambda b, t: _rest(b, t, num, den), PAIRS).distinct()
-    more = store.table(more.join(links, ["a", "b"], "left_anti"), "op7-more")
-    if more.limit(1).count():
-        new = _verified(rows, firsts, more, num, den)
-        gone = store.table(gone.unionByName(_settled(new, firsts)).distinct(), "op7-gone")
-    kept = firsts.join(gone, "sig", "left_anti").select("f.doc_id", "f.line")
-    out = store.table(kept.groupBy("doc_id").agg(F.collect_list("line").alias("lines")), "op7-kept")
-    store.drop(firsts, met, links, more)
+            for x in b.column(0):
+                r = np.frombuffer(x.as_buffer(), GONE)
+                yield pa.RecordBatch.from_arrays([pa.array(r["doc_id"].copy()), pa.array(r["tag"].astype(np.int64)), pa.array(r["line"].astype(np.int64))], ["doc_id", "tag", "line"])
+
+    late = first.where("bucket = -1").select("payload").mapInArrow(copies, "doc_id bigint, tag bigint, line bigint")
+    linked_ = firsts.join(gone, "sig", "left_semi").select("doc_id", "tag", "line")
+    out = store.table(late.unionByName(linked_).groupBy("doc_id", "tag").agg(F.collect_set("line").alias("lines")), "op7-removed")
+    store.drop(first, gone)
     return out
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """``docs`` with its columns, the text without its removed lines, and the columns
-    n_lines, n_removed (long) after them.
+    """``docs`` with its columns, the text without its removed lines, and two more columns
+    (long), n_lines and n_removed, whose names get underscores before them where docs has
+    such columns.
 
     Lines end at LF; a line without a word always stays and is never compared. Of lines
-    with equal sets only the first stays, in the order doc_id (null first), place. A line
-    goes when any earlier line is linked with it, whether that one stays or not. A null
-    text stays null and has no lines. Rows with one doc_id share the decisions on their
-    lines' places. An empty table gives no rows.
+    with equal sets only the first stays, in the order doc_id (null first), text hash,
+    place. A line goes when any earlier line is linked with it, whether that one stays or
+    not. A null text stays null and has no lines. Equal rows are one; rows that share a
+    doc_id only are told apart by their texts. An empty table gives no rows. Ids are
+    integers, or strings of digits.
     """
     spark = docs.sparkSession
     K.once(spark)
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(FIRST)).alias("doc_id"), F.col(text).alias("text"))
-    kept = keep_list(rows, percent)
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("lines").alias("__lines"))
-    joined = docs.join(kept, F.coalesce(F.col(doc_id).cast("long"), F.lit(FIRST)) == F.col("__id"), "left").drop("__id")
-    at = joined.columns.index(text)
+    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(FIRST))
+    rows = docs.select(key.alias("doc_id"), F.col(text).alias("text"))
+    removed = removed_lines(rows, percent)
+
+    def ids(batches):
+        for b in batches:
+            yield from K.bit_rows(K.distinct(K.mix(b.column(0).to_numpy().view(np.uint64))), bits)
+
+    bits = K.bits_for(removed.count())
+    losing_b = spark.sparkContext.broadcast(K.bits_total(removed.select("doc_id").mapInArrow(ids, K.PACKED), bits))
+    names = free_names(docs.columns, "n_lines", "n_removed")
+    counted = [StructField(x, LongType()) for x in names]
+    held = free_names(docs.columns, "__id", "__tag", "__lines")
+    at = docs.columns.index(text)
+    width = len(docs.columns)
+
+    # texts that lose nothing go straight through; only the others are dealt out by id
+    def split(losing: bool):
+        def run(batches):
+            for b in batches:
+                k = losing_b.value.has(K.mix(b.column(width).to_numpy().view(np.uint64)))
+                b = b.filter(pa.array(k if losing else ~k))
+                if losing:
+                    tags = [K.spans_hash(K.running(buf), offs[:-1], offs[1:]) >> U(32) for _, _, buf, offs in K.blocks(b.column(at))]
+                    tag = np.concatenate(tags).astype(np.int64) if tags else np.zeros(0, np.int64)
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tag)], [*b.schema.names, held[1]])
+                else:
+                    n = [0 if t is None else t.count("\n") + 1 for t in b.column(at).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64()), pa.array(np.zeros(len(n), np.int64))], [*b.schema.names[:-1], *names])
+
+        return run
+
+    own = docs.withColumn(held[0], key)
+    whole = own.mapInArrow(split(False), StructType([*docs.schema.fields, *counted]))
+    losing = own.mapInArrow(split(True), StructType([*docs.schema.fields, StructField(held[0], LongType()), StructField(held[1], LongType())]))
+    removed = removed.select(F.col("doc_id").alias(held[0]), F.col("tag").alias(held[1]), F.col("lines").alias(held[2]))
+    joined = losing.join(removed, [held[0], held[1]], "left").select(*docs.columns, held[2])
 
     def run(batches):
         for b in batches:
             texts, total, gone = [], [], []
-            for t, keep in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
-                keep = set(keep or ())
-                own = (t or "").split("\n")
-                left = [x for i, x in enumerate(own) if i in keep or not x.strip(" \t\n\x0b\x0c\r")]
+            for t, drop in zip(b.column(at).to_pylist(), b.column(width).to_pylist()):
+                lines = (t or "").split("\n")
+                drop = set(drop or ())
+                left = [x for i, x in enumerate(lines) if i not in drop]
                 texts.append(None if t is None else "\n".join(left))
-                total.append(0 if t is None else len(own))
-                gone.append(len(own) - len(left))
+                total.append(0 if t is None else len(lines))
+                gone.append(len(lines) - len(left))
             cols = list(b.columns[:-1])
-            cols[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], [*b.schema.names[:-1], "n_lines", "n_removed"])
+            cols[at] = pa.array(texts, b.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], [*b.schema.names[:-1], *names])
 
-    from pyspark.sql.types import LongType, StructField, StructType
+    return whole.unionByName(joined.mapInArrow(run, StructType([*docs.schema.fields, *counted])))
 
-    schema = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_removed", LongType())])
-    return joined.mapInArrow(run, schema)
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The names, with underscores before those that are taken."""
+    used, out = {x.lower() for x in taken}, []
+    for x in wanted:
+        while x.lower() in used:
+            x = f"_{x}"
+        out.append(x)
+    return out
 
 
 def op7_line_dedup(spark, sf_dir):
