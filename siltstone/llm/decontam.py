@@ -68,7 +68,7 @@ class Items:
             self.hashes.append(self._of(t))
             self.explicit.append(self._of(answers[k]) if answers and answers[k] else None)
         flat = np.concatenate(self.hashes) if self.hashes else np.zeros(0, np.uint64)
-        self.vocab = np.unique(flat)
+        self.vocab = K.distinct(flat)
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.vocab & U((1 << 20) - 1)).astype(np.int64)] = True
 
@@ -308,7 +308,7 @@ class Search:
             w, j = (np.concatenate(x) for x in zip(*found))
             if not len(w):
                 continue
-            key = np.unique((text[w] * len(it.ids) + j) * n + w)
+            key = K.distinct((text[w] * len(it.ids) + j) * n + w)
             w, j = key % n, key // n % len(it.ids)
             by_run = np.isin(key, (text[found[0][0]] * len(it.ids) + found[0][1]) * n + found[0][0])
             cos = np.concatenate([(win[w[x : x + 4096]] * self.vec[j[x : x + 4096]]).sum(axis=1) for x in range(0, len(w), 4096)]) / norm[w]
@@ -364,7 +364,9 @@ class Search:
             word = v[np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())]
             own = np.repeat(np.arange(len(lo)), size)
             mine = self.member[of[own], word] > 0
-            pair, often = np.unique(own[mine] * self.member.shape[1] + word[mine], return_counts=True)
+            every = np.sort(own[mine] * self.member.shape[1] + word[mine])
+            cut = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
+            pair, often = every[cut], np.diff(np.r_[cut, len(every)])
             own, word = pair // self.member.shape[1], pair % self.member.shape[1]
             out[x : x + 4096] = np.bincount(own, weights=np.minimum(often, self.member[of[own], word]), minlength=len(lo))
         return out

@@ -207,7 +207,7 @@ def _meetings(bucket: int, table: pa.Table, num: int, den: int):
             k = admits(m, i, j, num, den)
             found.append(np.stack([m["sig"][i[k]], m["sig"][j[k]]], 1))
         big.append(packed[cut[g] : cut[g] + size[g]])
-    ab = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.uint64)
+    ab = K.distinct_pairs(np.concatenate(found)) if found else np.zeros((0, 2), np.uint64)
     yield _pair_batch(ab, bucket, None)
     if big:
         m = np.concatenate(big)
@@ -277,7 +277,7 @@ def _named(sigs: DataFrame) -> K.Bits:
 
     def run(batches):
         for b in batches:
-            yield from K.bit_rows(np.unique(b.column(0).to_numpy().view(np.uint64) ^ U(1 << 63)), BITS)
+            yield from K.bit_rows(K.distinct(b.column(0).to_numpy().view(np.uint64) ^ U(1 << 63)), BITS)
 
     return K.bits_total(sigs.mapInArrow(run, K.PACKED), BITS)
 
@@ -371,7 +371,7 @@ def _rest(bucket: int, table: pa.Table, num: int, den: int, top: int | None):
             i, j = i[rank < top], j[rank < top]
         found.append(np.stack([m["sig"][i], m["sig"][j]], 1))
     ab = np.concatenate(found) if found else np.zeros((0, 2), np.uint64)
-    ab = np.unique(np.sort(ab, axis=1), axis=0)
+    ab = K.distinct_pairs(ab)
     a, b = (ab[:, 0] ^ U(1 << 63)).view(np.int64), (ab[:, 1] ^ U(1 << 63)).view(np.int64)
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
