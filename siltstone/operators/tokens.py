@@ -70,12 +70,16 @@ class Tail:
 
 
 def train_bpe(docs: DataFrame, n_merges: int, most: int = 200_000) -> Merges:
+    """Merges over the pre-tokens of all documents: see ``train_chunks``."""
+    return train_chunks(chunk_counts(docs), n_merges, most)
+
+
+def train_chunks(chunks: DataFrame, n_merges: int, most: int = 200_000) -> Merges:
     """Byte-level merges: the most frequent pair each time, of equal ones the least. Pair
     counts follow the words that a merge changes. The driver holds the ``most`` frequent
     chunks; the others' pairs are counted by Spark, again whenever their bounds leave the
     next merge open, so all chunks count in full."""
-    chunks = chunk_counts(docs)
-    spark = docs.sparkSession
+    spark = chunks.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file:///tmp/siltstone-shared"
     spark.sparkContext.setCheckpointDir(folder)
     chunks = chunks.checkpoint()
@@ -158,23 +162,131 @@ def encode_word(word: str, ranks: dict) -> tuple[bytes, ...]:
     return form
 
 
-def encode_bpe(docs: DataFrame, merges: Merges) -> DataFrame:
-    """(doc_id, n_tokens, lossless): ids are bytes 0-255, then the merges in their order."""
-    ranks = {p: i for i, p in enumerate(merges)}
-
-    @F.pandas_udf("struct<n_tokens:bigint,lossless:boolean>")
-    def encode(chunks: pd.Series) -> pd.DataFrame:
-        seen: dict = {}
-        rows = []
-        for own in chunks:
-            n, back = 0, []
-            for w in own:
-                if w not in seen:
-                    seen[w] = encode_word(w, ranks)
-                n += len(seen[w])
-                back.append(b"".join(seen[w]))
-            rows.append((n, b"".join(back).decode() == "".join(own)))
-        return pd.DataFrame(rows, columns=["n_tokens", "lossless"])
-
-    e = docs.select("doc_id", encode(F.regexp_extract_all("text", F.lit(T.PRETOKEN), F.lit(0))).alias("e"))
-    return e.select("doc_id", "e.n_tokens", "e.lossless")
+class Bpe:
+    """Ids: bytes 0-255, then the merges in their order, then special tokens."""
+
+    def __init__(self, merges: Merges, specials: tuple[str, ...] = ()):
+        self.ranks = {p: i for i, p in enumerate(merges)}
+        self.raw = [bytes([i]) for i in range(256)] + [a + b for a, b in merges] + [s.encode() for s in specials]
+        self.n_ordinary = 256 + len(merges)
+        self.ids = {}
+        for i, x in enumerate(self.raw[: self.n_ordinary]):
+            self.ids.setdefault(x, i)
+        self.specials = {s: self.n_ordinary + i for i, s in enumerate(specials)}
+
+    def chunk(self, word: str) -> list[int]:
+        return [self.ids[x] for x in encode_word(word, self.ranks)]
+
+    def decode(self, ids) -> str:
+        """Unknown ids are an error; bytes that are no text become U+FFFD."""
+        for i in ids:
+            if not 0 <= i < len(self.raw):
+                raise ValueError(f"id {i} outside 0..{len(self.raw) - 1}")
+        return b"".join(self.raw[i] for i in ids).decode("utf-8", "replace")
+
+
+def encode_bpe(docs: DataFrame, merges: Merges, specials: tuple[str, ...] = (), key: str = "doc_id") -> DataFrame:
+    """(key, ids): each distinct pre-token is encoded once, in Arrow batches, and joined back
+    to its places; special tokens are cut out first, longest first, and are one id each."""
+    bpe = Bpe(merges, specials)
+    split = F.array(F.col("text"))
+    if specials:
+        quoted = "|".join("\\Q" + s + "\\E" for s in sorted(specials, key=lambda x: (-len(x), x)))
+        split = F.split(F.regexp_replace("text", f"({quoted})", "\x01$1\x01"), "\x01")
+    names = F.array(*[F.lit(s) for s in specials]).cast("array<string>")
+    pre = F.flatten(F.transform(split, lambda x: F.when(F.array_contains(names, x), F.array(x)).otherwise(F.regexp_extract_all(x, F.lit(T.PRETOKEN), F.lit(0)))))
+    places = docs.select(key, F.posexplode(pre).alias("pos", "chunk"))
+
+    @F.pandas_udf("array<int>")
+    def encode(chunks: pd.Series) -> pd.Series:
+        return chunks.map(lambda w: [bpe.specials[w]] if w in bpe.specials else bpe.chunk(w))
+
+    table = places.select("chunk").distinct().select("chunk", encode("chunk").alias("own"))
+    got = places.join(table, "chunk").groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "own"))), lambda x: x["own"])).alias("ids"))
+    return docs.select(key).join(got, key, "left").select(key, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+
+
+def decode_bpe(rows: DataFrame, merges: Merges, specials: tuple[str, ...] = (), key: str = "doc_id") -> DataFrame:
+    bpe = Bpe(merges, specials)
+
+    @F.pandas_udf("string")
+    def decode(s: pd.Series) -> pd.Series:
+        return s.map(lambda ids: bpe.decode(list(ids)))
+
+    return rows.select(key, decode("ids").alias("text"))
+
+
+#: GPT-2-style pre-tokens: a white space before a run of letters or of digits belongs to the run
+GPT2 = r"(?U)[\s\x1c-\x1f]?\p{L}+|[\s\x1c-\x1f]?\p{N}+|[^\s\x1c-\x1f\p{L}\p{N}]+|[\s\x1c-\x1f]"
+
+
+def gpt2_pretokens(text):
+    return F.regexp_extract_all(text, F.lit(GPT2), F.lit(0))
+
+
+def char_encode(docs: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, n, unknown): characters and those outside the vocabulary(c), which become U+FFFD."""
+    c = docs.select(key, F.explode(F.split("text", "")).alias("c")).where("c <> ''")
+    j = c.groupBy(key, "c").agg(F.count("*").alias("n")).join(vocab.select("c", F.lit(True).alias("known")), "c", "left")
+    return j.groupBy(key).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0)).alias("unknown"))
+
+
+def word_vocabulary(docs: DataFrame, most: int = 32_000, least: int = 1) -> DataFrame:
+    """(id, token, n): the commonest word tokens, of equal ones the one that comes first in
+    the corpus; id 0 is the unknown token."""
+    w = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("(?s)" + T.WORD_TOKEN), F.lit(0))).alias("pos", "token"))
+    n = w.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")).where(F.col("n") >= least)
+    top = n.orderBy(F.desc("n"), "first").limit(most - 1)
+    from pyspark.sql import Window
+
+    ranked = top.withColumn("id", F.row_number().over(Window.orderBy(F.desc("n"), "first")))  # at most ``most`` rows
+    return ranked.select("id", "token", "n").unionByName(docs.sparkSession.createDataFrame([(0, "<unk>", 0)], "id int, token string, n bigint"))
+
+
+def word_encode(docs: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, tokens, unknown): word tokens of each text and those outside the vocabulary."""
+    w = docs.select(key, F.explode(F.regexp_extract_all("text", F.lit("(?s)" + T.WORD_TOKEN), F.lit(0))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
+    j = w.join(vocab.where("id > 0").select("token", "id"), "token", "left")
+    return j.groupBy(key).agg(F.sum("n").alias("tokens"), F.sum(F.when(F.col("id").isNull(), F.col("n")).otherwise(0)).alias("unknown"))
+
+
+def _cost(bpe: Bpe):
+    @F.pandas_udf("struct<n:bigint,ok:boolean>")
+    def cost(s: pd.Series) -> pd.DataFrame:
+        ids = [bpe.chunk(w) for w in s]
+        return pd.DataFrame({"n": [len(x) for x in ids], "ok": [bpe.decode(x) == w for x, w in zip(ids, s)]})
+
+    return cost
+
+
+def sweep(docs: DataFrame, sizes: list[int], pretokens: dict[str, str]) -> DataFrame:
+    """(pretoken, merges, tokens, chars, chars_per_token, failures): merge tokenisers of a
+    grid; the most merges are trained once for each kind of pre-token and cut to size."""
+    out = None
+    chars = docs.agg(F.sum(F.length("text")).alias("chars"))
+    for name, pattern in sorted(pretokens.items()):
+        chunks = docs.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("chunk")).groupBy("chunk").agg(F.count("*").alias("n"))
+        merges = train_chunks(chunks, max(sizes))
+        for size in sizes:
+            cost = _cost(Bpe(merges[:size]))
+            r = chunks.select("n", cost("chunk").alias("c")).agg(F.sum(F.col("n") * F.col("c.n")).alias("tokens"), F.sum(F.when(F.col("c.ok"), 0).otherwise(F.col("n"))).alias("failures"))
+            r = r.crossJoin(chars).select(F.lit(name).alias("pretoken"), F.lit(size).alias("merges"), "tokens", "chars", (F.col("chars") / F.col("tokens")).alias("chars_per_token"), "failures")  # one row each
+            out = r if out is None else out.unionByName(r)
+    return out
+
+
+def artifact(merges: Merges, specials: tuple[str, ...] = ()) -> dict:
+    """A tokeniser as plain values, with a hash over them."""
+    import hashlib
+    import json
+
+    body = {"kind": "byte-bpe", "merges": [[a.hex(), b.hex()] for a, b in merges], "specials": list(specials)}
+    return {**body, "sha256": hashlib.sha256(json.dumps(body, sort_keys=True).encode()).hexdigest()}
+
+
+def load_artifact(value: dict) -> Bpe:
+    """The tokeniser of an artifact; an error where the hash does not fit."""
+    merges = [(bytes.fromhex(a), bytes.fromhex(b)) for a, b in value["merges"]]
+    if artifact(merges, tuple(value["specials"])) != value:
+        raise ValueError("the artifact's hash does not fit its content")
+    return Bpe(merges, tuple(value["specials"]))

@@ -427,7 +427,8 @@ def _(t):
 
 @query("a15_bootstrap")
 def _(t):
-    return A.bootstrap(t.documents.select("lang", F.col("n_chars").cast("double").alias("x"), F.octet_length("text").cast("double").alias("y")), "lang", "x", "y")
+    d = t.documents.select("lang", "doc_id", F.col("n_chars").cast("double").alias("x"), F.octet_length("text").cast("double").alias("y"))
+    return A.bootstrap(d, "lang", "x", "y", "doc_id")
 
 
 # splits, samples, packing --------------------------------------------------------------
@@ -515,4 +516,5 @@ def _(t):
 
 @query("t6_bpe_encode")
 def _(t):
-    return K.encode_bpe(t.documents, K.train_bpe(t.documents, 60))
+    e = K.encode_bpe(t.documents, K.train_bpe(t.documents, 60))
+    return e.select("doc_id", F.size("ids").alias("n_tokens"), T.sha(F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")).alias("ids_sha"))
