@@ -65,10 +65,11 @@ RULES = {
 }
 
 
-def host_verdicts(rated: DataFrame, host: str, rules: list[str], bad_rate: float) -> DataFrame:
-    """(host, n_docs, rate_<rule>..., host_rate, host_bad) from 0/1 columns ``rules``.
+def host_verdicts(rated: DataFrame, host: str, rules: list[str], bad_ratio: float, least_rate: float) -> DataFrame:
+    """(host, n_docs, rate_<rule>..., host_rate, host_ratio, host_bad) from 0/1 columns ``rules``.
 
-    Prior per rule: a beta with the mean and variance of the hosts' rates (hosts weigh by
+    A host is bad where the shrunk rate of some rule is ``bad_ratio`` times the corpus's
+    rate or more, and ``least_rate`` at least; host_ratio is the highest such ratio. Prior per rule: a beta with the mean and variance of the hosts' rates (hosts weigh by
     their documents); without spread between hosts it is worth 1,000 documents. Two levels
     of sums run map-side before any shuffle, so a host with most rows is no hot key.
     """
@@ -85,17 +86,22 @@ def host_verdicts(rated: DataFrame, host: str, rules: list[str], bad_rate: float
         v = F.greatest(F.col(f"q_{r}") / F.col("n") - m * m, F.lit(0.0))
         weight = F.when(v > m * (1 - m) / 1000.0, m * (1 - m) / v - 1).otherwise(F.lit(1000.0))
         cols.append(((F.col(f"f_{r}") + m * weight) / (F.col("n_docs") + weight)).alias(f"rate_{r}"))
+        cols.append(m.alias(f"mean_{r}"))
     out = joined.select(host, "n_docs", *cols)
-    return out.withColumn("host_rate", F.greatest(*[F.col(f"rate_{r}") for r in rules], F.lit(0.0))).withColumn("host_bad", F.col("host_rate") > bad_rate)
+    rate, ratio = [F.col(f"rate_{r}") for r in rules], [F.when(F.col(f"mean_{r}") > 0, F.col(f"rate_{r}") / F.col(f"mean_{r}")).otherwise(0.0) for r in rules]
+    bad = F.lit(False)
+    for x, y in zip(rate, ratio):
+        bad = bad | ((x >= least_rate) & (y >= bad_ratio))
+    return out.select(host, "n_docs", *rate, F.greatest(*rate, F.lit(0.0)).alias("host_rate"), F.greatest(*ratio, F.lit(0.0)).alias("host_ratio"), bad.alias("host_bad"))
 
 
-def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", bad_rate: float = 0.5, min_words: int = 10, max_repeat: int = 20) -> DataFrame:
+def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", bad_ratio: float = 1.5, least_rate: float = 0.02, min_words: int = 10, max_repeat: int = 20) -> DataFrame:
     """One row per document: measures, base_failed, host columns and kept.
 
     base_failed: fewer than ``min_words`` words, or more than ``max_repeat`` percent of
     the words in repeated windows. kept is false for base_failed; otherwise it is false
-    only for documents of a bad host (some shrunk rate above ``bad_rate``) that fail a
-    soft rule themselves, so a clean document of a bad host stays. A null host is a host
+    only for documents of a bad host (see ``host_verdicts``) that fail a soft rule
+    themselves, so a clean document of a bad host stays. A null host is a host
     of its own (''). Repeated rows give repeated rows; an empty table gives none. Other
     columns of the input are ignored, so their names cannot clash.
     """
@@ -103,13 +109,13 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: s
     rated = with_measures(base).drop("text")
     rated = rated.withColumn("base_failed", F.expr(f"n_words < {int(min_words)} OR 100 * n_repeat_words > {int(max_repeat)} * n_words"))
     rated = rated.withColumns({f"fails_{k}": F.expr(v) for k, v in RULES.items()})
-    rated = store.table(rated, "op9")  # the texts are measured once; these rows are small
+    rated = store.table(rated, "op9")  # the texts are measured once; these rows are small and stay for the result
     names = [f"fails_{k}" for k in RULES]
-    verdict = host_verdicts(rated, "host", names, bad_rate).select("host", "host_rate", "host_bad")
+    verdict = host_verdicts(rated, "host", names, bad_ratio, least_rate).select("host", "host_rate", "host_ratio", "host_bad")
     out = rated.join(verdict, "host", "left")
     own = F.lit(False)
     for k in names:
         own = own | F.col(k)
     return out.withColumn("kept", ~F.col("base_failed") & ~(F.coalesce("host_bad", F.lit(False)) & own)).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host", "host_rate", "host_bad"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host", "host_rate", "host_ratio", "host_bad"
     )
