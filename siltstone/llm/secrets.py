@@ -52,23 +52,26 @@ def _tagged(col: str, k: int) -> Column:
     return F.transform(F.col(col), lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("k"), x["end"].alias("end")))
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repository: str = "source", owner: str = "source", max_owners: int = 1, max_repositories: int = 3) -> DataFrame:
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repository: str | tuple[str, ...] = ("source", "lang"), owner: str = "source", max_owners: int = 1, max_repositories: int = 3) -> DataFrame:
     """One row per document with its base and added spans.
 
     Candidates are runs of 20 or more of [A-Za-z0-9_-] that hold a digit, a lower-case and
     an upper-case letter and at least ten different characters. One is live when no more
-    than     ``max_owners`` owners and ``max_repositories`` repositories hold it, in whatever place,
+    than ``max_owners`` owners and ``max_repositories`` repositories hold it, in whatever place,
     inside base spans too; it becomes a span of kind "owned" unless a base span overlaps it.
     A base span's secret, or a candidate that no base span overlaps, that more owners or
-    repositories hold is an example (n_example counts its places). Null text: no spans. Null owner or repository: a value of
+    repositories hold is an example (n_example counts its places); n_live counts the places
+    of those that are live. A repository is named by the columns ``repository`` that docs
+    has, together. Null text: no spans. Null owner or repository: a value of
     its own (''). Repeated rows: each gets the same result. Empty table: no rows. Other
     columns are ignored.
     """
+    names = [c for c in ((repository,) if isinstance(repository, str) else repository) if c in docs.columns]
     t = F.translate(F.coalesce(F.col(text), F.lit("")), OPEN + PART, "\x03\x03")
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"),
-        F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"),
+        F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]).alias("repository"),
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__key"),
         t.alias("__t"),
     )
@@ -101,6 +104,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repository
     per = judged.groupBy("doc_id", "__key").agg(
         F.collect_set(F.when(live & (F.col("own") == 1), F.struct("start", F.lit(4).alias("k"), "end"))).alias("owned"),
         F.collect_set(F.when(~live, F.struct("start", "end"))).alias("copied"),
+        F.collect_set(F.when(live, F.struct("start", "end"))).alias("own_places"),
     ).withColumnRenamed("doc_id", "__id").withColumnRenamed("__key", "__k2")
     out = rows.join(per, (F.col("doc_id").eqNullSafe(F.col("__id"))) & (F.col("__key") == F.col("__k2")), "left")
     text_base = _joined(F.col("base"))
@@ -111,4 +115,5 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repository
         _joined(F.concat("base", owned)).alias("spans"),
         F.size(owned).cast("long").alias("n_owned"),
         F.coalesce(F.size("copied"), F.lit(0)).cast("long").alias("n_example"),
+        F.coalesce(F.size("own_places"), F.lit(0)).cast("long").alias("n_live"),
     )
