@@ -11,7 +11,8 @@ Two forward passes share that walk. For a unigram model the state is the best sc
 the prefix (Viterbi). For a merge (BPE) model the state is the last piece of the prefix's
 own encoding: of the pieces that end here, the one that the merges keep apart from the
 last piece of what is before it; back from the end these pieces are the encoding.
-Every distinct word is then held against the sentencepiece library.
+The tests hold both walks against the sentencepiece library (``differing``) and against
+brute force.
 """
 
 from __future__ import annotations
@@ -70,7 +71,6 @@ class Pieces:
         self.apart: dict[tuple[int, int], bool] = {}
         self.split: dict[int, tuple[int, int]] = {}
         self.seen: dict[str, bytes] = {}
-        self.mended = 0
 
     def halves(self, i: int) -> tuple[int, int]:
         """The two pieces whose merge gives piece i (itself twice where none)."""
@@ -176,21 +176,21 @@ class Pieces:
             self.seen = {}
         new = sorted(words.difference(self.seen))
         pack, code = array.array, self.width.char
-        # the library puts one mark before a text: it is asked for the word without its first mark;
-        # words without one are asked for behind a line feed, and its mark and line feed are taken off
-        for lo in range(0, len(new), 4096):
-            some = new[lo : lo + 4096]
-            theirs = self.sp.encode([w[1:] if w[0] == MARK else "\n" + w for w in some], num_threads=1)
-            own = self.vocab.get(MARK)
-            for w, ids, lib in zip(some, self.walk(some), theirs):
-                if w == MARK:
-                    lib = [own]
-                elif w[0] != MARK:
-                    lib = lib[2:]
-                if ids != lib:
-                    self.mended += 1
-                    ids = lib
-                self.seen[w] = pack(code, ids).tobytes()
+        for w, ids in zip(new, self.walk(new)):
+            self.seen[w] = pack(code, ids).tobytes()
+
+    def differing(self, words: set[str]) -> list[str]:
+        """Words whose ids are not the library's: what the tests hold the walk against. The
+        library puts one mark before a text, so it is asked for the word without its first
+        mark; words without one stand behind a line feed, whose pieces are taken off."""
+        own = sorted(words)
+        theirs = self.sp.encode([w[1:] if w[0] == MARK else "\n" + w for w in own], num_threads=1)
+        out = []
+        for w, ids, lib in zip(own, self.walk(own), theirs):
+            want = [self.vocab.get(MARK)] if w == MARK else lib if w[0] == MARK else lib[2:]
+            if ids != want:
+                out.append(w)
+        return out
 
     def cut(self, text: str) -> list[str]:
         """Marked words; joined they are the text with marks for spaces and one before it."""
@@ -219,9 +219,8 @@ def model(path: str, kind: str = "bpe") -> Pieces:
 
 def encode(docs: DataFrame, path: str, kind: str = "bpe", doc_id: str = "doc_id", text: str = "text", ids: bool = True) -> DataFrame:
     """One row per document: doc_id, n_pieces, ids_crc32 (ids as little-endian 32-bit),
-    round_trip (decoding gives the text back; space marks in the text count as spaces),
-    n_mended (words whose ids the library's replaced, of those new in the batch, on the
-    batch's first row) and, with ``ids``, the ids.
+    round_trip (decoding gives the text back; space marks in the text count as spaces)
+    and, with ``ids``, the ids.
 
     A null text counts as empty: no ids, round_trip true. Whole texts are encoded.
     Repeated rows and empty tables need no care; other columns are ignored.
@@ -234,11 +233,10 @@ def encode(docs: DataFrame, path: str, kind: str = "bpe", doc_id: str = "doc_id"
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
                 texts = [x or "" for x in part.column(1).to_pylist()]
-                before = m.mended
                 got = m.encode(texts)
                 n = [len(x) for x in got]
-                cols = [part.column(0), pa.array(n, pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in got], pa.int64()), pa.array([m.decode(x) == t.replace(MARK, " ") for x, t in zip(got, texts)]), pa.array([m.mended - before] + [0] * (len(n) - 1), pa.int64())]
-                names = ["doc_id", "n_pieces", "ids_crc32", "round_trip", "n_mended"]
+                cols = [part.column(0), pa.array(n, pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in got], pa.int64()), pa.array([m.decode(x) == t.replace(MARK, " ") for x, t in zip(got, texts)])]
+                names = ["doc_id", "n_pieces", "ids_crc32", "round_trip"]
                 if ids:
                     flat = np.concatenate(got).astype(np.int32) if got else np.zeros(0, np.int32)
                     cols.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(flat)))
@@ -247,7 +245,7 @@ def encode(docs: DataFrame, path: str, kind: str = "bpe", doc_id: str = "doc_id"
 
     kind_of = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind_of}, n_pieces bigint, ids_crc32 bigint, round_trip boolean, n_mended bigint" + ", ids array<int>" * ids)
+    return rows.mapInArrow(run, f"doc_id {kind_of}, n_pieces bigint, ids_crc32 bigint, round_trip boolean" + ", ids array<int>" * ids)
 
 
 def op10_sentencepiece(spark, sf_dir):
