@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from siltstone.llm import decontam, hosts, jaccard, langid, lines, pieces, records, secrets, shards, suffix
+from siltstone.llm.oracles import ORACLES  # noqa: F401
 
 
 def _docs(spark, sf_dir):
@@ -18,7 +21,8 @@ def op6_secret_scans(spark, sf_dir):
 
 
 def op9_quality_rules(spark, sf_dir):
-    return hosts.quality(_docs(spark, sf_dir))
+    q = hosts.quality(_docs(spark, sf_dir))
+    return q.withColumns({c: F.round(c, 9) for c in ("host_rate", "host_ratio")})
 
 
 QUERIES = {
@@ -33,4 +37,3 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
-ORACLES: dict[str, str] = {}

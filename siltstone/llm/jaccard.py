@@ -520,4 +520,4 @@ def _with_set(docs: DataFrame, text: str) -> DataFrame:
 
 
 def op8_ngram_jaccard_join(spark, sf_dir):
-    return link(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return link(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("sig")
