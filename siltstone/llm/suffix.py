@@ -1,10 +1,11 @@
 """Removal of repeated byte strings by external induced suffix sorting.
 
-Every string of LENGTH bytes has one anchor: of the GRAM-byte strings in it the one with
+Every string of PASSAGE_BYTES bytes has one anchor: of the GRAM-byte strings in it the one with
 the least hash, the leftmost of equal ones. Equal strings have equal anchors, so
 
 1. the strings of a document fall into segments (runs of starts with one anchor); segments
-   meet by anchor. A segment that occurs twice as it stands repeats throughout.
+   meet by anchor. Anchors are those of shorter strings of PASSAGE_BYTES, so that repeated
+   passages below LENGTH are found too; a segment holds LENGTH bytes from each start. A segment that occurs twice as it stands repeats throughout.
 2. Where different segments share an anchor, their bytes go to a shard by anchor and all
    suffixes of the shard are sorted there with their common-prefix lengths; a string
    repeats if its suffix has a neighbour with LENGTH bytes in common.
@@ -31,11 +32,12 @@ from pyspark.sql import DataFrame, functions as F
 from siltstone.llm import kernel as K, store
 
 U = np.uint64
-LENGTH, GRAM = 400, 32
-BITS = 1 << 26
-CHUNK = 4 << 20
+LENGTH, GRAM = 400, 48
+PASSAGE_BYTES, PASSAGE_WORDS = 280, 50  # what repeats at this size is reported, not removed
+CHUNK = 1 << 20
+BATCH = 1 << 20
 SEPARATOR = 0xFE  # no byte of UTF-8
-SEGMENT = np.dtype([("gram", "<u8"), ("seg", "<u8"), ("doc", "<u8"), ("start", "<u4"), ("size", "<u4")])
+SEGMENT = np.dtype([("gram", "<u8"), ("seg", "<u8"), ("doc", "<u8"), ("start", "<u4"), ("size", "<u4"), ("starts", "<u4")])
 SPAN = np.dtype([("doc", "<u8"), ("start", "<u4"), ("end", "<u4")])
 
 
@@ -93,7 +95,7 @@ class Minima:
         size = b - a + 1
         k = np.frexp(size.astype(np.float64))[1] - 1
         out = np.empty(len(a), np.uint16)
-        for level in np.unique(k):
+        for level in np.flatnonzero(np.bincount(k)).tolist():
             m = k == level
             row = self.rows[level]
             out[m] = np.minimum(row[a[m]], row[b[m] - (1 << int(level)) + 1])
@@ -103,14 +105,17 @@ class Minima:
 class Sorter:
     """Sorts the suffixes of one text; see the module's head."""
 
-    def __init__(self, text: np.ndarray, length: int = LENGTH, most: int = 32 << 20):
+    def __init__(self, text: np.ndarray, length: int = LENGTH, most: int = 32 << 20, counts: np.ndarray | None = None):
         self.t, self.length, self.most = text, length, most
+        self.counts = counts  # which suffixes count; none: all
+        self.last, self.gap, self.sums = None, 0, None
         n = len(text)
         wide = np.r_[text, np.zeros(8, np.uint8)].astype(np.uint64)
         self.w = np.zeros(n, np.uint64)  # eight bytes from each place
         for k in range(8):
             self.w |= wide[k : n + k] << U(56 - 8 * k)
         self.cap = length + 8
+        self.best = np.zeros(n, np.uint16)  # longest common prefix with a neighbour, up to the cap
         less = np.zeros(n, bool)  # smaller-type: the suffix is below the next one
         if n > 1:
             differ = np.flatnonzero(text[:-1] != text[1:])
@@ -125,29 +130,31 @@ class Sorter:
         self.star = np.flatnonzero(star)
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Common prefixes of pairs of suffixes, up to the cap."""
+        """Common prefixes of pairs of suffixes, up to the cap: by hashes of halving lengths
+        down to 8 bytes, then by the bytes."""
+        if len(a) > 1 << 15:
+            return np.concatenate([self.common(a[x : x + (1 << 15)], b[x : x + (1 << 15)]) for x in range(0, len(a), 1 << 15)])
         n = len(self.t)
-        out = np.zeros(len(a), np.int64)
-        live = np.arange(len(a))
-        d = 0
-        while len(live) and d < self.cap:
-            x, y = a[live] + d, b[live] + d
-            ok = (x < n) & (y < n)
-            live, x, y = live[ok], x[ok], y[ok]
-            diff = self.w[x] ^ self.w[y]
-            same = diff == 0
-            rest = diff[~same]
-            # bytes before the first different one; never past the end of the text
-            lead = (63 - np.floor(np.log2(np.maximum(rest, U(1)).astype(np.float64))).astype(np.int64)) // 8
-            exact = np.array([(64 - int(v).bit_length()) // 8 for v in rest]) if len(rest) < 64 else self._lead(rest, lead)
-            out[live[~same]] = d + exact
-            live = live[same]
-            out[live] = d + 8
-            d += 8
-        return np.minimum(out, np.minimum(n - a, n - b))
+        if self.sums is None:
+            self.sums = K.running(self.t)
+        pw, _ = K.powers(n + 1)
+        c, most = self.sums, np.minimum(n - a, n - b)
+        d = np.zeros(len(a), np.int64)
+        step = 1 << (max(8, self.cap).bit_length() - 1)
+        while step >= 8:
+            k = np.flatnonzero(d + step <= most)
+            x, y = a[k] + d[k], b[k] + d[k]
+            same = (c[x + step] - c[x]) * pw[y] == (c[y + step] - c[y]) * pw[x]
+            d[k[same]] += step
+            step >>= 1
+        k = np.flatnonzero(d < most)
+        diff = self.w[a[k] + d[k]] ^ self.w[b[k] + d[k]]
+        d[k] += np.where(diff == 0, 8, self._lead(diff))
+        return np.minimum(np.minimum(d, most), self.cap)
 
     @staticmethod
-    def _lead(v: np.ndarray, guess: np.ndarray) -> np.ndarray:
+    def _lead(v: np.ndarray) -> np.ndarray:
+        """Zero bytes before the first other one."""
         g = np.zeros(len(v), np.int64)
         for k in range(1, 8):
             g += (v >> U(64 - 8 * k)) == 0
@@ -173,28 +180,18 @@ class Sorter:
             cutoff = left < 8
             fill = np.where(left > 0, (U(1) << (U(8) * (U(8) - np.maximum(left, 1).astype(np.uint64)))) - U(1), U(0xFFFFFFFFFFFFFFFF))
             w = np.where(cutoff, w | fill, w)
-            rank[live] = self._refine(rank[live], w)
+            rank[live] = self._refine(rank[live], w, False)
             k += 1
             # on with groups that are not single and go on
             r = rank[live]
-            o = np.argsort(r, kind="stable")
-            rs = r[o]
-            tied = np.zeros(len(r), bool)
-            same = rs[1:] == rs[:-1]
-            tied[o[1:]] |= same
-            tied[o[:-1]] |= same
+            tied = np.bincount(r, minlength=m)[r] > 1
             more = np.zeros(m + 1, bool)
             more[r[size[live] > 8 * k]] = True
             live = live[tied & more[r]]
         # pairs of names until told apart or far enough
         step = 1
         while True:
-            o = np.argsort(rank, kind="stable")
-            rs = rank[o]
-            tied = np.zeros(m, bool)
-            same = rs[1:] == rs[:-1]
-            tied[o[1:]] |= same
-            tied[o[:-1]] |= same
+            tied = np.bincount(rank, minlength=m)[rank] > 1
             reach = np.r_[p, np.full(step, n + self.cap)][step : step + m] - p
             # a group goes on while one of it has not been read far enough
             short = np.zeros(m + 1, bool)
@@ -203,26 +200,35 @@ class Sorter:
             if not len(live):
                 break
             nxt = np.r_[rank, np.full(step, -1)][live + step] + 1
-            rank[live] = self._refine(rank[live], nxt.astype(np.uint64))
+            rank[live] = self._refine(rank[live], nxt.astype(np.uint64), True)
             step *= 2
-        o = np.argsort(rank, kind="stable")
+        o = np.argsort(rank)
         q = p[o]
         lcp = np.zeros(m, np.uint16)
         lcp[1:] = self.common(q[:-1], q[1:])
         return q, lcp
 
     @staticmethod
-    def _refine(rank: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """New names: within each old name by ``word``; a name is its group's first place
-        among all, so other groups keep theirs."""
-        o = np.lexsort((word, rank))
-        r, w = rank[o], word[o]
+    def _refine(rank: np.ndarray, word: np.ndarray, short: bool) -> np.ndarray:
+        """New names: within each old name by ``word`` (``short``: below 2**32); a name is
+        its group's first place among all, so other groups keep theirs."""
+        if not short:
+            o = np.argsort(word)
+            w = word[o]
+            place = np.empty(len(o), np.uint64)
+            place[o] = np.cumsum(np.r_[False, w[1:] != w[:-1]]) if len(o) else 0
+            word = place
+        key = (rank.astype(np.uint64) << U(32)) | word
+        o = np.argsort(key)
+        key = key[o]
+        at = np.arange(len(key))
+        new_word = np.r_[True, key[1:] != key[:-1]]
+        r = key >> U(32)
         new_rank = np.r_[True, r[1:] != r[:-1]]
-        new_word = new_rank | np.r_[True, w[1:] != w[:-1]]
-        group = np.maximum.accumulate(np.where(new_rank, np.arange(len(r)), 0))
-        first = np.maximum.accumulate(np.where(new_word, np.arange(len(r)), 0))
-        out = np.empty(len(r), np.int64)
-        out[o] = r + first - group
+        group = np.maximum.accumulate(np.where(new_rank, at, 0))
+        first = np.maximum.accumulate(np.where(new_word, at, 0))
+        out = np.empty(len(key), np.int64)
+        out[o] = r.astype(np.int64) + first - group
         return out
 
     def induce(self, pos, lcp, queues, used, carry, c, up: bool) -> None:
@@ -258,12 +264,29 @@ class Sorter:
             last = int(sel[y - 1])
             carry[b] = lcp[last + 1 :].min() if last + 1 < len(lcp) else self.cap
 
+    def note(self, pos: np.ndarray, lcp: np.ndarray) -> None:
+        """The next suffixes in order, with the bytes each has in common with the one before.
+        Of suffixes that count the longest common prefix is kept."""
+        if not len(pos):
+            return
+        k = np.arange(len(pos)) if self.counts is None else np.flatnonzero(self.counts[pos])
+        if not len(k):
+            self.gap = min(self.gap, int(lcp.min()))
+            return
+        low = np.minimum.reduceat(lcp[: k[-1] + 1], np.r_[0, k[:-1] + 1])
+        low[0] = min(low[0], self.gap)
+        at = pos[k]
+        before = at[:-1] if self.last is None else np.r_[self.last, at[:-1]]
+        low = low[1:] if self.last is None else low
+        for x in (at[len(at) - len(low) :], before):  # in each of the two a suffix stands once
+            self.best[x] = np.maximum(self.best[x], low)
+        self.last, self.gap = at[-1:], int(lcp[k[-1] + 1 :].min(initial=self.cap))
+
     def scan(self) -> np.ndarray:
-        """Which suffixes share ``length`` bytes with a neighbour."""
+        """For each suffix the longest common prefix with any other, up to the cap."""
         n = len(self.t)
-        twice = np.zeros(n, bool)
         if not n:
-            return twice
+            return self.best
         stars, star_lcp = self.order_stars()
         cuts = np.searchsorted(self.t[stars], np.arange(257))
         queues, used = [Queue(self.most // 64) for _ in range(256)], np.zeros(256, bool)
@@ -288,12 +311,12 @@ class Sorter:
         queues, used = [Queue(self.most // 64) for _ in range(256)], np.zeros(256, bool)
         carry[:] = 0
         for c in range(255, -1, -1):
-            last = None
+            last, self.gap = None, 0
             while queues[c]:
                 pos, lcp = queues[c].take()
-                far = lcp >= self.length
-                twice[pos[far]] = True
-                twice[np.r_[pos[:1] if last is None else last, pos[:-1]][far]] = True
+                if last is None:
+                    lcp[:1] = 0
+                self.note(pos, lcp)
                 self.induce(pos, lcp, queues, used, carry, c, False)
                 last = pos[-1:]
             pos, lcp = larger[c]
@@ -303,28 +326,62 @@ class Sorter:
                 lcp = np.r_[np.zeros(1, np.uint16), lcp[::-1][:-1]]
                 if last is not None:
                     lcp[0] = self.common(last.astype(np.int64), pos[:1].astype(np.int64))[0]
-                    if lcp[0] >= self.length:
-                        twice[last], twice[pos[0]] = True, True
-                far = np.flatnonzero(lcp >= self.length)
-                far = far[far > 0]
-                twice[pos[far]] = True
-                twice[pos[far - 1]] = True
+                self.note(pos, lcp)
                 self.induce(pos, lcp, queues, used, carry, c, False)
-        return twice
+        return self.best
+
+
+def _prefixes(parts: list[np.ndarray], length: int, starts: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes that each place has in common with another, first place of each text), over
+    the texts with a byte between them."""
+    gap = np.array([SEPARATOR], np.uint8)
+    whole = np.concatenate([x for p in parts for x in (p, gap)]) if parts else np.zeros(0, np.uint8)
+    size = np.array([len(p) for p in parts], np.int64)
+    first = np.cumsum(size + 1) - size - 1
+    counts = None
+    if starts is not None:
+        counts = np.zeros(len(whole) + 1, np.int64)
+        np.add.at(counts, first, 1)
+        np.add.at(counts, first + np.array(starts, np.int64), -1)
+        counts = np.cumsum(counts)[:-1] > 0
+    best = Sorter(whole, length, counts=counts).scan().astype(np.int64)
+    rest = np.repeat(first + size, size + 1) - np.arange(len(whole))
+    common = np.minimum(np.minimum(best, length), rest)
+    if counts is not None:
+        common[~counts] = 0
+    return common, first
+
+
+def common_prefixes(parts: list[np.ndarray], length: int = LENGTH, starts: list[int] | None = None) -> list[np.ndarray]:
+    """For each place of each text, how many bytes from there on, up to ``length`` and
+    within the text, start anywhere else too. ``starts``: so many first places of each text
+    count, the others are only read on to."""
+    common, first = _prefixes(parts, length, starts)
+    return [common[a : a + len(p)] for a, p in zip(first.tolist(), parts)]
 
 
 def repeats(parts: list[np.ndarray], length: int = LENGTH) -> list[np.ndarray]:
     """For each text, which of its places start a string of ``length`` bytes that starts
     anywhere else too; strings never cross texts."""
-    gap = np.array([SEPARATOR], np.uint8)
-    whole = np.concatenate([x for p in parts for x in (p, gap)]) if parts else np.zeros(0, np.uint8)
-    twice = Sorter(whole, length).scan()
-    out, at = [], 0
-    for p in parts:
-        k = max(0, len(p) - length + 1)
-        out.append(twice[at : at + k])
-        at += len(p) + 1
-    return out
+    return [x[: max(0, len(x) - length + 1)] >= length for x in common_prefixes(parts, length)]
+
+
+def ranges(parts: list[np.ndarray], starts: list[int], least: int = PASSAGE_BYTES, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of the strings of ``least`` bytes or more that start anywhere else
+    too, none within another; those of ``length`` bytes that overlap are one."""
+    common, at = _prefixes(parts, length, starts)
+    k = np.flatnonzero(common >= least)
+    end = k + common[k]
+    long = common[k] >= length
+    reach = np.r_[-1, np.maximum.accumulate(end)[:-1]] if len(k) else end
+    k, end, long = (x[end > reach] for x in (k, end, long))
+    if not len(k):
+        return k, k, end
+    new = np.r_[True, ~(long[1:] & long[:-1] & (k[1:] <= end[:-1]))]
+    first = np.flatnonzero(new)
+    k, end = k[first], end[np.r_[first[1:] - 1, len(k) - 1]]
+    text = np.searchsorted(at, k, side="right") - 1
+    return text, k - at[text], end - at[text]
 
 
 # the corpus ----------------------------------------------------------------------------
@@ -334,8 +391,10 @@ def doc_key(ids: np.ndarray, nulls: np.ndarray, texts: np.ndarray) -> np.ndarray
     return K.mix(K.mix(ids.view(np.uint64) + nulls.astype(np.uint64) * U(0x9E3779B97F4A7C15)) ^ texts)
 
 
-def segments(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """(row, first start, size in bytes, anchor's hash, segment's hash) of a block."""
+def segments(buf: np.ndarray, offs: np.ndarray, length: int = PASSAGE_BYTES, gram: int = GRAM, reach: int = LENGTH):
+    """(row, first start, size in bytes, starts, anchor's hash, segment's hash) of a block. Anchors
+    are those of the strings of ``length`` bytes; a segment goes on for ``reach`` bytes from
+    its last start, or to the end of the text."""
     out = []
     rows = np.flatnonzero(np.diff(offs) >= length)
     if not len(rows):
@@ -343,7 +402,7 @@ def segments(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int
     span = length - gram + 1
     # blocks are cut into pieces that overlap by what one string needs
     for lo in range(0, max(1, len(buf) - length + 1), CHUNK):
-        piece = buf[lo : lo + CHUNK + length - 1]
+        piece = buf[lo : lo + CHUNK + reach - 1]
         if len(piece) < length:
             continue
         c = K.running(piece)
@@ -367,8 +426,9 @@ def segments(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int
         new = np.r_[True, (anchor[k][1:] != anchor[k][:-1]) | (k[1:] != k[:-1] + 1) | (row[k][1:] != row[k][:-1])]
         first = k[new]
         last = np.r_[k[np.flatnonzero(new)[1:] - 1], k[-1]]
-        seg = K.spans_hash(c, first, last + length)
-        out.append((row[first], first + lo - offs[row[first]], last - first + length, h[anchor[first]], seg))
+        end = np.minimum(last + reach, offs[row[first] + 1] - lo)
+        seg = K.spans_hash(c, first, end) + (end - first).astype(np.uint64)
+        out.append((row[first], first + lo - offs[row[first]], end - first, last - first + 1, h[anchor[first]], seg))
     return [np.concatenate(x) for x in zip(*out)] if out else None
 
 
@@ -382,39 +442,56 @@ def _blocks(batches):
 
 
 def _met(rows: DataFrame, nb: int) -> DataFrame:
-    """Rows (bucket null, payload: spans that repeat) and (bucket 0.., payload: places of
-    anchors under which different segments meet)."""
+    """Rows (-1, spans that repeat) and (-2, anchors under which different segments meet)."""
 
     def run(batches):
         pack = K.Packer(nb)
         for keys, buf, offs in _blocks(batches):
             got = segments(buf, offs)
             if got:
-                row, start, size, gram, seg = got
+                row, start, size, starts, gram, seg = got
                 r = np.zeros(len(row), SEGMENT)
-                r["gram"], r["seg"], r["doc"], r["start"], r["size"] = gram, seg ^ K.mix(gram), keys[row], start, size
+                r["gram"], r["seg"], r["doc"], r["start"], r["size"], r["starts"] = gram, seg ^ K.mix(gram + starts.astype(np.uint64)), keys[row], start, size, starts
                 yield from pack.add(K.bucket_of(gram, nb), r)
         yield from pack.close()
 
     def meet(bucket, table):
-        r = np.sort(K.unpack(table, SEGMENT), order=["gram", "seg"])
+        r = K.unpack(table, SEGMENT)
         if not len(r):
             return
-        g = np.flatnonzero(np.r_[True, r["gram"][1:] != r["gram"][:-1]])
-        s_new = np.r_[True, (r["gram"][1:] != r["gram"][:-1]) | (r["seg"][1:] != r["seg"][:-1])]
+        o = np.argsort(r["seg"])  # its name has its anchor in it
+        r = r[o]
+        s_new = np.r_[True, r["seg"][1:] != r["seg"][:-1]]
         s = np.flatnonzero(s_new)
         copies = np.diff(np.r_[s, len(r)])
         twice = r[np.repeat(copies > 1, copies)]
         spans = np.zeros(len(twice), SPAN)
         spans["doc"], spans["start"], spans["end"] = twice["doc"], twice["start"], twice["start"] + twice["size"]
-        kinds = np.add.reduceat(s_new.astype(np.int64), g)
-        mixed = r["gram"][g][kinds > 1]
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([spans.tobytes()], pa.binary())], ["bucket", "payload"])
-        yield from K.bit_rows(mixed, BITS)
+        gram, kinds = K.counted(r["gram"][s])
+        mixed = gram[kinds > 1]
+        yield pa.RecordBatch.from_arrays([pa.array([-1, -2], pa.int32()), pa.array([spans.tobytes(), mixed.tobytes()], pa.binary())], ["bucket", "payload"])
 
     return K.exchange(rows.mapInArrow(run, K.PACKED), meet, K.PACKED)
 
 
+def _batches(head: np.ndarray):
+    """Segments of a bucket in batches of whole anchors, of about BATCH bytes: only segments
+    of one anchor must be sorted together, so only a larger anchor takes more memory."""
+    if not len(head):
+        return
+    o = np.argsort(head["gram"], kind="stable")
+    gram = head["gram"][o]
+    cut = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+    size = np.add.reduceat(head["size"][o].astype(np.int64), cut)
+    ends = np.r_[cut[1:], len(o)]
+    lo, held = 0, 0
+    for end, n in zip(ends.tolist(), size.tolist()):
+        held += n
+        if held >= BATCH or end == len(o):
+            yield o[lo:end]
+            lo, held = end, 0
+
+
 def _shards(rows: DataFrame, mixed_b, nb: int) -> DataFrame:
     """Spans that the sorter finds, packed."""
 
@@ -431,11 +508,11 @@ def _shards(rows: DataFrame, mixed_b, nb: int) -> DataFrame:
             got = segments(buf, offs)
             if not got:
                 continue
-            row, start, length, gram, seg = got
+            row, start, length, starts, gram, seg = got
             k = np.flatnonzero(mixed_b.value.has(gram))
             bucket = K.bucket_of(gram, nb)
             rec = np.zeros(len(k), SEGMENT)
-            rec["gram"], rec["seg"], rec["doc"], rec["start"], rec["size"] = gram[k], seg[k] ^ K.mix(gram[k]), keys[row[k]], start[k], length[k]
+            rec["gram"], rec["seg"], rec["doc"], rec["start"], rec["size"], rec["starts"] = gram[k], seg[k] ^ K.mix(gram[k] + starts[k].astype(np.uint64)), keys[row[k]], start[k], length[k], starts[k]
             for i, r in zip(k.tolist(), rec):
                 name = int(r["seg"])
                 if name in seen:
@@ -463,17 +540,15 @@ def _shards(rows: DataFrame, mixed_b, nb: int) -> DataFrame:
                     heads.append(h)
                     parts.append(np.frombuffer(view[at : at + int(h["size"])], np.uint8))
                 at += int(h["size"])
-        found = []
-        for h, hit in zip(heads, repeats(parts)):
-            k = np.flatnonzero(hit)
-            if len(k):
-                cut = np.r_[True, k[1:] > k[:-1] + 1]
-                a = k[cut]
-                b = np.r_[k[np.flatnonzero(cut)[1:] - 1], k[-1]] + LENGTH
-                s = np.zeros(len(a), SPAN)
-                s["doc"], s["start"], s["end"] = h["doc"], h["start"] + a, h["start"] + b
-                found.append(s)
-        spans = np.concatenate(found) if found else np.zeros(0, SPAN)
+        head = np.array(heads, SEGMENT)
+        found = [np.zeros(0, SPAN)]
+        for some in _batches(head):
+            text, a, b = ranges([parts[i] for i in some], head["starts"][some].tolist())
+            h = head[some][text]
+            spans = np.zeros(len(text), SPAN)
+            spans["doc"], spans["start"], spans["end"] = h["doc"], h["start"] + a, h["start"] + b
+            found.append(spans)
+        spans = np.concatenate(found)
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([spans.tobytes()], pa.binary())], ["bucket", "payload"])
 
     return K.exchange(rows.mapInArrow(run, K.PACKED), sort, K.PACKED)
@@ -483,7 +558,7 @@ def repeated_spans(rows: DataFrame, nb: int) -> DataFrame:
     """(doc, spans): of each document with repeats (by its key) all spans, unmerged."""
     spark = rows.sparkSession
     met = store.table(_met(rows, nb), "op1-met")
-    mixed_b = spark.sparkContext.broadcast(K.bits_total(met.where("bucket >= 0"), BITS))
+    mixed_b = spark.sparkContext.broadcast(K.packed_bits(met.where("bucket = -2")))
     spans = met.where("bucket = -1").unionByName(_shards(rows, mixed_b, nb))
 
     def deal(batches):
@@ -506,9 +581,8 @@ def repeated_spans(rows: DataFrame, nb: int) -> DataFrame:
     return K.exchange(spans.mapInArrow(deal, K.PACKED), gather, "doc bigint, spans binary")
 
 
-def merged(raw: bytes | None) -> np.ndarray:
+def merged(s: np.ndarray) -> np.ndarray:
     """Maximal runs of covered bytes: overlapping and touching spans are one."""
-    s = np.frombuffer(raw or b"", "<u4").reshape(-1, 2).astype(np.int64)
     if not len(s):
         return s
     s = s[np.argsort(s[:, 0], kind="stable")]
@@ -518,11 +592,21 @@ def merged(raw: bytes | None) -> np.ndarray:
     return np.stack([s[first, 0], reach[np.r_[first[1:], len(s)] - 1]], 1)
 
 
+def whole_words(data: memoryview, start: int, end: int) -> int:
+    """Words of a text that lie in [start, end) whole."""
+    part = bytes(data[start:end])
+    inside = len(part.split())
+    cut = lambda at: 0 < at < len(data) and not bytes(data[at - 1 : at]).isspace() and not bytes(data[at : at + 1]).isspace()
+    return inside - cut(start) - cut(end)
+
+
 def dedup_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (the
-    removed runs as [start, end) bytes) and kept (the remaining bytes).
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated,
+    spans (the removed runs as [start, end) bytes) and kept (the remaining bytes).
 
-    A byte goes if a string of LENGTH bytes that covers it starts anywhere else too. Null
+    A byte goes if a string of LENGTH bytes that covers it starts anywhere else too.
+    n_repeated counts the bytes, kept or not, of strings that start anywhere else too and
+    have LENGTH bytes, or PASSAGE_WORDS whole words and PASSAGE_BYTES bytes. Null
     is empty. Repeated rows repeat each other. Documents shorter than LENGTH stay whole.
     An empty table gives no rows. Other columns are ignored.
     """
@@ -549,23 +633,27 @@ def dedup_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             out = []
             for t, raw in zip(b.column(1), b.column(2)):
                 data = memoryview(t.as_buffer())
-                runs = merged(raw.as_py())
+                found = np.frombuffer(raw.as_py() or b"", "<u4").reshape(-1, 2).astype(np.int64)
+                long = found[:, 1] - found[:, 0] >= LENGTH
+                runs = merged(found[long])
+                passages = [x for x, ok in zip(found.tolist(), long) if ok or whole_words(data, *x) >= PASSAGE_WORDS]
+                passages = merged(np.array(passages, np.int64).reshape(-1, 2))
                 keep, at = [], 0
                 for s, e in runs.tolist():
                     keep.append(data[at:s])
                     at = e
                 keep.append(data[at:])
                 kept = b"".join(keep)
-                out.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), runs.tolist(), kept))
-            n, r, k, sha, runs, kept = zip(*out) if out else ((),) * 6
+                out.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), int((passages[:, 1] - passages[:, 0]).sum()), runs.tolist(), kept))
+            n, r, k, sha, again, runs, kept = zip(*out) if out else ((),) * 7
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(k, pa.int64()), pa.array(sha, pa.string()), pa.array(runs, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"],
+                [b.column(0), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(k, pa.int64()), pa.array(sha, pa.string()), pa.array(again, pa.int64()), pa.array(runs, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "spans", "kept"],
             )
 
-    return joined.mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<array<bigint>>, kept binary")
+    return joined.mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_repeated bigint, spans array<array<bigint>>, kept binary")
 
 
 def op1_suffix_dedup(spark, sf_dir):
     out = dedup_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "spans")
