@@ -32,7 +32,6 @@ from pyspark.sql.types import LongType, StructField, StructType
 from siltstone.llm import graph, kernel as K, store
 
 GROUPS = 64
-BITS = 1 << 26
 FINE = 512
 TREE = 512
 ROUNDS = (4, None)
@@ -272,14 +271,15 @@ def _pair_batch(ab: np.ndarray, bucket: int, payload: bytes | None) -> pa.Record
 
 
 def _named(sigs: DataFrame) -> K.Bits:
-    """Bit table of set names: a fixed size; what it lets through besides is only fetched
-    in vain."""
+    """Bit table of set names, sized by their number; what it lets through besides is only
+    fetched in vain."""
+    bits = K.bits_for(sigs.count())
 
     def run(batches):
         for b in batches:
-            yield from K.bit_rows(K.distinct(b.column(0).to_numpy().view(np.uint64) ^ U(1 << 63)), BITS)
+            yield from K.bit_rows(K.distinct(b.column(0).to_numpy().view(np.uint64) ^ U(1 << 63)), bits)
 
-    return K.bits_total(sigs.mapInArrow(run, K.PACKED), BITS)
+    return K.bits_total(sigs.mapInArrow(run, K.PACKED), bits)
 
 
 def _fetch(rows: DataFrame, heads: DataFrame, sigs: DataFrame, whole: bool) -> DataFrame:
@@ -289,9 +289,10 @@ def _fetch(rows: DataFrame, heads: DataFrame, sigs: DataFrame, whole: bool) -> D
     Only documents whose id is the least of a wanted name's are read word by word (by a
     fixed-size bit table; what it lets through besides is computed in vain)."""
     spark = rows.sparkSession
-    sigs = sigs.select("sig").distinct()
+    sigs = store.table(sigs.select("sig").distinct(), "op8-named")
     named_b = spark.sparkContext.broadcast(_named(sigs))
     ids_b = spark.sparkContext.broadcast(_named(heads.join(sigs, "sig", "left_semi").where("d IS NOT NULL").select(F.col("d").alias("sig"))))
+    store.drop(sigs)
 
     def run(batches):
         seen = set()
@@ -413,8 +414,8 @@ def _linked(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
 
         return _sets(rows, K.PACKED, emit)
 
-    sunk_b = spark.sparkContext.broadcast(K.repeated(keys_only(None), BITS, SMALL + 1, (1 << 63) - 1))
-    live_b = spark.sparkContext.broadcast(K.repeated(keys_only(sunk_b), BITS, 2))
+    sunk_b = spark.sparkContext.broadcast(K.repeated(keys_only(None), SMALL + 1, (1 << 63) - 1))
+    live_b = spark.sparkContext.broadcast(K.repeated(keys_only(sunk_b), 2))
     met = store.table(K.exchange(_postings(rows, sunk_b, live_b, nb, prefix), lambda b, t: _met_or_docs(b, t, nb, num, den), "a bigint, b bigint, bucket int, payload binary, doc_id bigint, n_shingles bigint, sig bigint"), "op8-met")
     met_all = met
     named = met.where("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "sig")

@@ -308,12 +308,31 @@ def bits_total(rows: DataFrame, bits: int) -> Bits:
     return Bits(data)
 
 
-def repeated(keys: DataFrame, bits: int, least: int, mask: int = (1 << 64) - 1) -> Bits:
-    """Bit table of the keys (packed 8-byte, by bucket) that occur ``least`` times or more."""
+def repeated(keys: DataFrame, least: int, mask: int = (1 << 64) - 1) -> Bits:
+    """Bit table of the keys (packed 8-byte, by bucket) that occur ``least`` times or more;
+    its size follows their number (see ``bits_for``)."""
+    from siltstone.llm import store
 
     def dup(bucket, table):
         k = np.sort(unpack(table, np.uint64) & U(mask))
         d = least - 1
-        yield from bit_rows(distinct(k[d:][k[d:] == k[:-d]]), bits)
+        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([distinct(k[d:][k[d:] == k[:-d]]).tobytes()], pa.binary())], ["bucket", "payload"])
 
-    return bits_total(exchange(keys, dup, PACKED), bits)
+    found = store.table(exchange(keys, dup, PACKED), "repeated")
+    out = packed_bits(found)
+    store.drop(found)
+    return out
+
+
+def packed_bits(found: DataFrame) -> Bits:
+    """Bit table of packed 8-byte keys, sized by their number."""
+    from pyspark.sql import functions as F
+
+    bits = bits_for((found.agg(F.sum(F.octet_length("payload"))).first()[0] or 0) >> 3)
+
+    def place(batches):
+        for b in batches:
+            for x in b.column("payload"):
+                yield from bit_rows(np.frombuffer(x.as_buffer(), np.uint64), bits)
+
+    return bits_total(found.mapInArrow(place, PACKED), bits)
