@@ -23,9 +23,14 @@ class Leaf:
     weight: float = 1.0
 
 
-def topology(n: int, per_rack: int = 4, racks: int = 2) -> tuple[Leaf, ...]:
-    """n shards, ``per_rack`` to a rack and ``racks`` racks to a region."""
-    return tuple(Leaf(s // (per_rack * racks), s // per_rack, s) for s in range(n))
+def topology(n: int, per_rack: int = 4, racks: int = 2, first: int = 40) -> tuple[Leaf, ...]:
+    """n shards. The first ``first`` are laid out at once, ``per_rack`` to a rack and
+    ``racks`` racks to a region; each later one is ``grown``, so that from there on a tree of
+    one more shard only moves keys into it."""
+    tree = tuple(Leaf(s // (per_rack * racks), s // per_rack, s) for s in range(min(n, first)))
+    for _ in range(n - first):
+        tree = grown(tree)
+    return tree
 
 
 def grown(tree: tuple[Leaf, ...], weight: float = 1.0) -> tuple[Leaf, ...]:
