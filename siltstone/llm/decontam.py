@@ -257,13 +257,15 @@ class Search:
             whose = np.repeat([j for j, _ in own], [len(x) - n + 1 for _, x in own])
             o = np.argsort(name, kind="stable")
             self.runs[n] = name[o], whose[o]
-        # answer words: those given, else the quarter of the item's words with most weight
+        # answer words: those given, else the quarter of the item's words that fewest items hold
+        # (not the rarest of the corpus: those that a paraphrase left out are rare for that)
+        shared = (self.member > 0).sum(axis=0)
         self.answers = []
         for h, x, given in zip(items.hashes, v, items.explicit):
             if given is not None and len(given):
                 self.answers.append(set(given.tolist()))
             else:
-                o = np.argsort(-weight[x], kind="stable")[: max(1, len(x) // 4)]
+                o = np.argsort(shared[x], kind="stable")[: max(1, len(x) // 4)]
                 self.answers.append(set(h[o].tolist()))
 
     def judge(self, region: np.ndarray, j: int) -> tuple[int, int, int] | None:
@@ -372,16 +374,16 @@ class Search:
         return out
 
 
-def searches(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, text: str, rules: Rules, rank: int, block: int) -> list:
+def searches(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, text: str, rules: Rules, rank: int, block: int, answer: str | None = None) -> list:
     """A broadcast Search for each block of at most ``block`` items."""
     spark = docs.sparkSession
     K.once(spark)
     rows = docs.select(F.col(text).alias("text"))
-    b = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).orderBy("i", "t")
-    found, ids, texts = [], [], []
+    b = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"), (F.col(answer) if answer else F.lit(None)).cast("string").alias("a")).orderBy("i", "t")
+    found, ids, texts, answers = [], [], [], []
 
     def close():
-        items = Items(ids, texts)
+        items = Items(ids, texts, answers)
         items_b = spark.sparkContext.broadcast(items)
         df = frequencies(rows, items_b)
         weight = np.log((df[-1] + 1) / (df[:-1] + 1)) + 0.1
@@ -390,23 +392,26 @@ def searches(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str
     for r in b.toLocalIterator():
         ids.append(r.i)
         texts.append(r.t)
+        answers.append(r.a)
         if len(ids) == block:
             close()
-            ids, texts = [], []
+            ids, texts, answers = [], [], []
     if ids:
         close()
     return found
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rules: Rules = Rules(), rank: int = RANK, block: int = 4096) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rules: Rules = Rules(), rank: int = RANK, block: int = 4096, answer: str | None = None) -> DataFrame:
     """One row per contaminated document and item: doc_id, item_id, cosine, lcs, run,
     answers, first_word, end_word (the best region by lcs, then place).
 
+    ``answer`` names a benchmark column with the items' answers, whose words a region must
+    hold; without one (or where it is null) they are the quarter of the item's words that fewest items hold.
     Null, empty and short texts hold nothing; null items and items of fewer than five
     words are passed over; an empty benchmark or corpus gives no rows; repeated rows each
     report. Other columns are ignored.
     """
-    found = searches(docs, benchmark, item_id, item_text, text, rules, rank, block)
+    found = searches(docs, benchmark, item_id, item_text, text, rules, rank, block, answer)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     form = "doc_id bigint, item_id bigint, cosine double, lcs bigint, run bigint, answers bigint, first_word bigint, end_word bigint"
     names = [x.split()[0] for x in form.split(", ")]
@@ -427,9 +432,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     return rows.mapInArrow(run, form)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rules: Rules = Rules(), rank: int = RANK, block: int = 4096) -> DataFrame:
-    """Rows of ``docs``, all columns, whose text holds no item."""
-    found = searches(docs, benchmark, item_id, item_text, text, rules, rank, block)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rules: Rules = Rules(), rank: int = RANK, block: int = 4096, answer: str | None = None) -> DataFrame:
+    """Rows of ``docs``, all columns, whose text holds no item. Rows without text stay;
+    repeated rows stay or go together; an empty benchmark keeps all."""
+    found = searches(docs, benchmark, item_id, item_text, text, rules, rank, block, answer)
     at = docs.columns.index(text)
 
     def run(batches):
