@@ -34,10 +34,13 @@ LETTER = re.compile(r"[^\W\d_]")
 
 
 class Pieces:
-    def __init__(self, path: str, kind: str = "bpe", most: int = 800_000):
-        import sentencepiece
+    def __init__(self, path: str, kind: str = "bpe", most: int = 800_000, sp=None):
+        """``sp`` stands in for the model file's own processor."""
+        if sp is None:
+            import sentencepiece
 
-        self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
+            sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.sp = sp
         self.kind, self.most = kind, most
         n = sp.vocab_size()
         self.vocab: dict[str, int] = {}
