@@ -12,17 +12,24 @@ from pyspark.sql import functions as F
 from siltstone.llm import decontam, jaccard, langid, lines, pieces, store
 
 
+SURE, LONG = 0.6, 200  # a text of LONG characters at this score is not in another language than predicted
+
+
 def language(spark, docs, sf_dir):
-    """Documents whose language is identified; those without a letter or text (und) go."""
+    """Documents whose language is identified. Rejected, and gone, are those without a
+    letter or text (und), and those that the parse surely finds in another language than
+    the declared one (score SURE or more over LONG characters or more)."""
     shared = spark.sparkContext.broadcast(_folded(langid.learn(docs)))
-    at = docs.columns.index("text")
+    at, lang = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            names, _ = langid.predict(shared.value, b.column(at).to_pylist())
-            yield b.filter(pa.array([x != "und" for x in names], pa.bool_()))
+            texts, declared = b.column(at).to_pylist(), b.column(lang).to_pylist()
+            found = zip(*langid.predict(shared.value, texts))
+            keep = [x != "und" and (y is None or x == y or score < SURE or len(t) < LONG) for (x, score), y, t in zip(found, declared, texts)]
+            yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -36,7 +43,7 @@ def _folded(model):
 def line_dedup(spark, docs, sf_dir):
     """Texts without lines that repeat an earlier line; documents left without a word go.
     n_chars, where it is a column, follows the text."""
-    out = lines.dedup_lines(docs).drop("n_lines", "n_removed")
+    out = lines.dedup_lines(docs).select(docs.columns)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.where(F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\x0c\r", "") != "").select(docs.columns)
