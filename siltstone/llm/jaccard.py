@@ -33,7 +33,7 @@ from siltstone.llm import graph, kernel as K, store
 
 GROUPS = 64
 FINE = 512
-TREE = 512
+TREE = 32
 ROUNDS = (4, None)
 SMALL = 12
 WIDE = 4096
