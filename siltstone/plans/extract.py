@@ -141,9 +141,11 @@ def _(t):
     return d.select("id", "s.is_redirect", "s.is_sparql_card", "s.lines", "s.link_lines")
 
 
-@query("g1_index_pages", "SELECT doc_id FROM documents WHERE starts_with(regexp_replace(text, '^\\s+', ''), '#') AND contains(text, '[[')")
+@query("g1_index_pages", "SELECT doc_id FROM documents WHERE doc_id % 10 = 0 AND len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) >= 5")
 def _(t):
-    d = T.once(t.documents.select("doc_id", "text"), s=Q.wikitext_shape(F.col("text")))
+    # every line of each tenth document becomes a template, which leaves no prose
+    made = F.when(F.col("doc_id") % 10 == 0, F.regexp_replace(F.translate("text", "{}", ""), r"([^\n]+)", "{{$1}}")).otherwise(F.translate("text", "[]{}#", ""))
+    d = T.once(t.documents.select("doc_id", made.alias("text")), s=Q.wikitext_shape(F.col("text")))
     return d.where("s.index_page").select("doc_id")
 
 
@@ -222,10 +224,11 @@ def _(t):
     return d.select("doc_id", (F.col("n") != F.col("text")).alias("nfc_changed"), (bare(F.col("text")) == bare(F.col("m"))).alias("white_only"))
 
 
-@query("m11_removed_characters", "WITH a AS (SELECT unnest(string_split(text, '')) AS c FROM documents), b AS (SELECT unnest(string_split(nfc_normalize(text), '')) AS c FROM documents), x AS (SELECT c, count(*) AS n FROM a GROUP BY c), y AS (SELECT c, count(*) AS n FROM b GROUP BY c) SELECT x.c, x.n - coalesce(y.n, 0) AS removed FROM x LEFT JOIN y ON x.c = y.c WHERE x.n > coalesce(y.n, 0)")
+@query("m11_removed_characters", "WITH m AS (SELECT concat(text, 'e', chr(769), 'a', chr(778)) AS text FROM documents), a AS (SELECT unnest(string_split(text, '')) AS c FROM m), b AS (SELECT unnest(string_split(nfc_normalize(text), '')) AS c FROM m), x AS (SELECT c, count(*) AS n FROM a GROUP BY c), y AS (SELECT c, count(*) AS n FROM b GROUP BY c) SELECT x.c, x.n - coalesce(y.n, 0) AS removed FROM x LEFT JOIN y ON x.c = y.c WHERE x.n > coalesce(y.n, 0)")
 def _(t):
     # only texts that change are taken apart
-    d = T.once(t.documents.select("text"), n=T.nfc(F.col("text"))).where("n <> text")
+    made = F.concat("text", F.lit("e\u0301a\u030a"))
+    d = T.once(t.documents.select(made.alias("text")), n=T.nfc(F.col("text"))).where("n <> text")
     c = d.select(F.explode(F.split("text", "")).alias("c"), F.lit(1).alias("k")).unionByName(d.select(F.explode(F.split("n", "")).alias("c"), F.lit(-1).alias("k")))
     return c.where("c <> ''").groupBy("c").agg(F.sum("k").alias("removed")).where("removed > 0")
 
