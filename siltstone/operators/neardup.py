@@ -19,26 +19,69 @@ def _params(seed: int = 35) -> tuple[np.ndarray, np.ndarray]:
     return a, rng.integers(0, 1 << 63, PERMS, dtype=np.uint64)
 
 
-def signature(text: str) -> list[int] | None:
-    """128 minima of five-word shingle hashes, upper 32 bits; none below five words."""
-    w = np.array([zlib.crc32(x.encode()) for x in text.split()], dtype=np.uint64)
-    if len(w) < 5:
-        return None
-    with np.errstate(over="ignore"):
-        h = np.zeros(len(w) - 4, np.uint64)
-        for k in range(5):
-            h = h * np.uint64(MULT) + w[k : len(w) - 4 + k]
-        h = np.unique(h)
-        a, b = _params()
-        low = np.full(PERMS, np.iinfo(np.uint64).max, np.uint64)
-        for x in range(0, len(h), 4096):  # bounded memory for long texts
-            low = np.minimum(low, (h[x : x + 4096, None] * a + b).min(axis=0))
-    return (low >> np.uint64(32)).astype(np.int64).tolist()
+class Signer:
+    """Signatures of many texts at a time: the words of a batch lie in one array, a word is
+    hashed once, and each permutation takes its minima over all texts in one pass."""
+
+    BATCH = 1 << 18  # words at a time, or one text
+
+    def __init__(self):
+        self.a, self.b = _params()
+        self.crc: dict[str, int] = {}
+
+    def words(self, text: str) -> list[int]:
+        known, crc = self.crc, zlib.crc32
+        if len(known) > 1_000_000:
+            known.clear()
+        out = []
+        for w in text.split():
+            h = known.get(w)
+            if h is None:
+                h = known[w] = crc(w.encode())
+            out.append(h)
+        return out
+
+    def sign(self, texts) -> list[list[int] | None]:
+        """128 minima of five-word shingle hashes, upper 32 bits; none below five words."""
+        out: list = []
+        held: list[list[int]] = []
+        size = 0
+        for t in texts:
+            held.append([] if t is None else self.words(t))
+            size += len(held[-1])
+            if size >= self.BATCH:
+                out += self.minima(held)
+                held, size = [], 0
+        return out + self.minima(held)
+
+    def minima(self, held: list[list[int]]) -> list[list[int] | None]:
+        grams = np.array([max(0, len(w) - 4) for w in held], np.int64)
+        live = np.flatnonzero(grams)
+        out: list = [None] * len(held)
+        if not len(live):
+            return out
+        flat = np.array([h for i in live for h in held[i]], np.uint64)
+        first = np.cumsum(grams[live] + 4) - (grams[live] + 4)  # of each text's words
+        at = np.repeat(first - (np.cumsum(grams[live]) - grams[live]), grams[live]) + np.arange(grams.sum())
+        with np.errstate(over="ignore"):
+            poly = np.zeros(len(at), np.uint64)
+            for k in range(5):
+                poly = poly * np.uint64(MULT) + flat[at + k]
+            cut = np.cumsum(grams[live]) - grams[live]
+            low = np.stack([np.minimum.reduceat(poly * a + b, cut) for a, b in zip(self.a, self.b)], 1)
+        for i, row in zip(live.tolist(), (low >> np.uint64(32)).astype(np.int64).tolist()):
+            out[i] = row
+        return out
+
+
+_signer: list[Signer] = []
 
 
 @F.pandas_udf(ArrayType(LongType()))
 def _signatures(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else signature(x))
+    if not _signer:
+        _signer.append(Signer())
+    return pd.Series(_signer[0].sign(s))
 
 
 def clusters(docs: DataFrame, by: str = "lang", row: str = "doc_id") -> DataFrame:
@@ -52,7 +95,7 @@ def clusters(docs: DataFrame, by: str = "lang", row: str = "doc_id") -> DataFram
     pairs = keyed.join(heads, [by, "band"]).where(F.col(f"head.{row}") < F.col(row))
     agree = F.size(F.filter(F.zip_with("sig", "head.sig", lambda x, y: x == y), lambda x: x)) / PERMS
     edges = pairs.where(agree >= LEAST).select(by, F.col(row).alias("u"), F.col(f"head.{row}").alias("v")).distinct()
-    cur = edges.groupBy(by, "u").agg(F.min("v").alias("v"), F.collect_set("v").alias("all"))
+    cur = edges.groupBy(by, "u").agg(F.min("v").alias("v"))
     links = edges.join(cur.select(by, "u", F.col("v").alias("m")), [by, "u"])
     # rows under one member are linked with its least one
     flat = links.select(by, F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v").unionByName(cur.select(by, "u", "v")).distinct()
