@@ -7,7 +7,7 @@ with U+001C-001F, letters without combining marks, decimal digits of any script.
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 WS = r"(?U)[\s\x1c-\x1f]+"
 STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
@@ -228,3 +228,43 @@ def trim_text(text: Column, most: int) -> Column:
     head = F.substring(text, 1, most)
     last = F.length(head) - F.locate("\n", F.reverse(head)) + 1
     return F.when(F.length(text) <= most, text).otherwise(F.when(F.locate("\n", head) > 0, F.substring(head, F.lit(1), last - 1)).otherwise(head))
+
+
+MOST_CHARS = 1200  # fixed value: a paragraph of more characters is cut into sentences
+
+
+def wrapped(piece: str, most: int = MOST_CHARS) -> list[str]:
+    """Pieces of at most ``most`` characters, cut at the last blank that fits, else where the limit falls."""
+    out = []
+    piece = piece.strip()
+    while len(piece) > most:
+        at = max(piece.rfind(" ", 0, most + 1), piece.rfind("\t", 0, most + 1))
+        head, piece = (piece[:at], piece[at + 1 :]) if at > 0 else (piece[:most], piece[most:])
+        out.append(head.strip())
+        piece = piece.lstrip()
+    return [x for x in [*out, piece] if x]
+
+
+def chunked(text: str) -> list[str]:
+    """Paragraphs of a text; long ones as sentences, too long ones wrapped. No text is dropped."""
+    import re
+
+    out = []
+    for line in text.splitlines():
+        line = line.strip()
+        if len(line) <= MOST_CHARS:
+            out += [line] if line else []
+        else:
+            for piece in re.split(r"(?<=[।॥৷۔؟.!?])\s+", line):  # fixed value: what ends a sentence
+                out += wrapped(piece)
+    return out
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _chunked(s):
+    return s.map(lambda x: [] if x is None else chunked(x))
+
+
+def documents_of(text: Column) -> Column:
+    """Array of the documents of a text."""
+    return _chunked(text)

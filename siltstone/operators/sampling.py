@@ -152,3 +152,12 @@ def stream_split(tokens: DataFrame, order: str, share: float = 0.9) -> DataFrame
     """tokens with split: the last part of a flat stream is val."""
     n = tokens.count()
     return tokens.withColumn("split", F.when(F.col(order) < int(n * share), "train").otherwise("val"))
+
+
+def synthetic(spark, n: int, seed: int, langs: tuple[str, ...] = ("en", "de"), words: int = 40) -> DataFrame:
+    """(doc_id, lang, text) of n made-up documents that only depend on the arguments."""
+    i = spark.range(n).withColumnRenamed("id", "doc_id")
+    lang = F.element_at(F.array(*[F.lit(x) for x in langs]), (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(len(langs))) + 1).cast("int"))
+    word = lambda k: F.substring(F.translate(F.sha2(F.concat_ws("/", F.lit(str(seed)), F.col("doc_id").cast("string"), k.cast("string")), 256), "0123456789", "ghijklmnop"), F.lit(1), F.pmod(F.xxhash64("doc_id", k), F.lit(6)).cast("int") + 2)
+    size = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(words)).cast("int") + 1
+    return i.select("doc_id", lang.alias("lang"), F.array_join(F.transform(F.sequence(F.lit(1), size), word), " ").alias("text"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import html as H, text as T
 from siltstone.operators import acquisition as Q, sampling as P
 from siltstone.plans.registry import W, query
+from siltstone.sources import tables as R
 
 STRIPPED = r"regexp_replace({t}, '^\s+|\s+$', '', 'g')"
 
@@ -244,3 +245,21 @@ def _(t):
     d = t.documents.select("source", F.lower("text").alias("low")).crossJoin(F.broadcast(marks.agg(F.collect_list("marker").alias("m"))))  # one row of markers
     return d.groupBy("source").agg(F.count("*").alias("docs"), F.count_if(F.exists("m", lambda x: F.contains("low", x))).alias("marked"))
 
+
+
+@query("s7_chunked_documents", f"SELECT doc_id, len({W}) AS words, true AS fits FROM documents WHERE len({W}) > 0")
+def _(t):
+    d = t.documents.select("doc_id", F.explode(T.documents_of(F.col("text"))).alias("x"))
+    return d.groupBy("doc_id").agg(F.sum(F.size(T.words(F.col("x")))).alias("words"), (F.max(F.length("x")) <= T.MOST_CHARS).alias("fits"))
+
+
+@query("s21_synthetic", "SELECT 500 AS docs, true AS same, true AS other")
+def _(t):
+    a, b, c = (P.synthetic(t.spark, 500, s).agg(F.count("*").alias("n"), F.sum(F.xxhash64("text", "lang").cast("decimal(38,0)")).alias(f"h{k}")) for k, s in enumerate((1, 1, 2)))
+    return a.crossJoin(b.drop("n")).crossJoin(c.drop("n")).select(F.col("n").alias("docs"), (F.col("h0") == F.col("h1")).alias("same"), (F.col("h0") != F.col("h2")).alias("other"))  # one row each
+
+
+@query("s25_open_parts", "SELECT lang AS part, count(*) AS docs FROM documents WHERE lang IN ('de', 'fr') GROUP BY lang")
+def _(t):
+    parts = {x: t.documents.where(F.col("lang") == x) for x in ("de", "fr")}
+    return R.open_parts(parts, {k: R.text_digest(v) for k, v in parts.items()}).groupBy("part").agg(F.count("*").alias("docs"))

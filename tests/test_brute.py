@@ -346,3 +346,30 @@ def test_large_suites_are_joined(spark, monkeypatch):
     monkeypatch.setattr(stages, "MOST_GRAMS", 0)
     assert small == [sorted(map(tuple, f(d, b).collect())) for f in (stages.suite_hits, lambda d, b: stages.found_passages(d, b, 3, 40).select("doc_id", "item", "pos"))]
     assert small[0]
+
+
+def test_chunks():
+    long = ("word " * 300).strip()
+    assert T.chunked("a\n\n b \n") == ["a", "b"]
+    got = T.chunked(f"First one. {long}. Last?\nx" + "y" * 2500)
+    assert all(len(x) <= T.MOST_CHARS for x in got) and got[0] == "First one." and "Last?" in got
+    assert "".join("".join(x.split()) for x in got) == "".join(f"First one. {long}. Last? x{'y' * 2500}".split())
+
+
+def test_parts_and_members(spark, tmp_path):
+    import gzip
+
+    from siltstone.sources import tables as R
+
+    a, b = (spark.createDataFrame([(i, f"{n}{i}") for i in range(5)], "doc_id long, text string") for n in "ab")
+    want = {"a": R.text_digest(a), "b": R.text_digest(b)}
+    assert R.open_parts({"a": a, "b": b.repartition(3)}, want).count() == 10
+    with pytest.raises(ValueError, match="recorded"):
+        R.open_parts({"a": a, "b": b.where("doc_id > 0").union(b.where("doc_id = 1"))}, want)
+    R.write_jsonl(a, str(tmp_path / "j"), "doc_id")
+    assert [r.text for r in R.jsonl(spark, str(tmp_path / "j")).collect()] == [f"a{i}" for i in range(5)]
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g" / "a.gz").write_bytes(gzip.compress(b"one") + gzip.compress(b"two"))
+    f = spark.read.format("binaryFile").load(str(tmp_path / "g"))
+    x = f.select(R.joined_members(f.content).alias("c"), packing.file_members(R.joined_members(f.content)).alias("n")).first()
+    assert gzip.decompress(bytes(x.c)) == b"onetwo" and x.n == 1
