@@ -34,8 +34,9 @@ LETTER = re.compile(r"[^\W\d_]")
 
 
 class Pieces:
-    def __init__(self, path: str, kind: str = "bpe", most: int = 800_000, sp=None):
-        """``sp`` stands in for the model file's own processor."""
+    def __init__(self, path: str, kind: str = "bpe", most: int = 250_000, sp=None):
+        """``most`` words and twice as many pairs of pieces are remembered, which bounds a
+        worker's memory (about 150 MB); ``sp`` stands in for the model file's own processor."""
         if sp is None:
             import sentencepiece
 
@@ -117,7 +118,7 @@ class Pieces:
                 else:
                     limit, same = score[b], True
                     b = self.halves(b)[0]
-            if len(self.apart) > 2_000_000:
+            if len(self.apart) > 2 * self.most:
                 self.apart.clear()
             self.apart[key] = got
         return got
