@@ -64,7 +64,8 @@ def test_bpe_round_trip(spark):
     d = spark.createDataFrame([(1, "low lower lowest"), (2, "été कान")], "doc_id long, text string")
     m = tokens.train_bpe(d, 10)
     assert m[0] == (b"l", b"o") or m[0] == (b"o", b"w")
-    assert all(r.lossless for r in tokens.encode_bpe(d, m).collect())
+    back = {r.doc_id: r.text for r in tokens.decode_bpe(tokens.encode_bpe(d, m), m).collect()}
+    assert back == {r.doc_id: r.text for r in d.collect()}
 
 
 def test_bpe_counts_rare_chunks(spark):
