@@ -578,7 +578,9 @@ def repeated_spans(rows: DataFrame, nb: int) -> DataFrame:
         both = np.stack([s["start"], s["end"]], 1).astype("<u4")
         yield pa.RecordBatch.from_arrays([pa.array(s["doc"][cut].view(np.int64)), pa.array([both[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary())], ["doc", "spans"])
 
-    return K.exchange(spans.mapInArrow(deal, K.PACKED), gather, "doc bigint, spans binary")
+    out = store.table(K.exchange(spans.mapInArrow(deal, K.PACKED), gather, "doc bigint, spans binary"), "op1-spans")
+    store.drop(met)
+    return out
 
 
 def merged(s: np.ndarray) -> np.ndarray:
@@ -614,7 +616,7 @@ def dedup_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     K.once(spark)
     nb = K.n_buckets(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    spans = store.table(repeated_spans(rows, nb), "op1-spans")
+    spans = repeated_spans(rows, nb)
 
     def keyed(batches):
         for b in batches:
