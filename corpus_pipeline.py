@@ -81,5 +81,6 @@ ORACLE_SQL = None
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = store.table(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, store.table(stage(spark, docs, sf_dir), f"stage-{name}")
+        store.drop(before)  # deletes tables of stages only
     return docs
