@@ -7,7 +7,7 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siltstone.functions import text as T
 
@@ -176,9 +176,3 @@ def file_members(content: Column) -> Column:
         return s.map(one)
 
     return count(content)
-
-
-def running_positions(rows: DataFrame, by: str, order: str, size: str) -> DataFrame:
-    """rows with before: the sizes ahead of each in its group."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("before", F.sum(size).over(w) - F.col(size))

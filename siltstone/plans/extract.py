@@ -98,6 +98,12 @@ def _(t):
     return t.pages.select("page_id", F.size(Q.url_problems(Q.page_url(F.lit("x.org"), F.col("url")))).alias("problems"))
 
 
+@query("s17_range_urls", "SELECT page_id, 0 AS problems FROM pages")
+def _(t):
+    u = Q.range_url(F.lit("x.org"), F.lit("A work"), F.lit("Scan.pdf"), F.col("page_id"), F.col("page_id") + 3)
+    return t.pages.select("page_id", F.size(Q.url_problems(u)).alias("problems"))
+
+
 @query("s17_quality_batches")
 def _(t):
     titles = t.pages.select(F.parse_url("url", F.lit("HOST")).alias("host"), "page_id", F.col("url").alias("title"))
@@ -195,11 +201,11 @@ def _(t):
     return Q.acquisition_summary(Q.acquisition_rows(d, tries))
 
 
-@query("a36_page_quality", "SELECT CAST(k AS INTEGER) AS level, count(*) AS n, CAST(min(p) AS VARCHAR) AS first, CAST(max(p) AS VARCHAR) AS last FROM (SELECT page_id AS p, page_id % 3 AS k FROM pages) GROUP BY k")
+@query("a36_page_quality", "SELECT page_id // 50 AS work, CAST(page_id % 3 AS INTEGER) AS level, count(*) AS n, CAST(min(page_id) AS VARCHAR) AS first, CAST(max(page_id) AS VARCHAR) AS last FROM pages GROUP BY 1, 2")
 def _(t):
-    one = t.pages.select(F.lit("w").alias("work"), "page_id", F.array(F.struct(F.col("page_id").cast("string").alias("name"), (F.col("page_id") % 3).cast("int").alias("level"))).alias("pages"))
-    p = one.select("work", "page_id", F.explode("pages").alias("p")).select("work", "page_id", "p.*")
-    return p.groupBy("level").agg(F.count("*").alias("n"), F.min_by("name", "page_id").alias("first"), F.max_by("name", "page_id").alias("last"))
+    page = F.struct("page_id", F.struct(F.col("page_id").cast("string").alias("name"), (F.col("page_id") % 3).cast("int").alias("level")).alias("p"))
+    works = t.pages.groupBy(F.floor(F.col("page_id") / 50).cast("long").alias("work")).agg(F.transform(F.array_sort(F.collect_list(page)), lambda x: x["p"]).alias("pages"))  # a work has 50 pages
+    return Q.page_quality_summary(works, "work")
 
 
 @query("m3_mask_samples", r"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.]+', '[email]', 'g'), 'https?://[^\s]+|www\.[^\s]+', '[url]', 'g')) AS masked_sha FROM documents WHERE NOT regexp_matches(text, '[0-9](?:[0-9 \-]*[0-9]){6,}')")

@@ -10,6 +10,7 @@ from pyspark.sql import Window, functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators import neardup, packing, slices, stages as S, statistics as A, tokens as K
+from siltstone.sources import tables
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -51,7 +52,8 @@ def g(n: int) -> str:
 
 @query("s1_parquet_rows", "SELECT doc_id, coalesce(lang, '') AS type, sha256(coalesce(text, '')) AS text_sha FROM documents")
 def _(t):
-    return t.documents.select("doc_id", F.coalesce("lang", F.lit("")).alias("type"), T.sha(F.coalesce("text", F.lit(""))).alias("text_sha"))
+    d = tables.parquet_rows(t.spark, f"{t.folder}/documents.parquet", ("doc_id", "lang", "text"))
+    return d.select("doc_id", F.coalesce("lang", F.lit("")).alias("type"), T.sha(F.col("text")).alias("text_sha"))
 
 
 @query("s2_row_count", "SELECT count(*) AS n FROM documents")
@@ -66,7 +68,9 @@ def _(t):
 
 @query("s4_pruned_sample", "SELECT doc_id, length(text) AS chars FROM documents WHERE doc_id BETWEEN 100 AND 199 AND lang = 'en'")
 def _(t):
-    return t.documents.where("doc_id BETWEEN 100 AND 199 AND lang = 'en'").select("doc_id", F.length("text").cast("long").alias("chars"))
+    wanted = t.spark.range(100, 200).withColumnRenamed("id", "doc_id")  # the bounds reach the scan, the rows themselves the join
+    d = t.documents.where("doc_id BETWEEN 100 AND 199 AND lang = 'en'").join(F.broadcast(wanted), "doc_id", "left_semi")
+    return d.select("doc_id", F.length("text").cast("long").alias("chars"))
 
 
 @query("s7_lines_to_documents", r"""WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
