@@ -222,34 +222,11 @@ def exchange(packed: DataFrame, fn: Callable[[int, pa.Table], Iterator[pa.Record
     return packed.groupBy("bucket").applyInArrow(run, schema)
 
 
-# fixed-size sketches: one counter table, one bit table; neither grows with the input
+# a sketch's cells travel in so many parts
 
 SKETCH_CHUNKS = 64
 
 
-def sketch_rows(counts: np.ndarray) -> pa.RecordBatch:
-    part = np.array_split(counts.astype(np.uint32), SKETCH_CHUNKS)
-    live = [i for i, x in enumerate(part) if x.any()]
-    return pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), pa.array([part[i].tobytes() for i in live], pa.binary())], ["bucket", "payload"])
-
-
-def sketch_total(rows: DataFrame, cells: int) -> np.ndarray:
-    """Sum of all tasks' counters: ``cells`` numbers on the driver, whatever the input."""
-
-    def add(bucket, table):
-        total = np.zeros(cells // SKETCH_CHUNKS, np.uint64)
-        for x in table.column("payload"):
-            total += np.frombuffer(x.as_buffer(), np.uint32)
-        total = np.minimum(total, U(0xFFFFFFFF)).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["bucket", "payload"])
-
-    out = np.zeros(cells, np.uint32)
-    step = cells // SKETCH_CHUNKS
-    for r in exchange(rows, add, PACKED).collect():
-        out[r.bucket * step : (r.bucket + 1) * step] = np.frombuffer(r.payload, np.uint32)
-    return out
-
-
 SEGMENTS = 256
 
 

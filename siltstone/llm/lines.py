@@ -119,10 +119,6 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return (x ^ U(1 << 63)).view(np.int64)
 
 
-def _unsigned(x: np.ndarray) -> np.ndarray:
-    return x.view(np.uint64) ^ U(1 << 63)
-
-
 LINE = np.dtype([("sig", "<u8"), ("doc_id", "<i8"), ("tag", "<u4"), ("line", "<u4")])
 COUNT = np.dtype([("cell", "<u4"), ("n", "<u4")])
 GONE = np.dtype([("doc_id", "<i8"), ("tag", "<u4"), ("line", "<u4")])
