@@ -30,6 +30,7 @@ from siltstone.llm import kernel as K
 U = np.uint64
 PASSAGE, STEP, SPAN, RANK = 64, 8, 4, 96
 CHUNKS = 32
+LONG = 65
 
 # words end at white space and at ASCII punctuation
 GAP = np.ones(256, bool)
@@ -117,6 +118,11 @@ def common_run(region: np.ndarray, item: np.ndarray) -> int:
     return best
 
 
+def _order(v: np.ndarray, n: int) -> np.ndarray:
+    """Stable order of places below n (two-byte values are sorted by their digits)."""
+    return np.argsort(v.astype(np.uint16) if n <= 65536 else v, kind="stable")
+
+
 def _summed(rows: DataFrame, shape: tuple[int, int]) -> np.ndarray:
     """Sum of all tasks' arrays of a fixed shape, by chunks of rows."""
 
@@ -168,9 +174,10 @@ def frequencies(rows: DataFrame, items_b) -> np.ndarray:
                 k, v = items.places(h)
                 if len(v):
                     # once for each passage
-                    o = np.argsort(v, kind="stable")
-                    new = np.r_[True, (v[o][1:] != v[o][:-1]) | (of[k][o][1:] != of[k][o][:-1])]
-                    total[:-1, 0] += np.bincount(v[o][new], minlength=len(items.vocab))
+                    o = _order(v, len(items.vocab))
+                    word, passage = v[o], of[k[o]]
+                    new = np.r_[True, (word[1:] != word[:-1]) | (passage[1:] != passage[:-1])]
+                    total[:-1, 0] += np.bincount(word[new], minlength=len(items.vocab))
                 total[-1, 0] += n
         yield _chunks(total)
 
@@ -178,20 +185,38 @@ def frequencies(rows: DataFrame, items_b) -> np.ndarray:
     return _summed(rows.mapInArrow(run, K.PACKED), (n, 1))[:, 0]
 
 
-def _product(of: np.ndarray, v: np.ndarray, n: int, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """A'(A basis) for passages given as (passage, word) pairs, passage ascending."""
-    out = np.zeros((len(weight), basis.shape[1]), np.float32)
+def _sums(rows: np.ndarray, v: np.ndarray, cut: np.ndarray, out: np.ndarray, to: np.ndarray) -> None:
+    """out[to] = np.add.reduceat(rows[v], cut), by the same additions in the same order:
+    the next row of every stretch at once, and whole stretches beyond LONG rows."""
+    size = np.diff(np.r_[cut, len(v)])
+    o = np.argsort(-size, kind="stable")
+    at, size = cut[o], size[o]
+    live = np.searchsorted(-size, -np.arange(1, LONG), side="left")  # stretches of more than d rows
+    long = int(np.searchsorted(-size, -LONG, side="left"))
+    total = rows.take(v[at], axis=0)
+    for d, m in enumerate(live.tolist(), 1):
+        if m == long:
+            break
+        total[long:m] += rows.take(v[at[long:m] + d], axis=0)
+    for i in range(long):
+        total[i] = rows.take(v[at[i] : at[i] + size[i]], axis=0).sum(axis=0)
+    out[to[o]] = total
+
+
+def _product(of: np.ndarray, v: np.ndarray, scaled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, their rows of N'(N scaled)) for passages given as (passage, word) pairs, passage ascending."""
     if not len(v):
-        return out
-    scaled = (basis * weight[:, None]).astype(np.float32)
+        return np.zeros(0, np.int64), np.zeros((0, scaled.shape[1]), np.float32)
     cut = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-    y = np.add.reduceat(scaled[v], cut, axis=0)
+    y = np.empty((len(cut), scaled.shape[1]), np.float32)
+    _sums(scaled, v, cut, y, np.arange(len(cut)))
     back = np.repeat(np.arange(len(cut)), np.diff(np.r_[cut, len(v)]))
-    o = np.argsort(v.astype(np.uint16) if len(weight) <= 65536 else v, kind="stable")
+    o = _order(v, len(scaled))
     vs = v[o]
     c2 = np.flatnonzero(np.r_[True, vs[1:] != vs[:-1]])
-    out[vs[c2]] = np.add.reduceat(y[back[o]], c2, axis=0)
-    return out * weight[:, None].astype(np.float32)
+    out = np.empty((len(c2), scaled.shape[1]), np.float32)
+    _sums(y, back[o], c2, out, np.arange(len(c2)))
+    return vs[c2], out
 
 
 def latent_basis(rows: DataFrame, items: Items, items_b, weight: np.ndarray, rank: int) -> np.ndarray:
@@ -203,19 +228,23 @@ def latent_basis(rows: DataFrame, items: Items, items_b, weight: np.ndarray, ran
 
     def run(batches):
         items, (w, g) = items_b.value, start_b.value
+        scaled = (g * w[:, None]).astype(np.float32)
         total = np.zeros(g.shape)
         for b in batches:
             for _, _, h, at in _passages(b.column(0)):
-                of, n = _passage_of(at, PASSAGE)
+                of, _ = _passage_of(at, PASSAGE)
                 k, v = items.places(h)
-                total += _product(of[k], v, n, w, g)
-        yield _chunks(total)
+                word, part = _product(of[k], v, scaled)
+                total[word] += part
+        yield _chunks(total * w[:, None])
 
     corpus = _summed(rows.mapInArrow(run, K.PACKED), start.shape)
-    own = np.zeros(start.shape)
+    own, scaled = np.zeros(start.shape), (start * weight[:, None]).astype(np.float32)
     for h in items.hashes:
         v = np.searchsorted(items.vocab, h)
-        own += _product(np.zeros(len(v), np.int64), v, 1, weight, start)
+        word, part = _product(np.zeros(len(v), np.int64), v, scaled)
+        own[word] += part
+    own *= weight[:, None]
     # both parts weigh the same
     size = np.linalg.norm(corpus), np.linalg.norm(own)
     both = corpus / max(size[0], 1e-9) + own / max(size[1], 1e-9)
@@ -293,19 +322,24 @@ class Search:
             text = np.repeat(np.arange(hi - lo), -(-np.diff(at) // STEP))
             cut = np.flatnonzero(np.r_[True, of[k][1:] != of[k][:-1]])
             part = np.zeros((n + SPAN, self.rows.shape[1]), np.float32)
-            part[of[k][cut]] = np.add.reduceat(self.rows[v], cut, axis=0)
+            _sums(self.rows, v, cut, part, of[k][cut])
             # a window: SPAN steps of one text
             win = part[:n].copy()
             same = np.r_[text, np.full(SPAN, -1)]
             for d in range(1, SPAN):
-                win += part[d : n + d] * (same[d : n + d] == text)[:, None]
+                last = np.flatnonzero(same[d : n + d] != text)
+                kept = win[last]
+                win += part[d : n + d]
+                win[last] = kept
             norm = np.maximum(np.sqrt((win * win).sum(axis=1)), 1e-9)
             first = np.searchsorted(text, np.arange(hi - lo))
             found = [self._run_windows(k, v, at, first)]
             for x in range(0, n, 4096):
-                cos = (win[x : x + 4096] @ self.vec.T) / norm[x : x + 4096, None]
-                cos[:, ~self.usable] = 0
-                w, j = np.nonzero(cos >= self.rules.cosine)
+                cos = win[x : x + 4096] @ self.vec.T
+                cos /= norm[x : x + 4096, None]
+                at_least = cos >= self.rules.cosine
+                at_least &= self.usable
+                w, j = np.divmod(np.flatnonzero(at_least), len(it.ids))
                 found.append((w + x, j))
             w, j = (np.concatenate(x) for x in zip(*found))
             if not len(w):
@@ -331,7 +365,7 @@ class Search:
             p = np.searchsorted(k, at[row[of_region]] + x)
             q = np.searchsorted(k, at[row[of_region]] + y)
             best: dict = {}
-            for z in np.flatnonzero(self._held(v, p, q, j[of_region]) >= self.least[j[of_region], with_run[of_region]]).tolist():
+            for z in np.flatnonzero(self._holds(v, p, q, j[of_region], self.least[j[of_region], with_run[of_region]])).tolist():
                 r = int(of_region[z])
                 got = self.judge(h[at[row[r]] + x[z] : at[row[r]] + y[z]], int(j[r]))
                 if got and (r not in best or got > best[r][0]):
@@ -357,20 +391,20 @@ class Search:
             ws.append(np.repeat(first[row] + (k[i] - at[row]) // STEP, size))
         return np.concatenate(ws), np.concatenate(js)
 
-    def _held(self, v: np.ndarray, p: np.ndarray, q: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """How many words v[p:q] and item j have in common, each as often as both have it,
-        for arrays p, q and j: no common subsequence or run is longer."""
-        out = np.zeros(len(p), np.int64)
+    def _holds(self, v: np.ndarray, p: np.ndarray, q: np.ndarray, j: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Whether v[p:q] and item j have ``least`` words in common, each as often as both
+        have it, for arrays p, q, j and least: no common subsequence or run is longer."""
+        out, n, member = np.zeros(len(p), bool), self.member.shape[1], self.member.ravel()
         for x in range(0, len(p), 4096):
             lo, size, of = p[x : x + 4096], (q - p)[x : x + 4096], j[x : x + 4096]
             word = v[np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())]
-            own = np.repeat(np.arange(len(lo)), size)
-            mine = self.member[of[own], word] > 0
-            every = np.sort(own[mine] * self.member.shape[1] + word[mine])
-            cut = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
-            pair, often = every[cut], np.diff(np.r_[cut, len(every)])
-            own, word = pair // self.member.shape[1], pair % self.member.shape[1]
-            out[x : x + 4096] = np.bincount(own, weights=np.minimum(often, self.member[of[own], word]), minlength=len(lo))
+            mine = np.flatnonzero(member.take(np.repeat(of * n, size) + word))
+            own, word = np.repeat(np.arange(len(lo)), size)[mine], word[mine]
+            # enough of them even with all their repeats
+            some = (np.bincount(own, minlength=len(lo)) >= least[x : x + 4096])[own]
+            pair, often = K.counted(own[some] * n + word[some])
+            own, word = pair // n, pair % n
+            out[x : x + 4096] = np.bincount(own, weights=np.minimum(often, member.take(of[own] * n + word)), minlength=len(lo)) >= least[x : x + 4096]
         return out
 
 
