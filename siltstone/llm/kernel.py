@@ -121,13 +121,15 @@ def words(buf: np.ndarray, offs: np.ndarray, gap: np.ndarray = SPACE) -> tuple[n
     if not len(buf):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     ink = ~gap[buf]
-    first = np.zeros(len(buf) + 1, bool)
-    first[offs] = True
-    start = ink.copy()
-    start[1:] &= ~ink[:-1] | first[1:-1]
-    end = ink.copy()
-    end[:-1] &= ~ink[1:] | first[1:-1]
-    return np.flatnonzero(start), np.flatnonzero(end) + 1
+    # starts and ends in turn; a text's edge inside a run ends one word and starts another
+    edge = np.flatnonzero(ink[1:] != ink[:-1]) + 1
+    inner = offs[(offs > 0) & (offs < len(buf))]
+    inner = inner[ink[inner] & ink[inner - 1]]
+    if len(inner):
+        inner = distinct(inner)
+        edge = np.sort(np.r_[edge, inner, inner])
+    edge = np.r_[np.zeros(int(ink[0]), np.int64), edge, np.full(int(ink[-1]), len(buf))]
+    return edge[::2], edge[1::2]
 
 
 def shingle_sets(column: pa.Array, k: int = 5, lower: bool = True) -> Iterator[tuple[int, np.ndarray]]:

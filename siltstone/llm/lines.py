@@ -54,35 +54,47 @@ def line_sets(column: pa.Array, level: np.ndarray | None = None) -> Iterator[Lin
         run = K.running(buf)
         h = K.spans_hash(run, s, e) >> U(24)
         tag = K.spans_hash(run, offs[:-1], offs[1:]) >> U(32)
-        feeds = np.flatnonzero(buf == 10) + 1
-        begin = K.distinct(np.r_[offs[:-1][np.diff(offs) > 0], feeds[feeds < len(buf)]])
-        row_of = np.searchsorted(offs, begin, side="right") - 1
-        # place of a line in its text: line feeds of the text before it
-        count = np.r_[0, np.cumsum(buf == 10)]
-        no_of = count[begin] - count[offs[row_of]]
+        begin, row_of, no_of = _begins(buf, offs)
         words_in = np.diff(np.r_[np.searchsorted(s, begin), len(s)])
         used = np.flatnonzero(words_in)
-        cuts = np.r_[0, np.cumsum(words_in[used])]
-        for x in range(0, len(used), 1 << 16):
-            y = min(x + (1 << 16), len(used))
-            w = h[cuts[x] : cuts[y]]
-            which = np.repeat(np.arange(y - x, dtype=np.uint64), words_in[used[x:y]])
-            key = (which << U(48)) | w
-            if level is not None:
-                key |= level[cell(w)].astype(np.uint64) << U(40)
-            key = K.distinct(key)
-            owner = (key >> U(48)).astype(np.int64)
-            out = Lines()
-            out.words = key & WORD
-            out.level = ((key >> U(40)) & U(255)).astype(np.uint8)
-            out.n = np.bincount(owner, minlength=y - x)
-            out.at = np.r_[0, np.cumsum(out.n)]
-            out.sig = K.mix(np.add.reduceat(K.mix(out.words), out.at[:-1]) + out.n.astype(np.uint64))
+        for x, y, out in _sets(h, words_in[used], level):
             row = row_of[used[x:y]]
             out.row, out.no, out.tag = row + lo, no_of[used[x:y]], tag[row]
             yield out
 
 
+def _begins(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, text, place in the text) of the lines of a block that have a byte."""
+    feeds = np.flatnonzero(buf == 10)
+    after = feeds + 1
+    begin = K.distinct(np.r_[offs[:-1][np.diff(offs) > 0], after[after < len(buf)]])
+    row_of = np.searchsorted(offs, begin, side="right") - 1
+    # place of a line in its text: line feeds of the text before it
+    return begin, row_of, np.searchsorted(feeds, begin) - np.searchsorted(feeds, offs[row_of])
+
+
+def _sets(h: np.ndarray, words_in: np.ndarray, level: np.ndarray | None = None) -> Iterator[tuple[int, int, Lines]]:
+    """Sets of lines of words_in words (one at least) each, which h holds in turn: lines x
+    to y at a time."""
+    cuts = np.r_[0, np.cumsum(words_in)]
+    for x in range(0, len(words_in), 1 << 16):
+        y = min(x + (1 << 16), len(words_in))
+        w = h[cuts[x] : cuts[y]]
+        which = np.repeat(np.arange(y - x, dtype=np.uint64), words_in[x:y])
+        key = (which << U(48)) | w
+        if level is not None:
+            key |= level[cell(w)].astype(np.uint64) << U(40)
+        key = K.distinct(key)
+        owner = (key >> U(48)).astype(np.int64)
+        out = Lines()
+        out.words = key & WORD
+        out.level = ((key >> U(40)) & U(255)).astype(np.uint8)
+        out.n = np.bincount(owner, minlength=y - x)
+        out.at = np.r_[0, np.cumsum(out.n)]
+        out.sig = K.mix(np.add.reduceat(K.mix(out.words), out.at[:-1]) + out.n.astype(np.uint64))
+        yield x, y, out
+
+
 def cell(word: np.ndarray) -> np.ndarray:
     return ((word * U(0x9E3779B97F4A7C15)) >> U(42)).astype(np.int64)
 
@@ -393,17 +405,44 @@ def _place(doc_id: np.ndarray, tag: np.ndarray, line: np.ndarray) -> np.ndarray:
     return K.mix(K.mix(doc_id.view(np.uint64) + K.mix(tag.astype(np.uint64))) + line.astype(np.uint64))
 
 
+def _owner(doc_id: np.ndarray) -> np.ndarray:
+    return K.mix(K.mix(doc_id.view(np.uint64)) ^ U(0xD6E8FEB86659FD93))
+
+
+def _wanted_sets(ids: np.ndarray, column: pa.Array, places: K.Bits) -> Iterator[Lines]:
+    """Sets (words, n, at and sig only) of the lines whose place the bit table holds. Texts
+    of other owners aren't looked at, and only the lines themselves are cut into words."""
+    mine = places.has(_owner(ids))
+    ids, column = ids[mine], column.filter(pa.array(mine))
+    for lo, _, buf, offs in K.blocks(column):
+        if not len(buf):
+            continue
+        begin, row, no = _begins(buf, offs)
+        tag = K.spans_hash(K.running(buf), offs[:-1], offs[1:]) >> U(32)
+        k = np.flatnonzero(places.has(_place(ids[row + lo], tag[row], no)))
+        size = np.diff(np.r_[begin, len(buf)])[k]
+        ends = np.r_[0, np.cumsum(size)]
+        buf = buf[np.repeat(begin[k] - ends[:-1], size) + np.arange(ends[-1])]
+        s, e = K.words(buf, ends)
+        words_in = np.diff(np.searchsorted(s, ends))
+        h = K.spans_hash(K.running(buf), s, e) >> U(24)
+        for _, _, ls in _sets(h, words_in[words_in > 0]):
+            yield ls
+
+
 def _fetch(rows: DataFrame, places_b) -> DataFrame:
-    """(sig, words) of the lines whose place the bit table holds: places of first lines, so
-    a name comes about once (what the table lets through besides has the same words, or is
-    dropped by the join). A word is the five bytes of its hash."""
+    """(sig, words) of the lines whose place the bit table holds, with their documents':
+    places of first lines, so a name comes about once (what the table lets through besides
+    has the same words, or is dropped by the join). A word is the five bytes of its hash."""
 
     def run(batches):
-        for ids, ls in _blocks(batches):
-            k = np.flatnonzero(places_b.value.has(_place(ids[ls.row], ls.tag, ls.no)))
-            five = np.ascontiguousarray(ls.words.view(np.uint8).reshape(-1, 8)[:, :5])
-            words = [five[a:b].tobytes() for a, b in zip(ls.at[k].tolist(), ls.at[k + 1].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(ls.sig[k])), pa.array(words, pa.binary())], ["sig", "words"])
+        for b in batches:
+            ids = np.asarray(b.column(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            for ls in _wanted_sets(ids, b.column(1), places_b.value):
+                five = np.ascontiguousarray(ls.words.view(np.uint8).reshape(-1, 8)[:, :5])
+                at = pa.py_buffer((5 * ls.at).astype(np.int32))
+                words = pa.Array.from_buffers(pa.binary(), len(ls.n), [None, at, pa.py_buffer(five)])
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(ls.sig)), words], ["sig", "words"])
 
     return rows.mapInArrow(run, "sig bigint, words binary")
 
@@ -439,11 +478,12 @@ def _verified(rows: DataFrame, firsts: DataFrame, pairs: DataFrame, num: int, de
     def place(bits):
         def run(batches):
             for b in batches:
-                yield from K.bit_rows(K.distinct(_place(*(b.column(c).to_numpy() for c in ("doc_id", "tag", "line")))), bits)
+                doc_id, tag, line = (b.column(c).to_numpy() for c in ("doc_id", "tag", "line"))
+                yield from K.bit_rows(K.distinct(np.r_[_place(doc_id, tag, line), _owner(doc_id)]), bits)
 
         return run
 
-    bits = K.bits_for(2 * dated.count())
+    bits = K.bits_for(4 * dated.count())
     places_b = spark.sparkContext.broadcast(K.bits_total(wanted.mapInArrow(place(bits), K.PACKED), bits))
     sets = store.table(_fetch(rows, places_b), "op7-sets")
 

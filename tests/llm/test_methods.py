@@ -12,6 +12,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siltstone.llm import decontam, entries, hosts, jaccard, kernel, langid, lines, pieces, records, secrets, shards, suffix
@@ -432,3 +433,46 @@ def test_products_by_rows():
         np.add.reduceat(y[of[o]], np.flatnonzero(np.r_[True, v[o][1:] != v[o][:-1]]), axis=0)
 
     assert least_cpu(lambda: decontam._product(of, v, scaled)) < 0.6 * least_cpu(plain)
+
+
+def test_fetch_reads_wanted_lines_only(monkeypatch):
+    """Sets of the wanted lines as line_sets gives them, and only their bytes cut into words."""
+    _, text = maker(21)
+    texts = [None, "", "\n \n"] + ["\n".join(text(6) if k % 5 else "" for k in range(12)) for _ in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array([3 * i - 5 for i in range(63)]), pa.array(texts)], ["doc_id", "text"])
+    ids = batch.column(0).to_numpy()
+    want, places = {}, []
+    for ls in lines.line_sets(batch.column(1)):
+        for k in np.flatnonzero((ls.row % 7 == 3) & (ls.no % 3 == 1)):
+            want[int(ls.sig[k])] = ls.words[ls.at[k] : ls.at[k + 1]].tolist()
+            places.append(lines._place(ids[ls.row[k : k + 1]], ls.tag[k : k + 1], ls.no[k : k + 1]))
+    bits = 1 << 20
+    seg, a, b = kernel.Bits.places(np.concatenate([*places, lines._owner(ids[3::7])]), bits // kernel.SEGMENTS)
+    data = np.zeros(bits, np.uint8)
+    data[np.r_[seg, seg] * (bits // kernel.SEGMENTS) + np.r_[a, b]] = 1
+
+    class Rows:
+        def mapInArrow(self, fn, schema):
+            return list(fn([batch]))
+
+    class Shared:
+        value = kernel.Bits(np.packbits(data, bitorder="little"))
+
+    cut, words = [], kernel.words
+    monkeypatch.setattr(kernel, "words", lambda buf, offs, *gap: cut.append(len(buf)) or words(buf, offs, *gap))
+    got = {}
+    for x in lines._fetch(Rows(), Shared()):
+        for sig, w in zip(x.column(0).to_pylist(), x.column(1)):
+            got[sig % (1 << 64) ^ 1 << 63] = lines._words([w])[0].tolist()
+    assert len(want) > 20 and {k: got[k] for k in want} == want
+    assert sum(cut) < sum(len(t or "") for t in texts) // 10
+
+
+def test_words_at_edges_of_texts():
+    rng = random.Random(22)
+    for _ in range(500):
+        texts = ["".join(rng.choice("ab  \n\t.é") for _ in range(rng.choice([0, 0, 1, 2, 5, 9]))).encode() for _ in range(rng.randint(1, 6))]
+        offs = np.r_[0, np.cumsum([len(t) for t in texts])]
+        s, e = kernel.words(np.frombuffer(b"".join(texts), np.uint8), offs)
+        want = [(o + m.start(), o + m.end()) for o, t in zip(offs.tolist(), texts) for m in re.finditer(rb"[^\x20\x09-\x0d]+", t)]
+        assert list(zip(s.tolist(), e.tolist())) == want
