@@ -36,7 +36,7 @@ LENGTH, GRAM = 400, 48
 PASSAGE_BYTES, PASSAGE_WORDS = 280, 50  # what repeats at this size is reported, not removed
 CHUNK = 1 << 20
 BATCH = 1 << 20
-SEPARATOR = 0xFE  # no byte of UTF-8
+SEPARATOR, NONE = 0xFE, np.uint8(0xFF)  # no bytes of UTF-8
 SEGMENT = np.dtype([("gram", "<u8"), ("seg", "<u8"), ("doc", "<u8"), ("start", "<u4"), ("size", "<u4"), ("starts", "<u4")])
 SPAN = np.dtype([("doc", "<u8"), ("start", "<u4"), ("end", "<u4")])
 
@@ -85,21 +85,17 @@ class Minima:
 
     def __init__(self, x: np.ndarray):
         self.rows = [x]
-        k = 1
-        while 2 * k <= len(x):
-            y = self.rows[-1]
-            self.rows.append(np.minimum(y[:-k], y[k:]))
-            k *= 2
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        size = b - a + 1
-        k = np.frexp(size.astype(np.float64))[1] - 1
-        out = np.empty(len(a), np.uint16)
-        for level in np.flatnonzero(np.bincount(k)).tolist():
-            m = k == level
-            row = self.rows[level]
-            out[m] = np.minimum(row[a[m]], row[b[m] - (1 << int(level)) + 1])
-        return out
+        n = len(self.rows[0])
+        k = np.frexp((b - a + 1).astype(np.float64))[1].astype(np.int64) - 1
+        for level in range(len(self.rows), int(k.max(initial=0)) + 1):
+            half = 1 << (level - 1)
+            row = self.rows[-1].copy()  # the last places hold no whole range and are not asked for
+            np.minimum(row[: n - half], self.rows[-1][half:], out=row[: n - half])
+            self.rows.append(row)
+        flat = np.concatenate(self.rows) if len(self.rows) > 1 else self.rows[0]
+        return np.minimum(flat[k * n + a], flat[k * n + b + 1 - (1 << k)])
 
 
 class Sorter:
@@ -110,30 +106,40 @@ class Sorter:
         self.counts = counts  # which suffixes count; none: all
         self.last, self.gap, self.sums = None, 0, None
         n = len(text)
-        wide = np.r_[text, np.zeros(8, np.uint8)].astype(np.uint64)
-        self.w = np.zeros(n, np.uint64)  # eight bytes from each place
-        for k in range(8):
-            self.w |= wide[k : n + k] << U(56 - 8 * k)
+        self.w = np.r_[text, np.zeros(8, np.uint8)].astype(np.uint64)  # eight bytes from each place
+        for k in (1, 2, 4):
+            self.w = (self.w[:-k] << U(8 * k)) | self.w[k:]
+        self.w = self.w[:n]
         self.cap = length + 8
         self.best = np.zeros(n, np.uint16)  # longest common prefix with a neighbour, up to the cap
         less = np.zeros(n, bool)  # smaller-type: the suffix is below the next one
         if n > 1:
             differ = np.flatnonzero(text[:-1] != text[1:])
-            at = np.searchsorted(differ, np.arange(n - 1))
-            inside = at < len(differ)
-            where = differ[np.minimum(at, max(0, len(differ) - 1))] if len(differ) else np.zeros(n - 1, np.int64)
-            less[:-1] = inside & (text[where] < text[np.minimum(where + 1, n - 1)])
-        self.s = less
+            size = np.diff(np.r_[-1, differ])
+            less[: size.sum()] = np.repeat(text[differ] < text[differ + 1], size)
         star = less.copy()
         star[0] = False
         star[1:] &= ~less[:-1]
         self.star = np.flatnonzero(star)
+        # the byte before each place, where a scan up or down takes it; NONE is no byte of a text
+        before = np.r_[np.full(min(n, 1), NONE, np.uint8), text[:-1]]
+        kind = np.r_[False, less[:-1]][:n]
+        self.before = np.where(kind, before, NONE), np.where(kind, NONE, before)
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common prefixes of pairs of suffixes, up to the cap: by hashes of halving lengths
         down to 8 bytes, then by the bytes."""
         if len(a) > 1 << 15:
             return np.concatenate([self.common(a[x : x + (1 << 15)], b[x : x + (1 << 15)]) for x in range(0, len(a), 1 << 15)])
+        # most differ in the first eight bytes
+        n, diff = len(self.t), self.w[a] ^ self.w[b]
+        out = np.minimum(self._lead(diff), np.minimum(n - a, n - b))
+        k = np.flatnonzero(diff == 0)
+        if len(k):
+            out[k] = self._common(a[k], b[k])
+        return np.minimum(out, self.cap)
+
+    def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         n = len(self.t)
         if self.sums is None:
             self.sums = K.running(self.t)
@@ -150,7 +156,7 @@ class Sorter:
         k = np.flatnonzero(d < most)
         diff = self.w[a[k] + d[k]] ^ self.w[b[k] + d[k]]
         d[k] += np.where(diff == 0, 8, self._lead(diff))
-        return np.minimum(np.minimum(d, most), self.cap)
+        return np.minimum(d, most)
 
     @staticmethod
     def _lead(v: np.ndarray) -> np.ndarray:
@@ -190,16 +196,23 @@ class Sorter:
             live = live[tied & more[r]]
         # pairs of names until told apart or far enough
         step = 1
+        live = np.arange(m)
         while True:
-            tied = np.bincount(rank, minlength=m)[rank] > 1
-            reach = np.r_[p, np.full(step, n + self.cap)][step : step + m] - p
+            # names only part: who stands alone, or in a group read far enough, is done
+            r = rank[live]
+            tied = np.bincount(r, minlength=m)[r] > 1
+            live, r = live[tied], r[tied]
+            to = live + step
+            inside = to < m
+            reach = np.where(inside, p[np.minimum(to, m - 1)], n + self.cap) - p[live]
             # a group goes on while one of it has not been read far enough
             short = np.zeros(m + 1, bool)
-            short[rank[reach < self.cap]] = True
-            live = np.flatnonzero(tied & short[rank])
+            short[r[reach < self.cap]] = True
+            on = short[r]
+            live, to, inside = live[on], to[on], inside[on]
             if not len(live):
                 break
-            nxt = np.r_[rank, np.full(step, -1)][live + step] + 1
+            nxt = np.where(inside, rank[np.minimum(to, m - 1)], -1) + 1
             rank[live] = self._refine(rank[live], nxt.astype(np.uint64), True)
             step *= 2
         o = np.argsort(rank)
@@ -218,6 +231,10 @@ class Sorter:
             place = np.empty(len(o), np.uint64)
             place[o] = np.cumsum(np.r_[False, w[1:] != w[:-1]]) if len(o) else 0
             word = place
+            if len(o) and rank.min() == rank.max():
+                out = np.empty(len(o), np.int64)
+                out[o] = rank[0] + np.maximum.accumulate(np.where(np.r_[True, w[1:] != w[:-1]], np.arange(len(o)), 0))
+                return out
         key = (rank.astype(np.uint64) << U(32)) | word
         o = np.argsort(key)
         key = key[o]
@@ -233,11 +250,8 @@ class Sorter:
 
     def induce(self, pos, lcp, queues, used, carry, c, up: bool) -> None:
         """One batch of scanned suffixes of queue c: pushes the suffixes one byte before."""
-        before = pos - 1
-        ok = before >= 0
-        prev = np.where(ok, self.t[np.maximum(before, 0)], 0)
-        kind = self.s[np.maximum(before, 0)]
-        sel = np.flatnonzero(ok & (kind != up))
+        prev = self.before[up][pos]
+        sel = np.flatnonzero(prev != NONE)
         low = lcp.min() if len(lcp) else 0
         if not len(sel):
             np.minimum(carry, low, out=carry)
@@ -260,7 +274,7 @@ class Sorter:
             if not used[b]:
                 v[0] = 0
                 used[b] = True
-            queues[b].push(before[sel[x:y]], v)
+            queues[b].push(pos[sel[x:y]] - 1, v)
             last = int(sel[y - 1])
             carry[b] = lcp[last + 1 :].min() if last + 1 < len(lcp) else self.cap
 
@@ -391,10 +405,10 @@ def doc_key(ids: np.ndarray, nulls: np.ndarray, texts: np.ndarray) -> np.ndarray
     return K.mix(K.mix(ids.view(np.uint64) + nulls.astype(np.uint64) * U(0x9E3779B97F4A7C15)) ^ texts)
 
 
-def segments(buf: np.ndarray, offs: np.ndarray, length: int = PASSAGE_BYTES, gram: int = GRAM, reach: int = LENGTH):
+def segments(buf: np.ndarray, offs: np.ndarray, length: int = PASSAGE_BYTES, gram: int = GRAM, reach: int = LENGTH, sums: np.ndarray | None = None):
     """(row, first start, size in bytes, starts, anchor's hash, segment's hash) of a block. Anchors
     are those of the strings of ``length`` bytes; a segment goes on for ``reach`` bytes from
-    its last start, or to the end of the text."""
+    its last start, or to the end of the text. ``sums``: the running sums of buf, where known."""
     out = []
     rows = np.flatnonzero(np.diff(offs) >= length)
     if not len(rows):
@@ -405,7 +419,7 @@ def segments(buf: np.ndarray, offs: np.ndarray, length: int = PASSAGE_BYTES, gra
         piece = buf[lo : lo + CHUNK + reach - 1]
         if len(piece) < length:
             continue
-        c = K.running(piece)
+        c = sums if sums is not None and len(piece) == len(buf) else K.running(piece)
         _, inv = K.powers(len(c))
         h = K.mix((c[gram:] - c[:-gram]) * inv[: len(c) - gram])
         key = (h & ~U((1 << 24) - 1)) | np.arange(len(h), dtype=np.uint64)
@@ -416,19 +430,21 @@ def segments(buf: np.ndarray, offs: np.ndarray, length: int = PASSAGE_BYTES, gra
         if width < span:
             m = np.minimum(m[: len(m) - (span - width)], m[span - width :])
         m = m[: min(len(m), CHUNK)]
-        anchor = (m & U((1 << 24) - 1)).astype(np.int64)
-        start = np.arange(len(m)) + lo
-        row = np.searchsorted(offs, start, side="right") - 1
-        ok = start + length <= offs[row + 1]
-        k = np.flatnonzero(ok)
-        if not len(k):
+        # a segment ends where the anchor changes, a text begins, or no string of it begins any more
+        new = np.r_[True, m[1:] != m[:-1]]
+        for edge in (offs[:-1] - lo, offs[1:] - length + 1 - lo):
+            new[edge[(edge >= 0) & (edge < len(m))]] = True
+        first = np.flatnonzero(new)
+        last = np.r_[first[1:], len(m)] - 1
+        row = np.searchsorted(offs, first + lo, side="right") - 1
+        ok = first + lo + length <= offs[row + 1]
+        first, last, row = first[ok], last[ok], row[ok]
+        if not len(first):
             continue
-        new = np.r_[True, (anchor[k][1:] != anchor[k][:-1]) | (k[1:] != k[:-1] + 1) | (row[k][1:] != row[k][:-1])]
-        first = k[new]
-        last = np.r_[k[np.flatnonzero(new)[1:] - 1], k[-1]]
-        end = np.minimum(last + reach, offs[row[first] + 1] - lo)
+        anchor = (m[first] & U((1 << 24) - 1)).astype(np.int64)
+        end = np.minimum(last + reach, offs[row + 1] - lo)
         seg = K.spans_hash(c, first, end) + (end - first).astype(np.uint64)
-        out.append((row[first], first + lo - offs[row[first]], end - first, last - first + 1, h[anchor[first]], seg))
+        out.append((row, first + lo - offs[row], end - first, last - first + 1, h[anchor], seg))
     return [np.concatenate(x) for x in zip(*out)] if out else None
 
 
@@ -437,8 +453,9 @@ def _blocks(batches):
         nulls = b.column(0).is_null().to_numpy(zero_copy_only=False)
         ids = b.column(0).fill_null(0).to_numpy()
         for lo, hi, buf, offs in K.blocks(b.column(1)):
-            whole = K.spans_hash(K.running(buf), offs[:-1], offs[1:]) + np.diff(offs).astype(np.uint64)
-            yield doc_key(ids[lo:hi], nulls[lo:hi], whole), buf, offs
+            sums = K.running(buf)
+            whole = K.spans_hash(sums, offs[:-1], offs[1:]) + np.diff(offs).astype(np.uint64)
+            yield doc_key(ids[lo:hi], nulls[lo:hi], whole), buf, offs, sums
 
 
 def _met(rows: DataFrame, nb: int) -> DataFrame:
@@ -446,8 +463,8 @@ def _met(rows: DataFrame, nb: int) -> DataFrame:
 
     def run(batches):
         pack = K.Packer(nb)
-        for keys, buf, offs in _blocks(batches):
-            got = segments(buf, offs)
+        for keys, buf, offs, sums in _blocks(batches):
+            got = segments(buf, offs, sums=sums)
             if got:
                 row, start, size, starts, gram, seg = got
                 r = np.zeros(len(row), SEGMENT)
@@ -504,8 +521,8 @@ def _shards(rows: DataFrame, mixed_b, nb: int) -> DataFrame:
             k = list(held)
             return pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array([b"".join(held[x]) for x in k], pa.binary())], ["bucket", "payload"])
 
-        for keys, buf, offs in _blocks(batches):
-            got = segments(buf, offs)
+        for keys, buf, offs, sums in _blocks(batches):
+            got = segments(buf, offs, sums=sums)
             if not got:
                 continue
             row, start, length, starts, gram, seg = got

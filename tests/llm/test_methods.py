@@ -476,3 +476,45 @@ def test_words_at_edges_of_texts():
         s, e = kernel.words(np.frombuffer(b"".join(texts), np.uint8), offs)
         want = [(o + m.start(), o + m.end()) for o, t in zip(offs.tolist(), texts) for m in re.finditer(rb"[^\x20\x09-\x0d]+", t)]
         assert list(zip(s.tolist(), e.tolist())) == want
+
+
+def test_segments_hash_once(spark, monkeypatch):
+    """A block's bytes are hashed once, for its documents' names and its segments."""
+    _, text = maker(23)
+    texts = [text(n) for n in (0, 5, 60, 200, 90)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts)], ["doc_id", "text"])
+
+    class Rows:
+        def mapInArrow(self, fn, schema):
+            self.out = list(fn([batch]))
+            return self
+
+        def groupBy(self, key):
+            return self
+
+        def applyInArrow(self, fn, schema):
+            return self
+
+    hashed, running = [], kernel.running
+    monkeypatch.setattr(kernel, "running", lambda buf, *fold: hashed.append(len(buf)) or running(buf, *fold))
+    found = np.concatenate([kernel.unpack(pa.Table.from_batches([x]), suffix.SEGMENT) for x in suffix._met(Rows(), 4).out])
+    assert sum(hashed) == sum(map(len, texts))
+    # every place that a string of PASSAGE_BYTES starts at is in one segment
+    assert found["starts"].sum() == sum(max(0, len(t) - suffix.PASSAGE_BYTES + 1) for t in texts)
+
+
+def test_common_prefixes_of_pairs(monkeypatch):
+    """Only pairs with eight bytes in common are compared by hashes."""
+    rng = random.Random(24)
+    base = bytes(rng.choice(b"abcd") for _ in range(80))
+    whole = np.frombuffer(base + b"\xfe" + base[:50] + b"zz" + base[40:] + b"\xfe" + bytes(rng.choice(b"abcd") for _ in range(200)), np.uint8)
+    sorter = suffix.Sorter(whole, 30)
+    a, b = (np.array([rng.randrange(len(whole)) for _ in range(4000)]) for _ in range(2))
+    a, b = a[a != b], b[a != b]
+    a, b = np.r_[a, np.arange(40)], np.r_[b, np.arange(81, 121)]
+    data = whole.tobytes()
+    want = [min(len(os.path.commonprefix([data[x:], data[y:]])), sorter.cap) for x, y in zip(a.tolist(), b.tolist())]
+    hashed, slow = [], sorter._common
+    monkeypatch.setattr(sorter, "_common", lambda x, y: hashed.append(len(x)) or slow(x, y))
+    assert sorter.common(a, b).tolist() == want and max(want) == sorter.cap
+    assert sum(hashed) == sum(data[x : x + 8].ljust(8, b"\0") == data[y : y + 8].ljust(8, b"\0") for x, y in zip(a.tolist(), b.tolist()))
