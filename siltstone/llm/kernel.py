@@ -197,8 +197,9 @@ class Packer:
         b = np.concatenate([x for x, _ in self.parts])
         r = np.concatenate([x for _, x in self.parts])
         self.parts, self.size = [], 0
-        order = np.argsort(b, kind="stable")
-        b, r = b[order], r[order]
+        two = b.min() >= 0 and b.max() < 1 << 16  # two-byte values are sorted by their digits
+        order = np.argsort(b.astype(np.uint16) if two else b, kind="stable")
+        b, r = b[order], r.take(order, axis=0)  # take copies records whole, an index field by field
         cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
         ends = np.r_[cut[1:], len(b)]
         yield pa.RecordBatch.from_arrays([pa.array(b[cut].astype(np.int32)), pa.array([r[x:y].tobytes() for x, y in zip(cut, ends)], pa.binary())], ["bucket", "payload"])

@@ -182,13 +182,13 @@ def _levels_or_firsts(bucket: int, table: pa.Table, nb: int):
         yield packed(bucket - nb, np.clip(np.log2(np.maximum(total, 1.0)) * 8, 0, 255).astype(np.uint8).tobytes())
         return
     r = K.unpack(table, LINE)
-    r = r[np.lexsort((r["line"], r["tag"], r["doc_id"], r["sig"]))]
+    r = r.take(np.lexsort((r["line"], r["tag"], r["doc_id"], r["sig"])))
     new = np.r_[True, r["sig"][1:] != r["sig"][:-1]] if len(r) else np.zeros(0, bool)
-    f = r[new]
+    f = r.take(np.flatnonzero(new))
     m = len(f)
     yield pa.RecordBatch.from_arrays([pa.array(_signed(f["sig"])), pa.array(f["doc_id"].copy()), pa.array(f["tag"].astype(np.int64)), pa.array(f["line"].astype(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
     # rows that are equal in id and text share their first line
-    own = f[np.cumsum(new) - 1]
+    own = f.take(np.cumsum(new) - 1)
     same = (r["doc_id"] == own["doc_id"]) & (r["tag"] == own["tag"]) & (r["line"] == own["line"])
     late = np.zeros(int((~same).sum()), GONE)
     for c in GONE.names:
@@ -360,23 +360,30 @@ def _meet(bucket: int, p: np.ndarray, is_open: np.ndarray | None, top: int | Non
     """Pairs of a bucket's meetings, and the postings of those that have more to offer."""
     if not len(p):
         return
-    # one posting of each name in a meeting, with its least age
-    o = np.argsort((p["tok"] & ~U((1 << 24) - 1)) | (p["sig"] & U((1 << 24) - 1)))
-    p = p[o]
-    is_open = np.ones(len(p), bool) if is_open is None else is_open[o]
-    word = p["tok"] >> U(24)
-    first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (p["sig"][1:] != p["sig"][:-1])])
-    age = np.minimum.reduceat(p["age"], first)
-    p, is_open = p[first], is_open[first]
-    p["age"] = age
-    o = np.argsort(p["tok"])
-    p, is_open = p[o], is_open[o]
+    # one posting of each name in a meeting, with its least age; records move once, at the end
+    tok, sig = np.ascontiguousarray(p["tok"]), np.ascontiguousarray(p["sig"])
+    o = np.argsort((tok & ~U((1 << 24) - 1)) | (sig & U((1 << 24) - 1)))
+    word, sig = tok[o] >> U(24), sig[o]
+    first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (sig[1:] != sig[:-1])])
+    age = np.minimum.reduceat(p["age"][o], first)
+    word, o = word[first], o[first]
+    # a name alone meets none
+    met = np.r_[False, word[1:] == word[:-1]]
+    met[:-1] |= met[1:]
+    age, o = age[met], o[met]
+    if not len(o):
+        return
+    by = np.argsort(tok[o])
+    o = o[by]
+    is_open = np.ones(len(o), bool) if is_open is None else is_open[o]
+    p = p.take(o)
+    p["age"] = age[by]
     word, n, pos = _parts(p)
     cut = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
     size = np.diff(np.r_[cut, len(p)])
     small = np.repeat(size <= SMALL, size)
-    q = np.flatnonzero(small & np.repeat(size > 1, size))
-    found = _few(p[q], word[q], n[q], pos[q], num, den)
+    q = np.flatnonzero(small)
+    found = _few(p.take(q), word[q], n[q], pos[q], num, den)
     yield _pairs_batch(found)
     found, more, held = [], [], 0
     for lo, m in zip(cut[size > SMALL].tolist(), size[size > SMALL].tolist()):
