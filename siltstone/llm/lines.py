@@ -28,6 +28,7 @@ U = np.uint64
 CELLS = 1 << 22
 SMALL = 48  # meetings up to here offer all their pairs at once
 ROUNDS = (3, 48, None)  # partners that a line of a larger meeting offers, round by round
+HELD = 1 << 21  # pairs of meetings that are looked at together
 HOT = 14 * 8  # level from which a word is refined: it stands in about 2**14 lines or more
 FIRST = -(1 << 63)  # stands for a null doc_id: before all others
 POSTING = np.dtype([("tok", "<u8"), ("sig", "<u8"), ("m0", "<u8"), ("m1", "<u8"), ("age", "<u2")])  # tok: 40 bits of the word, 16 of the size, 8 of the place
@@ -263,87 +264,91 @@ def slack(na, nb, pa_, pb, differ, num: int, den: int):
     return np.where((na == CAP) | (nb == CAP), 0, spare)
 
 
-def _few(p, word, n, pos, num, den):
-    """(later, earlier) of all pairs of small meetings that pass; p by word, then size."""
-    out = []
-    live = np.arange(len(p))
-    d = 0
-    while len(live):
-        d += 1
-        live = live[live + d < len(p)]
-        live = live[(word[live] == word[live + d]) & (den * n[live] >= num * n[live + d])]
-        if not len(live):
-            break
-        i, j = live, live + d
-        differ = np.bitwise_count(p["m0"][i] ^ p["m0"][j]).astype(np.int64) + np.bitwise_count(p["m1"][i] ^ p["m1"][j])
-        ok = (slack(n[i], n[j], pos[i], pos[j], differ, num, den) >= 0) & (p["sig"][i] != p["sig"][j])
-        out.append(np.stack([p["sig"][i[ok]], p["sig"][j[ok]]], 1))
-    return out
+def _reach(n, pos, num: int, den: int) -> np.ndarray:
+    """Size of the largest partner that a posting's own size and place allow."""
+    most = np.minimum(den * n // num, (num + den) * (n - pos) // num - n)
+    return np.where(n == CAP, CAP, np.clip(most, 0, CAP))
+
 
+def _spans(count: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Successive parts of a column of counts that add up to ``most``, or of one row."""
+    ends = np.cumsum(count)
+    x = 0
+    while x < len(count):
+        y = max(x + 1, int(np.searchsorted(ends, (ends[x - 1] if x else 0) + most, side="right")))
+        yield x, y
+        x = y
 
-def _near(p, n, pos, rows, lo, hi, num, den):
+
+def _near(cols, rows, lo, hi, num, den):
     """(i, j, spare) of the pairs of ``rows`` with the places lo to hi (by row) that pass."""
-    m0, m1 = np.ascontiguousarray(p["m0"]), np.ascontiguousarray(p["m1"])
+    sig, m0, m1, n, pos = cols
+    some = hi > lo
+    rows, lo, hi = rows[some], lo[some], hi[some]
+    count = hi - lo
     top = n[hi - 1] + n[rows]
-    bound = np.minimum(top - 2 * need(top, 0, num, den), 255)  # no pair of the row may differ in more bits
+    bound = np.minimum(top * (den - num) // (num + den), 255)  # no pair of the row may differ in more bits (top - 2 * need would not grow with top)
     bound[(n[rows] == CAP) | (n[hi - 1] == CAP)] = 255
     bound = bound.astype(np.uint8)
-    out = []
-    step = max(1, (1 << 17) // max(1, int((hi - lo).max(initial=1))))
-    for x in range(0, len(rows), step):
-        y = min(x + step, len(rows))
-        low, high = int(lo[x:y].min()), int(hi[x:y].max())
-        i = rows[x:y]
-        differ = np.bitwise_count(m0[i][:, None] ^ m0[low:high])
-        differ += np.bitwise_count(m1[i][:, None] ^ m1[low:high])
-        r, c = np.nonzero(differ <= bound[x:y, None])
-        d = differ[r, c].astype(np.int64)
-        r, c = i[r], c + low
-        inside = (c >= lo[x:y][np.searchsorted(i, r)]) & (p["sig"][r] != p["sig"][c])
-        r, c, d = r[inside], c[inside], d[inside]
-        spare = slack(n[r], n[c], pos[r], pos[c], d, num, den)
-        ok = spare >= 0
-        out.append((r[ok], c[ok], spare[ok]))
-    return out
-
-
-def _many(p, n, pos, asks, top, num, den):
-    """Of one large meeting (by size): for each of ``asks`` its ``top`` likeliest earlier
-    partners (None: all); whose there are more."""
-    out, left = [], np.zeros(len(p), bool)
-    age = p["age"]
-
-    def offer(i, j, spare):
-        """i are later than j."""
-        if top is not None and len(i):
-            o = np.lexsort((-spare, i))
-            i, j = i[o], j[o]
-            head = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
-            size = np.diff(np.r_[head, len(i)])
-            left[i[head[size > top]]] = True
-            few = np.arange(len(i)) - np.repeat(head, size) < top
-            i, j = i[few], j[few]
-        out.append(np.stack([p["sig"][i], p["sig"][j]], 1))
-
-    hi_of = np.searchsorted(n, den * n // num, side="right")
-    if len(asks) == len(p) <= 2048:
-        # each pair once, from its smaller side
-        rows = np.arange(len(p) - 1)
-        rows = rows[hi_of[:-1] > rows + 1]
-        got = _near(p, n, pos, rows, rows + 1, hi_of[rows], num, den) if len(rows) else []
-        if got:
-            i, j, spare = (np.concatenate(x) for x in zip(*got))
-            a, b = age[i] >= age[j], age[j] >= age[i]
-            offer(np.r_[i[a], j[b]], np.r_[j[a], i[b]], np.r_[spare[a], spare[b]])
-        return out, left
-    lo_of = np.searchsorted(n, -(-num * n // den))
-    for x in range(0, len(asks), 256):
-        i = asks[x : x + 256]
-        got = _near(p, n, pos, i, lo_of[i], hi_of[i], num, den)
-        i, j, spare = (np.concatenate(x) for x in zip(*got))
+    out = [(np.zeros(0, np.int64),) * 3]
+    for x, y in _spans(count, 1 << 15):
+        c = count[x:y]
+        i = np.repeat(rows[x:y], c)
+        j = np.arange(len(i)) + np.repeat(lo[x:y] - (np.cumsum(c) - c), c)
+        differ = np.bitwise_count(m0[i] ^ m0[j])
+        differ += np.bitwise_count(m1[i] ^ m1[j])
+        ok = np.flatnonzero(differ <= np.repeat(bound[x:y], c))
+        i, j, d = i[ok], j[ok], differ[ok].astype(np.int64)
+        spare = slack(n[i], n[j], pos[i], pos[j], d, num, den)
+        ok = (spare >= 0) & (sig[i] != sig[j])
+        out.append((i[ok], j[ok], spare[ok]))
+    return [np.concatenate(x) for x in zip(*out)]
+
+
+def _likeliest(i, j, spare, top: int | None, left: np.ndarray):
+    """Of pairs (later, earlier) each later one's ``top`` likeliest (None: all); ``left``
+    gets whose there are more."""
+    if top is None or not len(i):
+        return i, j
+    o = np.argsort((i << 17) - np.minimum(spare, CAP))
+    i, j = i[o], j[o]
+    head = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+    size = np.diff(np.r_[head, len(i)])
+    left[i[head[size > top]]] = True
+    few = np.arange(len(i)) - np.repeat(head, size) < top
+    return i[few], j[few]
+
+
+def _offers(cols, age, cut, size, is_open, top, left, num, den):
+    """(i, j) of the pairs that meetings offer, part by part; postings are by meeting, then
+    size. Small meetings offer all; in others each open line its ``top`` likeliest earlier
+    partners."""
+    n, pos = cols[3], cols[4]
+    rank = np.repeat(np.arange(len(cut)) << 17, size)
+    by = rank | n
+    hi = np.searchsorted(by, rank | _reach(n, pos, num, den), side="right")
+    here = np.arange(len(n))
+    count = np.maximum(hi - here - 1, 0)
+    made = np.add.reduceat(count, cut)
+    # each pair once, from its smaller side, where a meeting's pairs can be held at once
+    whole = (size <= SMALL) | (np.logical_and.reduceat(is_open, cut) & (made <= HELD))
+    small = np.repeat(size <= SMALL, size)
+    once = np.flatnonzero(np.repeat(whole, size))
+    ends = np.cumsum(size[whole])
+    for x, y in _spans(made[whole], HELD):
+        r = once[ends[x - 1] if x else 0 : ends[y - 1]]
+        i, j, spare = _near(cols, r, r + 1, hi[r], num, den)
+        all_ = small[i]
+        yield i[all_], j[all_]
+        i, j, spare = i[~all_], j[~all_], spare[~all_]
+        a, b = age[i] >= age[j], age[j] >= age[i]
+        yield _likeliest(np.r_[i[a], j[b]], np.r_[j[a], i[b]], np.r_[spare[a], spare[b]], top, left)
+    asks = np.flatnonzero(np.repeat(~whole, size) & is_open)
+    lo = np.searchsorted(by, rank[asks] | -(-num * n[asks] // den))
+    for x, y in _spans(np.maximum(hi[asks] - lo, 0), HELD):
+        i, j, spare = _near(cols, asks[x:y], lo[x:y], hi[asks[x:y]], num, den)
         late = age[i] >= age[j]
-        offer(i[late], j[late], spare[late])
-    return out, left
+        yield _likeliest(i[late], j[late], spare[late], top, left)
 
 
 NAMES = ["a", "b", "bucket", "payload"]
@@ -381,28 +386,22 @@ def _meet(bucket: int, p: np.ndarray, is_open: np.ndarray | None, top: int | Non
     word, n, pos = _parts(p)
     cut = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
     size = np.diff(np.r_[cut, len(p)])
-    small = np.repeat(size <= SMALL, size)
-    q = np.flatnonzero(small)
-    found = _few(p.take(q), word[q], n[q], pos[q], num, den)
-    yield _pairs_batch(found)
-    found, more, held = [], [], 0
-    for lo, m in zip(cut[size > SMALL].tolist(), size[size > SMALL].tolist()):
-        x = slice(lo, lo + m)
-        pairs, left = _many(p[x], n[x], pos[x], np.flatnonzero(is_open[x]), top, num, den)
-        found += pairs
-        held += sum(len(y) for y in pairs)
-        if left.any():
-            rec = np.zeros(m, OPENED)
-            rec["p"], rec["open"] = p[x], left
-            more.append(rec)
+    cols = (*(np.ascontiguousarray(p[c]) for c in ("sig", "m0", "m1")), n, pos)
+    left = np.zeros(len(p), bool)
+    found, held = [], 0
+    for i, j in _offers(cols, age[by].astype(np.int64), cut, size, is_open, top, left, num, den):
+        found.append(np.stack([cols[0][i], cols[0][j]], 1))
+        held += len(i)
         if held > 500_000:
             yield _pairs_batch(found)
             found, held = [], 0
     yield _pairs_batch(found)
-    if more:
-        rec = np.concatenate(more)
-        for x in range(0, len(rec), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([bucket], pa.int32()), pa.array([rec[x : x + (1 << 16)].tobytes()], pa.binary())], NAMES)
+    more = np.flatnonzero(np.repeat(np.logical_or.reduceat(left, cut), size))
+    for x in range(0, len(more), 1 << 16):
+        y = more[x : x + (1 << 16)]
+        rec = np.zeros(len(y), OPENED)
+        rec["p"], rec["open"] = p.take(y), left[y]
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([bucket], pa.int32()), pa.array([rec.tobytes()], pa.binary())], NAMES)
 
 
 OPENED = np.dtype([("p", POSTING), ("open", "?")])

@@ -543,3 +543,69 @@ def test_packer_moves_records_whole():
 
         if most == 16:
             assert least_cpu(packed) < 0.8 * least_cpu(plain)
+
+
+def test_lines_of_odd_sizes_meet(spark):
+    """Two lines of seven words linked by six, which meet at one word with 60 lines of eight
+    at most: the bit bound of the largest partner (15 words in all) is below theirs (14)."""
+    rng = random.Random(27)
+    common = [f"c{i}" for i in range(400)]
+    rare = "w"
+    pair = [[rare, *common[:5], "x"], [rare, *common[:5], "y"]]
+    rows = [[rare, *rng.sample(common[5:], n)] for n in (6, 7) for _ in range(30)]
+    fill = [common[i : i + 4] + common[j : j + 4] for i in range(0, 400, 4) for j in rng.sample(range(0, 400, 4), 75) if j != i]
+    rows = [(i, " ".join(x)) for i, x in enumerate([*fill, *rows, *pair])]
+    sets = {}
+    for i, x in rows:
+        sets.setdefault(frozenset(x.split()), i)
+    holders = collections.defaultdict(list)
+    for s in sets:
+        for w in s:
+            holders[w].append(s)
+    gone = {s for s in sets for v in {v for w in s for v in holders[w]} if sets[v] < sets[s] and 100 * len(v & s) >= 75 * len(v | s)}
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(sets[frozenset(x.split())] != i or frozenset(x.split()) in gone) for i, x in rows}
+    assert got[len(rows) - 1] == 1 and got[len(rows) - 2] == 0
+
+
+def test_meetings_offer_what_passes():
+    """All pairs that the filters let through, in meetings of many sizes, at little cost."""
+    rng = np.random.default_rng(28)
+    sizes = [*rng.integers(2, 300, 400).tolist(), 3000]
+    word = np.repeat(np.arange(1, len(sizes) + 1), sizes).astype(np.uint64)
+    m = len(word)
+    n = rng.integers(4, 60, m)
+    n[rng.integers(0, m, 40)] = lines.CAP
+    pos = (rng.random(m) * (n // 4 + 1)).astype(np.int64)
+    p = np.zeros(m, lines.POSTING)
+    p["tok"] = word << np.uint64(24) | n.astype(np.uint64) << np.uint64(8) | np.minimum(pos, lines.PLACES).astype(np.uint64)
+    p["sig"] = rng.integers(0, 1 << 62, m).astype(np.uint64) << np.uint64(1)
+    p["m0"], p["m1"] = (np.uint64(1) << rng.integers(0, 64, (2, m)).astype(np.uint64)) * (rng.random((2, m)) < 0.7)
+    p["age"] = rng.integers(0, 1 << 16, m)
+
+    def meet(top=None):
+        return list(lines._meet(0, rng.permutation(p), None, top, 75, 100))
+
+    def pairs(batches):
+        return {(a, b) for x in batches for a, b, k in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), x.column(2).to_pylist()) if k is None}
+
+    def plain():
+        out = []
+        for k in range(1, len(sizes) + 1):
+            q = p[word == k]
+            _, n, pos = lines._parts(q)
+            for x in range(0, len(q), 256):
+                differ = (np.bitwise_count(q["m0"][x : x + 256, None] ^ q["m0"]) + np.bitwise_count(q["m1"][x : x + 256, None] ^ q["m1"])).astype(np.int64)
+                spare = lines.slack(n[x : x + 256, None], n, pos[x : x + 256, None], pos, differ, 75, 100)
+                i, j = np.nonzero((spare >= 0) & (100 * np.minimum(n[x : x + 256, None], n) >= 75 * np.maximum(n[x : x + 256, None], n)))
+                out.append(np.stack([q["sig"][i + x], q["sig"][j]], 1))
+        out = np.concatenate(out)
+        return kernel.distinct_pairs(out[out[:, 0] != out[:, 1]])
+
+    want = lines._signed(plain())
+    got = pairs(meet())
+    assert got == {tuple(x) for x in want.tolist()} and len(got) > 10_000
+    # few partners at first: no others than these, and whose are more are open
+    some = meet(3)
+    assert pairs(some) < got and any(x.column(2).null_count == 0 for x in some if len(x))
+    assert least_cpu(lambda: meet(3), 3) < 0.35 * least_cpu(plain, 2)
