@@ -120,14 +120,14 @@ def words(buf: np.ndarray, offs: np.ndarray, gap: np.ndarray = SPACE) -> tuple[n
     """(starts, ends) of the words of a block: runs of bytes without gaps; texts' edges end words."""
     if not len(buf):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    ink = ~gap[buf]
+    ink = (buf != 32) & (buf - np.uint8(9) > 4) if gap is SPACE else ~gap[buf]
     # starts and ends in turn; a text's edge inside a run ends one word and starts another
     edge = np.flatnonzero(ink[1:] != ink[:-1]) + 1
     inner = offs[(offs > 0) & (offs < len(buf))]
     inner = inner[ink[inner] & ink[inner - 1]]
     if len(inner):
-        inner = distinct(inner)
-        edge = np.sort(np.r_[edge, inner, inner])
+        inner = np.repeat(distinct(inner), 2)
+        edge = np.insert(edge, np.searchsorted(edge, inner), inner)
     edge = np.r_[np.zeros(int(ink[0]), np.int64), edge, np.full(int(ink[-1]), len(buf))]
     return edge[::2], edge[1::2]
 

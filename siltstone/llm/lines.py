@@ -19,12 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from siltstone.llm import kernel as K, store
 
-U = np.uint64
+U, U32 = np.uint64, np.uint32
 CELLS = 1 << 22
 SMALL = 48  # meetings up to here offer all their pairs at once
 ROUNDS = (3, 48, None)  # partners that a line of a larger meeting offers, round by round
@@ -142,15 +143,14 @@ def _first_pass(rows: DataFrame, nb: int) -> DataFrame:
     the counts of the sketch's cells."""
 
     def run(batches):
-        pack, counts, met = K.Packer(nb), np.zeros(CELLS, np.uint32), Met()
+        pack, counts, met = K.Packer(nb), np.zeros(CELLS, U32), Met()
         for ids, ls in _blocks(batches):
             rec = np.zeros(len(ls.n), LINE)
             rec["sig"], rec["doc_id"], rec["tag"], rec["line"] = ls.sig, ids[ls.row], ls.tag, ls.no
             yield from pack.add(K.bucket_of(ls.sig, nb), rec)
             pick = np.zeros(len(ls.n), bool)
             pick[met.fresh(ls.sig, np.zeros(len(ls.n), np.int64))] = True
-            at, n = K.counted(cell(ls.words[np.repeat(pick, ls.n)]))
-            counts[at] += n.astype(np.uint32)
+            np.add.at(counts, cell(ls.words[np.repeat(pick, ls.n)]), U32(1))
         yield from pack.close()
         at = np.flatnonzero(counts)
         part = CELLS // K.SKETCH_CHUNKS
@@ -506,25 +506,26 @@ def _verified(rows: DataFrame, firsts: DataFrame, pairs: DataFrame, num: int, de
     return out
 
 
-def _spread(batches):
-    """Postings that wait for another round, as rows."""
+def _asking(batches):
+    """Names of open lines among the postings that wait for another round."""
     for b in batches:
         for bucket, x in zip(b.column("bucket").to_pylist(), b.column("payload")):
             r = np.frombuffer(x.as_buffer(), OPENED)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(r), bucket, np.int32)), pa.array(_signed(r["p"]["sig"])), pa.array([r[i : i + 1].tobytes() for i in range(len(r))], pa.binary()), pa.array(r["open"])],
-                ["bucket", "sig", "rec", "asks"],
-            )
+            sig = K.distinct(r["p"]["sig"][r["open"]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), bucket, np.int32)), pa.array(_signed(sig))], ["bucket", "sig"])
 
 
 def _again(met: DataFrame, gone: DataFrame, top: int | None, num: int, den: int) -> DataFrame:
     """The next round: open lines of the waiting meetings offer more partners."""
-    waiting = met.where("bucket IS NOT NULL").select("bucket", "payload").mapInArrow(_spread, "bucket int, sig bigint, rec binary, asks boolean")
-    marked = waiting.join(gone.select("sig", F.lit(True).alias("g")), "sig", "left").select("bucket", "rec", (F.col("asks") & F.col("g").isNull()).alias("asks"))
+    waiting = met.where("bucket IS NOT NULL").select("bucket", "payload")
+    closed = waiting.mapInArrow(_asking, "bucket int, sig bigint").join(gone, "sig", "left_semi")
+    marked = waiting.withColumn("sig", F.lit(None).cast("bigint")).unionByName(closed.withColumn("payload", F.lit(None).cast("binary")))
 
     def run(bucket, table):
-        r = np.frombuffer(b"".join(table.column("rec").to_pylist()), OPENED)
-        yield from _meet(bucket, r["p"].copy(), table.column("asks").to_numpy(zero_copy_only=False).astype(bool), top, num, den)
+        r = K.unpack(table.select(["payload"]).drop_null(), OPENED)
+        sig = table.column("sig").drop_null().to_numpy()
+        p = r["p"].copy()
+        yield from _meet(bucket, p, r["open"] & ~np.isin(_signed(p["sig"]), sig), top, num, den)
 
     return K.exchange(marked, run, MET)
 
@@ -615,8 +616,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
                     tag = np.concatenate(tags).astype(np.int64) if tags else np.zeros(0, np.int64)
                     yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tag)], [*b.schema.names, held[1]])
                 else:
-                    n = [0 if t is None else t.count("\n") + 1 for t in b.column(at).to_pylist()]
-                    yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64()), pa.array(np.zeros(len(n), np.int64))], [*b.schema.names[:-1], *names])
+                    n = pc.fill_null(pc.add(pc.count_substring(b.column(at), "\n").cast(pa.int64()), 1), 0)
+                    yield pa.RecordBatch.from_arrays([*b.columns[:-1], n, pa.array(np.zeros(len(n), np.int64))], [*b.schema.names[:-1], *names])
 
         return run
 

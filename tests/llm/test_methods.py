@@ -609,3 +609,20 @@ def test_meetings_offer_what_passes():
     some = meet(3)
     assert pairs(some) < got and any(x.column(2).null_count == 0 for x in some if len(x))
     assert least_cpu(lambda: meet(3), 3) < 0.35 * least_cpu(plain, 2)
+
+
+def test_words_of_blocks():
+    """Words as a plain scan finds them, for less than a sort of their edges costs."""
+    rng = np.random.default_rng(29)
+    for _ in range(300):
+        buf = rng.choice(np.array([8, 9, 10, 11, 12, 13, 14, 31, 32, 33, 97, 160, 255], np.uint8), rng.integers(0, 60))
+        offs = np.sort(np.r_[0, rng.integers(0, len(buf) + 1, rng.integers(0, 8)), len(buf)])
+        want = [(x + m.start(), x + m.end()) for x, y in zip(offs[:-1].tolist(), offs[1:].tolist()) for m in re.finditer(rb"[^\x20\x09-\x0d]+", buf[x:y].tobytes())]
+        for gap in (kernel.SPACE, kernel.SPACE.copy()):
+            s, e = kernel.words(buf, offs, gap)
+            assert list(zip(s.tolist(), e.tolist())) == want
+    buf = rng.choice(np.array([32, 97, 98, 99, 100, 101], np.uint8), kernel.BLOCK)
+    offs = np.arange(0, len(buf) + 1, 1 << 13)
+    s, e = kernel.words(buf, offs)
+    edge = rng.permutation(np.r_[s, e])
+    assert least_cpu(lambda: kernel.words(buf, offs), 20) < 0.65 * least_cpu(lambda: (np.sort(edge), kernel.SPACE[buf], np.flatnonzero(buf == 32)), 20)
