@@ -6,7 +6,7 @@ with U+001C-001F, letters without combining marks, decimal digits of any script.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 WS = r"(?U)[\s\x1c-\x1f]+"
@@ -54,6 +54,21 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, WS), lambda x: x != "")
 
 
+#: rows and bytes that an Arrow function gets at once: texts may be long
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def batched(column: Column) -> Column:
+    """column, after the session's Arrow batches are bounded (smaller settings stay)."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+            own = (spark.conf.get(f"spark.sql.execution.arrow.{name}", None) or "").rstrip("b")
+            if not own.isdigit() or not 0 < int(own) <= most:
+                spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+    return column
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row, also where body uses it per element."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -85,9 +100,14 @@ def _nfc(s):
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+#: below U+0300 nothing decomposes under NFC, combines or is the second of a pair
+COMBINES = r"[\x{300}-\x{10FFFF}]"
+
+
 def nfc(text: Column) -> Column:
-    """NFC; pure ASCII never goes to Python."""
-    return F.when(F.octet_length(text) == F.length(text), text).otherwise(_nfc(text))
+    """NFC; a text without COMBINES is never sent to Python (the function gets null for it,
+    as a branch alone does not keep it from being called)."""
+    return F.coalesce(batched(_nfc(F.when(text.rlike(COMBINES), text))), text)
 
 
 def normalize(text: Column, policy: str = "nfc") -> Column:
@@ -99,16 +119,23 @@ def normalize(text: Column, policy: str = "nfc") -> Column:
 
 
 def mask_contacts(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, EMAIL, "[email]"), PHONE, "[phone]")
+    """E-mails and phone numbers as marks; most texts hold neither sign nor digits of one."""
+    t = let(text, lambda t: F.when(F.contains(t, F.lit("@")), F.regexp_replace(t, EMAIL, "[email]")).otherwise(t))
+    return let(t, lambda t: F.when(t.rlike(r"\p{Nd}(?:[ -]?\p{Nd}){8}"), F.regexp_replace(t, PHONE, "[phone]")).otherwise(t))
 
 
 def letters(text: Column, script: str) -> Column:
-    return count(text, rf"[\p{{L}}&&[{SCRIPTS[script]}]]")
+    """By the runs of letters that go, which are fewer than the letters."""
+    return let(text, lambda t: _letters(t, SCRIPTS[script]))
+
+
+def _letters(t: Column, chars: str) -> Column:
+    return (F.length(t) - F.length(F.regexp_replace(t, rf"[\p{{L}}&&[{chars}]]+", ""))).cast("long")
 
 
 def known_letters(text: Column) -> Column:
     """Letters of any script the gate knows, in one pass."""
-    return count(text, rf"[\p{{L}}&&[{KNOWN}]]")
+    return let(text, lambda t: _letters(t, KNOWN))
 
 
 def top_script(text: Column) -> Column:
@@ -138,7 +165,8 @@ def profile(text: Column) -> dict[str, Column]:
 
 def repetition(text: Column) -> Column:
     """Distinct over all word pairs; null with fewer than two words."""
-    return let(words(text), lambda w: F.when(F.size(w) >= 2, F.size(F.array_distinct(_grams(w, 2))) / (F.size(w) - 1)))
+    pairs = lambda w: F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    return let(words(text), lambda w: F.when(F.size(w) >= 2, F.size(F.array_distinct(pairs(w))) / (F.size(w) - 1)))
 
 
 # fixed values: what is taken out of wikitext, in this order; templates three levels deep
@@ -220,7 +248,7 @@ def _blake(s):
 
 def blake(text: Column) -> Column:
     """blake2b digests of 16 bytes (documents) and 8 bytes (lines), as hex."""
-    return _blake(text)
+    return batched(_blake(text))
 
 
 def trim_text(text: Column, most: int) -> Column:
@@ -267,4 +295,4 @@ def _chunked(s):
 
 def documents_of(text: Column) -> Column:
     """Array of the documents of a text."""
-    return _chunked(text)
+    return batched(_chunked(text))

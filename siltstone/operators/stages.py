@@ -136,7 +136,7 @@ def found_grams(docs: DataFrame, suite: DataFrame, item: str = "item_id", text:
     def find(texts: pd.Series) -> pd.Series:
         return texts.map(Finder.of(shared, n).find)
 
-    hits = docs.select("doc_id", F.explode(find(F.col(text))).alias("g")).select("doc_id", "g.*")
+    hits = docs.select("doc_id", F.explode(T.batched(find(F.col(text)))).alias("g")).select("doc_id", "g.*")
     return hits.join(F.broadcast(owner), "gram").select("doc_id", "pos", "gram", "item")
 
 
@@ -207,7 +207,7 @@ def found_passages(docs: DataFrame, suite: DataFrame, least: int, most: int, ite
 
         return texts.map(one)
 
-    return docs.select("doc_id", F.explode(find(F.col(text))).alias("g")).select("doc_id", "g.*")
+    return docs.select("doc_id", F.explode(T.batched(find(F.col(text)))).alias("g")).select("doc_id", "g.*")
 
 
 def line_counts(docs: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -213,7 +213,7 @@ def decode_bpe(rows: DataFrame, merges: Merges, specials: tuple[str, ...] = (),
     def decode(s: pd.Series) -> pd.Series:
         return s.map(lambda ids: bpe.decode(list(ids)))
 
-    return rows.select(key, decode("ids").alias("text"))
+    return rows.select(key, T.batched(decode("ids")).alias("text"))
 
 
 #: GPT-2-style pre-tokens: a white space before a run of letters or of digits belongs to the run

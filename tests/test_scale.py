@@ -1,8 +1,12 @@
 """Steps whose cost or result once depended on the size of the table."""
 
+import re
+import unicodedata
+
 from pyspark.sql import functions as F
 
-from siltstone.operators import evaluation as E
+from siltstone.functions import html as H, text as T
+from siltstone.operators import evaluation as E, neardup, slices, stages
 
 
 def test_leakage_reads_all_of_train(spark):
@@ -14,3 +18,63 @@ def test_leakage_reads_all_of_train(spark):
     assert got == {9000: (False, True), 9001: (False, False), 9002: (False, False)}
     same = E.leakage(more, spark.createDataFrame([(1, "en", "abc defg h"), (2, "en", "abcdef gh")], "doc_id long, lang string, text string"))
     assert {r.doc_id: (r.exact, r.overlap) for r in same.collect()} == {1: (False, True), 2: (True, True)}
+
+
+def test_arrow_batches_are_bounded(spark):
+    rows, size = (f"spark.sql.execution.arrow.{x}" for x in ("maxRecordsPerBatch", "maxBytesPerBatch"))
+    d = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
+    for made in (lambda: T.nfc(F.col("text")), lambda: H.rendered(F.col("text")), lambda: H.strict_text(F.col("text")), lambda: stages.suite_hits(d, d.withColumnRenamed("doc_id", "item_id")), lambda: neardup.clusters(d.withColumn("lang", F.lit("x")))):
+        spark.conf.set(rows, "10000")
+        spark.conf.set(size, "67108864")
+        made()
+        assert (int(spark.conf.get(rows)), int(spark.conf.get(size).rstrip("b"))) == (T.BATCH_ROWS, T.BATCH_BYTES)
+    spark.conf.set(rows, "10")
+    T.nfc(F.col("text"))
+    assert spark.conf.get(rows) == "10"
+    spark.conf.unset(rows)
+
+
+def test_composed_texts_stay_out_of_python(spark):
+    assert all(unicodedata.is_normalized("NFC", chr(i) + chr(j)) for i in range(0x300) for j in (0x41, 0x61, 0xE9, i))
+    rows = ["plain", "é", "e\u0301a\u030a", "\u1112\u1161\u11ab", "\u0958", "", None, "\u212b", "“x”", "\U0001d15e"]
+    d = spark.createDataFrame(list(enumerate(rows)), "id int, text string").select("id", T.nfc(F.col("text")).alias("n"))
+    assert {r.id: r.n for r in d.collect()} == {i: x if x is None else unicodedata.normalize("NFC", x) for i, x in enumerate(rows)}
+    sent = re.search(r"_nfc\((.*)\)#", d._jdf.queryExecution().optimizedPlan().toString())[1]
+    assert sent.startswith("CASE WHEN RLIKE")  # null for texts that cannot change
+
+
+def test_counts_by_runs(spark):
+    rows = ["abc DEF 12 é कख", "", None, "a@b.co +91 98765 43210 987-65", "tel 98765 43210, x@y", "1234567890", "11.1234567890 \u0967\u0968 a a a a", "one"]
+    d = spark.createDataFrame(list(enumerate(rows)), "id int, text string")
+    x = F.col("text")
+    pairs = F.transform(F.sequence(F.lit(1), F.size(T.words(x)) - 1), lambda k: F.array_join(F.slice(T.words(x), k, 2), " "))
+    plain = [T.count(x, rf"[\p{{L}}&&[{T.KNOWN}]]"), T.count(x, rf"[\p{{L}}&&[{T.SCRIPTS['devanagari']}]]"), F.regexp_replace(F.regexp_replace(x, T.EMAIL, "[email]"), T.PHONE, "[phone]"), F.when(F.size(T.words(x)) >= 2, F.size(F.array_distinct(pairs)) / (F.size(T.words(x)) - 1))]
+    for a, b in zip([T.known_letters(x), T.letters(x, "devanagari"), T.mask_contacts(x), T.repetition(x)], plain):
+        assert d.where(~a.eqNullSafe(b)).count() == 0
+
+
+def test_documents_meet_their_own_hot_lines(spark):
+    rows = [(i, "x", "en", f"only {i}\nshared {i // 2}\n tail ") for i in range(40)] + [(40, "y", "en", "only 0\nshared 0\n tail "), (40, "y", "en", "only 0\nshared 0\n tail "), (41, "z", "en", None)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    c = slices.clean_lines(d, {"en": "latin"}, 2)
+    got = sorted((r.doc_id, r.body, r.boilerplate_lines) for r in c.where("text IS NOT NULL").collect())
+    assert got == [(i, f"only {i}", 2) for i in range(40)] + [(40, "", 3)] * 2 and c.count() == 43
+    # no array of a whole file's lines is made: hot lines are gathered by file and text
+    plan = c._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate \[source#\d+\], ", plan) and re.search(r"Aggregate \[source#\d+, __t#\d+L?\], ", plan)
+
+
+def test_words_that_the_signer_remembers(spark):
+    s = neardup.Signer()
+    texts = [" ".join(f"w{i}" for i in range(k * 1000, k * 1000 + 1000)) for k in range(200)]
+    assert s.sign(texts + texts[:1])[200] == s.sign(texts[:1])[0] and len(s.crc) <= (1 << 16) + 1000
+
+
+def test_bands_carry_no_signatures(spark, monkeypatch):
+    made = {}
+    keep = neardup.tables.stored
+    monkeypatch.setattr(neardup.tables, "stored", lambda df, name: made.setdefault(name, keep(df, name)))
+    base = [f"w{i}" for i in range(120)]
+    d = spark.createDataFrame([(1, "en", " ".join(base)), (2, "en", " ".join(base[:-1] + ["z"])), (3, "en", " ".join(f"v{i}" for i in range(99))), (4, "de", " ".join(base)), (5, "en", "a b")], "doc_id long, lang string, text string")
+    assert {r.doc_id: r.root for r in neardup.clusters(d).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    assert [tuple(r) for r in made["neardup-edges"].collect()] == [("en", 2, 1)]
