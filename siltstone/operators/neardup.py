@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from siltstone.functions import text as T
+from siltstone.sources import tables
+
 PERMS, BANDS, ROWS, LEAST = 128, 16, 8, 0.8  # fixed values of the operator
 MULT = 1_000_003
 
@@ -23,7 +26,8 @@ class Signer:
     """Signatures of many texts at a time: the words of a batch lie in one array, a word is
     hashed once, and each permutation takes its minima over all texts in one pass."""
 
-    BATCH = 1 << 18  # words at a time, or one text
+    BATCH = 1 << 16  # words at a time, or one text
+    KNOWN = 1 << 16  # words whose hashes are remembered
 
     def __init__(self):
         self.a, self.b = _params()
@@ -31,7 +35,7 @@ class Signer:
 
     def words(self, text: str) -> list[int]:
         known, crc = self.crc, zlib.crc32
-        if len(known) > 1_000_000:
+        if len(known) > self.KNOWN:
             known.clear()
         out = []
         for w in text.split():
@@ -87,14 +91,21 @@ def _signatures(s: pd.Series) -> pd.Series:
 def clusters(docs: DataFrame, by: str = "lang", row: str = "doc_id") -> DataFrame:
     """(by, row, root): each member is compared with the least row of each of its buckets;
     agreement of LEAST links them, transitively over bands. Roots settle by alternating
-    star steps, whose rounds grow with the logarithm of a chain's length."""
-    sig = docs.select(by, row, _signatures("text").alias("sig")).where("sig IS NOT NULL")
+    star steps, whose rounds grow with the logarithm of a chain's length.
+
+    Signatures are written once; bands meet by name alone, and a signature only travels to
+    the pairs that share a band. Rows of one name count as one each."""
+    sig = docs.select(by, row, T.batched(_signatures("text")).alias("sig")).where("sig IS NOT NULL")
+    sig = tables.stored(sig.withColumn("__id", F.monotonically_increasing_id()), "neardup-signatures")
     bands = F.array(*[F.xxhash64(F.lit(b), F.slice("sig", b * ROWS + 1, ROWS)) for b in range(BANDS)])
-    keyed = sig.select(by, row, "sig", F.explode(bands).alias("band"))
-    heads = keyed.groupBy(by, "band").agg(F.min(F.struct(row, "sig")).alias("head"))
-    pairs = keyed.join(heads, [by, "band"]).where(F.col(f"head.{row}") < F.col(row))
-    agree = F.size(F.filter(F.zip_with("sig", "head.sig", lambda x, y: x == y), lambda x: x)) / PERMS
-    edges = pairs.where(agree >= LEAST).select(by, F.col(row).alias("u"), F.col(f"head.{row}").alias("v")).distinct()
+    keyed = sig.select(by, F.struct(row, *[F.col("sig")[k].alias(f"s{k}") for k in range(3)], "__id").alias("at"), F.explode(bands).alias("band"))
+    heads = keyed.groupBy(by, "band").agg(F.min("at").alias("head"))
+    pairs = keyed.join(heads, [by, "band"]).where(F.col(f"head.{row}") < F.col(f"at.{row}"))
+    pairs = pairs.select(F.col("at.__id").alias("__id"), F.col("head.__id").alias("__head")).distinct()
+    one = sig.select("__id", by, F.col(row).alias("u"), "sig")
+    two = sig.select(F.col("__id").alias("__head"), F.col(row).alias("v"), F.col("sig").alias("own"))
+    agree = F.size(F.filter(F.zip_with("sig", "own", lambda x, y: x == y), lambda x: x)) / PERMS
+    edges = tables.stored(pairs.join(two, "__head").join(one, "__id").where(agree >= LEAST).select(by, "u", "v").distinct(), "neardup-edges")
     cur = edges.groupBy(by, "u").agg(F.min("v").alias("v"))
     links = edges.join(cur.select(by, "u", F.col("v").alias("m")), [by, "u"])
     # rows under one member are linked with its least one

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -20,6 +22,16 @@ def parquet_rows(spark: SparkSession, path: str, columns: tuple[str, ...] = ("do
     return out.withColumn("text", F.coalesce("text", F.lit(""))) if "text" in columns else out
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder (``spark.checkpoint.dir``) and read back, for
+    tables that several parts of a plan read."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file:///tmp/siltstone-shared"
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def jsonl(spark: SparkSession, path: str) -> DataFrame:
     """One document a line, plain or gzip."""
     return spark.read.schema(JSONL).json(path)
