@@ -1,7 +1,7 @@
 """The slice build: line rules, script markers and the cascade of removal reasons.
 
-Lines are cleaned inside their document's row; the only shuffles are the counts of
-repeated lines by file and the joins of ids and hashes.
+Lines are cleaned inside their document's row; shuffles are those of single lines with the
+counts by file, of texts with their own hot lines, and of ids and hashes.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators import stages as S
+from siltstone.sources import tables
 
 #: removal reasons in the order they are tested
 REASONS = (
@@ -54,31 +55,22 @@ def foreign(line: Column, script: str) -> Column:
     return line.rlike(r"\p{L}") & ~has_letter(line, script)
 
 
-def hot_lines(docs: DataFrame, least: int = 100, by: str = "source") -> DataFrame:
-    """(by, hot): the stripped lines seen ``least`` times or more in their file, as an
-    array. Lines are counted with map-side sums; the array of a file has at most
-    (lines of the file) / ``least`` entries."""
-    n = S.line_counts(docs, [by]).where(F.col("n") >= least)
-    return n.groupBy(by).agg(F.collect_list("line").alias("hot"))
-
-
-BROADCAST = 64 << 20  # bytes of hot lines that may go to every executor
-
-
 def clean_lines(docs: DataFrame, scripts: dict[str, str], least: int = 100, by: str = "source", lang: str = "lang") -> DataFrame:
     """docs with body (the cleaned text), boilerplate_lines, boilerplate_chars,
     foreign_lines and foreign_chars.
 
     Every line is stripped. A line seen ``least`` times in its file goes, else a foreign
-    one; runs of blank lines become one, outer ones go. Hot lines meet their documents
-    line by line through an array of the file's hot lines, which is joined by file.
+    one; runs of blank lines become one, outer ones go. Lines meet the hot ones of their
+    file by hash join; a document gets an array of its own hot lines only, so its cost does
+    not follow the number of hot lines of the file. Texts are named by a hash: two of one
+    name share an array that is right for both.
     """
-    hot = hot_lines(docs, least, by)
-    size = hot.agg(F.sum(F.aggregate("hot", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x)))).first()[0] or 0
-    if size <= BROADCAST:
-        hot = F.broadcast(hot)  # else a join by file, whose skewed files AQE splits
-    d = docs.join(hot.withColumnRenamed(by, "__by"), F.col(by) == F.col("__by"), "left").drop("__by")
     lines = F.transform(F.split("text", "\n"), T.strip)
+    hot = S.line_counts(docs, [by]).where(F.col("n") >= least).select(by, "line")
+    name = F.xxhash64("text")
+    own = docs.select(by, name.alias("__t"), F.explode(F.array_distinct(lines)).alias("line")).where("line <> ''").join(hot, [by, "line"])
+    own = own.groupBy(F.col(by).alias("__by"), "__t").agg(F.collect_set("line").alias("hot"))
+    d = docs.join(own, (F.col(by) == F.col("__by")) & (name == F.col("__t")), "left").drop("__by", "__t")
 
     def tagged(x):
         kind = F.when(F.coalesce(F.array_contains("hot", x), F.lit(False)) & (x != ""), "b").when(F.coalesce(by_script(F.col(lang), scripts, lambda s: foreign(x, s)), F.lit(False)), "f").otherwise("k")
@@ -140,12 +132,15 @@ def build(docs: DataFrame, suite: DataFrame, scripts: dict[str, str], prior: Dat
                own=F.coalesce(by_script(F.col("lang"), scripts, lambda s: T.letters(F.col("body"), s)), F.lit(0)), braces=T.count(F.col("body"), T.TEMPLATE),
                n_words=F.size(T.words(F.col("body"))), ratio=T.repetition(F.col("body")), final=T.mask_contacts(F.col("body")))
     d = d.withColumn("label", marker_label(F.col("lang"), F.col("body"), F.col("letters")))
+    # everything below reads this table: texts are cleaned and measured once
+    d = tables.stored(d.drop("text", "body", "hot").withColumn("__row", F.monotonically_increasing_id()), "slice-facts")
     exact = suite.select(T.sha(F.col("text")).alias("h"), F.lit(True).alias("exact")).distinct()
     grams = S.suite_hits(docs, suite).select("doc_id", F.lit(True).alias("ngram"))
     short = short_hits(docs, suite).select("doc_id", F.lit(True).alias("short"))
     end = d.select("doc_id", F.col("final").alias("text"))
     after = S.suite_hits(end, suite).select("doc_id").unionByName(short_hits(end, suite).select("doc_id")).distinct().withColumn("after", F.lit(True))
-    facts = d.drop("text", "body").join(exact, "h", "left").join(grams, "doc_id", "left").join(short, "doc_id", "left").join(after, "doc_id", "left")
+    # names of texts and facts meet, the texts themselves come back by row at the end
+    facts = d.withColumns({"bare": F.col("final") == "", "__h": T.sha(F.col("final"))}).drop("final").join(exact, "h", "left").join(grams, "doc_id", "left").join(short, "doc_id", "left").join(after, "doc_id", "left")
     # duplicates: first rows of a text in its file, and of a language's files in their order, among those that no suite rule took
     clear = F.col("exact").isNull() & F.col("ngram").isNull() & F.col("short").isNull() & (F.col("chars") > 0)
     firsts = facts.where(clear).groupBy("lang", "h").agg(F.min(F.struct("source", "doc_id")).alias("first"))
@@ -153,15 +148,16 @@ def build(docs: DataFrame, suite: DataFrame, scripts: dict[str, str], prior: Dat
     if prior is None:
         facts = facts.withColumn("known", F.lit(None).cast("boolean"))
     else:
-        facts = facts.join(prior.select(F.col("h").alias("__h"), F.lit(True).alias("known")).distinct(), T.sha(F.col("final")) == F.col("__h"), "left").drop("__h")
+        facts = facts.join(prior.select(F.col("h").alias("__h"), F.lit(True).alias("known")).distinct(), "__h", "left")
     reason = S.first_of(
         empty=F.col("chars") == 0, suite_exact=F.col("exact"), suite_ngram=F.col("ngram"), suite_short=F.col("short"),
         exact_duplicate=(F.col("source") == F.col("first.source")) & (F.col("doc_id") > F.col("first.doc_id")), cross_file_duplicate=F.col("source") > F.col("first.source"),
-        control_chars=F.col("controls") / F.greatest("chars", F.lit(1)) > at.control_ratio, empty_after_cleaning=F.col("final") == "", no_letters=F.col("letters") == 0,
+        control_chars=F.col("controls") / F.greatest("chars", F.lit(1)) > at.control_ratio, empty_after_cleaning=F.col("bare"), no_letters=F.col("letters") == 0,
         script_share=F.col("own") < 0.6 * F.col("letters"), urdu_persian_like=F.col("label") == "no_urdu_letters", urdu_uyghur_like=F.col("label") == "uyghur_like",
         wiki_markup=F.col("braces") >= 2, repetition=(F.col("n_words") >= 8) & (F.col("ratio") < at.repetition), suite_after_cleaning=F.col("after"), slice1_duplicate=F.col("known"),
     )
-    return facts.select("doc_id", "lang", "source", reason.alias("reason"), "chars", "final", "boilerplate_lines", "boilerplate_chars", "foreign_lines", "foreign_chars", "label")
+    facts = tables.stored(facts.withColumn("reason", reason).select("__row", "reason"), "slice-reasons")
+    return d.join(facts, "__row").select("doc_id", "lang", "source", "reason", "chars", "final", "boilerplate_lines", "boilerplate_chars", "foreign_lines", "foreign_chars", "label")
 
 
 def with_near_duplicates(built: DataFrame, clusters) -> DataFrame:
