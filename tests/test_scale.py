@@ -1,12 +1,16 @@
 """Steps whose cost or result once depended on the size of the table."""
 
+import collections
+import random
 import re
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from siltstone.functions import html as H, text as T
-from siltstone.operators import evaluation as E, neardup, slices, stages
+from siltstone.operators import evaluation as E, neardup, slices, stages, tokens as K
 
 
 def test_leakage_reads_all_of_train(spark):
@@ -78,3 +82,52 @@ def test_bands_carry_no_signatures(spark, monkeypatch):
     d = spark.createDataFrame([(1, "en", " ".join(base)), (2, "en", " ".join(base[:-1] + ["z"])), (3, "en", " ".join(f"v{i}" for i in range(99))), (4, "de", " ".join(base)), (5, "en", "a b")], "doc_id long, lang string, text string")
     assert {r.doc_id: r.root for r in neardup.clusters(d).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
     assert [tuple(r) for r in made["neardup-edges"].collect()] == [("en", 2, 1)]
+
+
+def test_words_encoded_together(monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aab c") for _ in range(rng.randrange(0, 12))) for _ in range(400)] + ["aaaaa", "", "é", "<|x|>", "abab" * 9]
+    for _ in range(40):
+        merges, known = [], [b"a", b"b", b"c", b" "]
+        for _ in range(12):
+            p = rng.choice(known), rng.choice(known)
+            merges.append(p)
+            known.append(p[0] + p[1])
+        bpe = K.Bpe(merges, ("<|x|>",))
+        want = [[bpe.specials[w]] if w in bpe.specials else bpe.chunk(w) for w in words]
+        for most in (1024, 0):
+            monkeypatch.setattr(K, "SWEPT", most)
+            ids, size = bpe.encode(words)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == want
+    assert [len(x) for x in K.Bpe([]).encode([])] == [0, 0]
+
+
+def test_pairs_counted_in_arrays():
+    words, n = ["aaaa", "abab", "", "aaa b", "é"], [3, 5, 7, 11, 13]
+    batch = pa.RecordBatch.from_arrays([pa.array(words), pa.array(n, pa.int64())], ["chunk", "n"])
+    steps = [(b"a", b"a"), (b"a", b"b"), (b"ab", b"ab"), (b"aa", b"a")]
+    token = [bytes([i]) for i in range(256)] + [a + b for a, b in steps]
+    for k in range(len(steps) + 1):
+        want = collections.Counter()
+        for w, c in zip(words, n):
+            f = tuple(bytes([x]) for x in w.encode())
+            for p in steps[:k]:
+                f = K.apply(f, p)
+            for p in zip(f, f[1:]):
+                want[p] += c
+        ids = [(token.index(a), token.index(b), token.index(a + b)) for a, b in steps[:k]]
+        got = {(token[p // 300], token[p % 300]): c for r in K.pair_sums([batch.slice(0, 2), batch.slice(2)], ids, 300) for p, c in zip(*(x.to_pylist() for x in r.columns))}
+        assert got == want
+
+
+def test_encoding_and_counting_words_without_moving_texts(spark):
+    d = spark.createDataFrame([(i, f"the cat {i} sat on the mat") for i in range(50)] + [(50, None), (51, "")], "doc_id long, text string")
+    e = K.encode_bpe(d, [(b"t", b"h"), (b"th", b"e")], ("<|e|>",))
+    assert "Exchange" not in e._jdf.queryExecution().executedPlan().toString()
+    rows = {r.doc_id: r.ids for r in e.collect()}
+    assert rows[50] == rows[51] == [] and rows[7][:2] == [257, 32] and len(rows) == 52
+    v = K.word_vocabulary(d, 6)
+    assert [(r.id, r.token) for r in v.orderBy("id").collect()] == [(0, "<unk>"), (1, " "), (2, "the"), (3, "cat"), (4, "sat"), (5, "on")]
+    w = K.word_encode(d, spark.createDataFrame(v.collect(), v.schema))
+    assert len(re.findall(r"Exchange hashpartitioning\(doc_id", w._jdf.queryExecution().executedPlan().toString())) == 1
+    assert {tuple(r) for r in w.collect()} == {(i, 13, 2) for i in range(50)}
