@@ -35,6 +35,7 @@ TREE = 32
 ROUNDS = (4, None)
 SMALL = 12
 WIDE = 4096
+SLICE = 1 << 16  # postings or pairs that are open at a time
 U = np.uint64
 PACKED_POINT, PACKED_FINE = GROUPS // 2 + 1, FINE // 2 + 1
 POSTING = np.dtype([("tok", "<u8"), ("sig", "<u8"), ("n", "<u4"), ("pos", "<u4"), ("vec", "u1", PACKED_POINT)])
@@ -110,8 +111,9 @@ def admits(p: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> n
     rest = 1 + np.minimum(na - p["pos"][i] - 1, nb - p["pos"][j] - 1)
     ok = (den * np.minimum(na, nb) >= num * np.maximum(na, nb)) & (rest >= least) & (p["sig"][i] != p["sig"][j])
     k = np.flatnonzero(ok)
-    for x in range(0, len(k), 1 << 14):
-        part = k[x : x + (1 << 14)]
+    step = (1 << 20) // p["vec"].shape[1]
+    for x in range(0, len(k), step):
+        part = k[x : x + step]
         ok[part] = meets(p["vec"][i[part]], p["vec"][j[part]], least[part])
     return ok
 
@@ -177,11 +179,18 @@ def _meetings(bucket: int, table: pa.Table, num: int, den: int):
     ones; large meetings' postings go on, as payload."""
     packed = K.unpack(table, POSTING)
     packed = packed[np.lexsort((packed["sig"], packed["tok"]))]
+    if len(packed):
+        packed = packed[np.r_[True, (packed["tok"][1:] != packed["tok"][:-1]) | (packed["sig"][1:] != packed["sig"][:-1])]]
+    cut = np.flatnonzero(np.r_[True, packed["tok"][1:] != packed["tok"][:-1]]) if len(packed) else np.zeros(0, np.int64)
+    ends, lo = np.r_[cut[1:], len(packed)], 0
+    while lo < len(cut):  # points are opened for some whole meetings at a time
+        hi = max(lo + 1, int(np.searchsorted(ends, cut[lo] + SLICE, side="right")))
+        yield from _met(bucket, packed[cut[lo] : ends[hi - 1]], cut[lo:hi] - cut[lo], num, den)
+        lo = hi
+
+
+def _met(bucket: int, packed: np.ndarray, cut: np.ndarray, num: int, den: int):
     p = opened(packed)
-    if len(p):
-        one = np.r_[True, (p["tok"][1:] != p["tok"][:-1]) | (p["sig"][1:] != p["sig"][:-1])]
-        p, packed = p[one], packed[one]
-    cut = np.flatnonzero(np.r_[True, p["tok"][1:] != p["tok"][:-1]]) if len(p) else np.zeros(0, np.int64)
     size = np.diff(np.r_[cut, len(p)])
     found = []
     small = np.repeat((size > 1) & (size <= SMALL), size)
@@ -333,46 +342,81 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 def _rest(bucket: int, table: pa.Table, num: int, den: int, top: int | None):
     """What large meetings leave between different components: all admitted pairs, or the
     ``top`` likeliest of each two components."""
-    p = np.zeros(table.num_rows, OPENED_FINE)
-    p["tok"] = table.column("tok").to_numpy().view(np.uint64)
-    p["sig"] = table.column("sig").to_numpy().view(np.uint64)
-    p["n"], p["pos"] = table.column("n").to_numpy(), table.column("pos").to_numpy()
-    p["label"] = table.column("label").to_numpy()
-    p["vec"] = counts(np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint8).reshape(-1, PACKED_FINE))
-    p = p[np.lexsort((p["label"], p["tok"]))]
-    cut = np.flatnonzero(np.r_[True, p["tok"][1:] != p["tok"][:-1]])
-    found = []
-    for lo, hi in zip(cut, np.r_[cut[1:], len(p)]):
-        m = p[lo:hi]
-        if m["label"][0] == m["label"][-1]:
+    tok, label = table.column("tok").to_numpy().view(np.uint64), table.column("label").to_numpy()
+    fine = table.column("fine").combine_chunks()
+    fine = fine.chunk(0) if isinstance(fine, pa.ChunkedArray) else fine
+    first = fine.offset * PACKED_FINE  # all values have this length
+    fine = np.frombuffer(fine.buffers()[2], np.uint8)[first : first + len(fine) * PACKED_FINE].reshape(-1, PACKED_FINE)
+    order = np.lexsort((label, tok))
+    cut = np.flatnonzero(np.r_[True, tok[order][1:] != tok[order][:-1]])
+    for lo, hi in zip(cut, np.r_[cut[1:], len(order)]):
+        at = order[lo:hi]
+        if label[at[0]] == label[at[-1]]:
             continue
-        if len(m) <= TREE:
-            i, j = np.triu_indices(len(m), 1)
-        else:
-            # the largest component's members need not ask
-            lab, count = np.unique(m["label"], return_counts=True)
-            tree = RTree(m, m["label"])
-            ask = np.flatnonzero(m["label"] != lab[count.argmax()])
-            hits = [tree.search(m[q], num, den) for q in ask]
-            j = tree.order[np.concatenate(hits)] if hits else np.zeros(0, np.int64)
-            i = np.repeat(ask, [len(x) for x in hits])
+        m = np.zeros(len(at), OPENED_FINE)  # one meeting's points are open at a time
+        m["tok"], m["label"], m["vec"] = tok[at], label[at], counts(fine[at])
+        m["sig"] = table.column("sig").to_numpy().view(np.uint64)[at]
+        m["n"], m["pos"] = table.column("n").to_numpy()[at], table.column("pos").to_numpy()[at]
+        i, j = _apart(m, num, den, top)
+        ab = K.distinct_pairs(np.stack([m["sig"][i], m["sig"][j]], 1))
+        a, b = (ab[:, 0] ^ U(1 << 63)).view(np.int64), (ab[:, 1] ^ U(1 << 63)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def _asked(m: np.ndarray, num: int, den: int):
+    """Pairs (i, j) of a meeting that may be looked at, about SLICE at a time."""
+    if len(m) <= TREE:
+        yield np.triu_indices(len(m), 1)
+        return
+    # the largest component's members need not ask
+    lab, count = np.unique(m["label"], return_counts=True)
+    tree = RTree(m, m["label"])
+    held, n = [], 0
+    for q in np.flatnonzero(m["label"] != lab[count.argmax()]):
+        j = tree.order[tree.search(m[q], num, den)]
+        held.append((q, j[m["label"][j] != m["label"][q]]))
+        n += len(held[-1][1])
+        if n >= SLICE:
+            yield np.repeat([q for q, _ in held], [len(j) for _, j in held]), np.concatenate([j for _, j in held])
+            held, n = [], 0
+    if held:
+        yield np.repeat([q for q, _ in held], [len(j) for _, j in held]), np.concatenate([j for _, j in held])
+
+
+def _apart(m: np.ndarray, num: int, den: int, top: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Admitted pairs between different components of a meeting, all or the ``top``
+    likeliest of each two components. Besides the pairs that stay, SLICE are held at a time."""
+    held, n, most = [], 0, SLICE
+
+    def best(held):
+        i, j, likely = (np.concatenate(x) for x in zip(*held))
+        a, b = np.minimum(m["label"][i], m["label"][j]), np.maximum(m["label"][i], m["label"][j])
+        o = np.lexsort((m["sig"][i] ^ m["sig"][j], -likely, b, a))
+        a, b = a[o], b[o]
+        start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        o = o[np.arange(len(o)) - np.repeat(start, np.diff(np.r_[start, len(o)])) < top]
+        return [(i[o], j[o], likely[o])]
+
+    for i, j in _asked(m, num, den):
         apart = m["label"][i] != m["label"][j]
         i, j = i[apart], j[apart]
         ok = admits(m, i, j, num, den)
-        i, j = i[ok], j[ok]
-        if top is not None and len(i):
-            a, b = np.minimum(m["label"][i], m["label"][j]), np.maximum(m["label"][i], m["label"][j])
+        i, j = i[ok].astype(np.int32), j[ok].astype(np.int32)
+        if top is None or not len(i):
+            likely = np.zeros(len(i))
+        else:
             likely = np.concatenate([np.minimum(m["vec"][i[x : x + 4096]], m["vec"][j[x : x + 4096]]).sum(axis=1, dtype=np.int64) for x in range(0, len(i), 4096)]) / need(m["n"][i].astype(np.int64), m["n"][j].astype(np.int64), num, den)
-            o = np.lexsort((m["sig"][i] ^ m["sig"][j], -likely, b, a))
-            i, j, a, b = i[o], j[o], a[o], b[o]
-            start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            rank = np.arange(len(i)) - np.repeat(start, np.diff(np.r_[start, len(i)]))
-            i, j = i[rank < top], j[rank < top]
-        found.append(np.stack([m["sig"][i], m["sig"][j]], 1))
-    ab = np.concatenate(found) if found else np.zeros((0, 2), np.uint64)
-    ab = K.distinct_pairs(ab)
-    a, b = (ab[:, 0] ^ U(1 << 63)).view(np.int64), (ab[:, 1] ^ U(1 << 63)).view(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        held.append((i, j, likely))
+        n += len(i)
+        if top is not None and n > most:
+            held = best(held)
+            n = len(held[0][0])
+            most = max(SLICE, 2 * n)
+    if top is not None and n:
+        held = best(held)
+    if not held:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    return np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
 
 
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
